@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinscout.functions.fields import as_text, parse_price
 from twinscout.operators.sizing import broadcast_measured, broadcast_within, shuffle_partitions
-from twinscout.sources.shared import checkpointed
+from twinscout.sources.shared import materialized
 
 # Canonical columns and the layouts' names for them, best first.
 COLUMN_SOURCES = {
@@ -111,7 +111,7 @@ def assign_row_id(df: DataFrame, file: str, position: str, block: Sequence[str]
     sizes = df.groupBy(*group).agg(F.count("*").alias("_rows"), F.min(position).alias("_first"))
     slices = shuffle_partitions(df.sparkSession)
     sliced = sizes.repartitionByRange(slices, *group).withColumn("_slice", F.spark_partition_id())
-    sliced = checkpointed(sliced)
+    sliced = materialized(sliced)
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("_slice").orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
     starts = (

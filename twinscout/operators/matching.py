@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from twinscout.functions.fields import file_stem, parse_price, query_image_list
 from twinscout.functions.text import overlap_ratio, sku_key, strip, title_features, title_keywords
 from twinscout.operators.sizing import broadcast_measured, broadcast_within, top_per_group
-from twinscout.operators.vectors import dot_product, l2_norm, nearest, similar, summed_query_vectors
+from twinscout.operators.vectors import dot_product, l2_norm, nearest, similar
 
 # Search defaults.
 VISUAL_TOP_K = 2000
@@ -101,7 +101,7 @@ def visual_search(
     vector (one row per query image).  The cut is over the whole image cache, before any
     listing filter.  Ties go to the lower image id.
     """
-    candidates = nearest(images, summed_query_vectors(query_vectors), top_k)
+    candidates = nearest(images, query_vectors, top_k)
     order = [F.col("score").desc(), F.col("image_id").asc()]
     return top_per_group(candidates, ["query_id"], order, top_k, ["image_id"], "hit")
 

@@ -14,12 +14,13 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def broadcast_within(df: DataFrame, rows: int | None, row_bytes: int) -> DataFrame:
     """Hint a broadcast only if ``rows`` (a proven upper bound) fits the budget.
 
-    Otherwise the plan is left alone: Spark shuffles both sides and splits hot keys at
-    run time.
+    Beyond it a sort-merge join is asked for, as the optimizer's own estimate knows
+    nothing of rows made inside a task; hot keys are then split at run time.  Without a
+    bound the choice is left to Spark.
     """
-    if rows is not None and rows * row_bytes <= BROADCAST_BYTES:
-        return F.broadcast(df)
-    return df
+    if rows is None:
+        return df
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
 def broadcast_measured(df: DataFrame, row_bytes: Column) -> DataFrame:

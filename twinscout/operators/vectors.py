@@ -104,36 +104,27 @@ class RunningBest:
 
 
 def query_blocks(query_vectors: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (ids, matrix, floors) from rows (query_id, vector, floor).
+    """Blocks of (ids, matrix, floors) from rows (query_id, position, vector, floor).
+
+    The vectors of a query with several images are added up: the score of an image is
+    the sum of its dot products with all query images, which is its dot product with
+    their sum.
 
     The table of queries is small by nature (a user's request); it is fetched one block
-    at a time.  Blocks partition it by hash, so together they cover every query.
+    at a time.  Blocks partition it by hash of the query, so together they cover it.
     """
-    first = query_vectors.take(QUERY_BLOCK + 1)
-    blocks = 1 if len(first) <= QUERY_BLOCK else -(-query_vectors.count() // QUERY_BLOCK)
+    rows = query_vectors.take(QUERY_BLOCK + 1)
+    blocks = 1 if len(rows) <= QUERY_BLOCK else -(-query_vectors.count() // QUERY_BLOCK)
     for block in range(blocks):
-        mine = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
-        rows = query_vectors.where(mine).collect() if blocks > 1 else first
-        rows.sort(key=lambda row: row["query_id"])
+        if blocks > 1:
+            mine = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
+            rows = query_vectors.where(mine).collect()
         if rows:
-            ids = np.array([row["query_id"] for row in rows], dtype=np.int64)
-            matrix = np.array([row["vector"] for row in rows], dtype=np.float64)
-            yield ids, matrix, np.array([row["floor"] for row in rows], dtype=np.float64)
-
-
-def summed_query_vectors(query_vectors: DataFrame) -> DataFrame:
-    """One vector per query: the element-wise sum over its images.
-
-    The score of an image is the sum of its dot products with all query images, which is
-    its dot product with their sum.
-    """
-    elements = query_vectors.select("query_id", "position", F.posexplode("vector").alias("i", "x"))
-    ordered = F.array_sort(F.collect_list(F.struct("position", F.col("x").cast("double").alias("x"))))
-    summed = elements.groupBy("query_id", "i").agg(
-        F.aggregate(ordered, F.lit(0.0), lambda total, e: total + e["x"]).alias("x")
-    )
-    vector = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])
-    return summed.groupBy("query_id").agg(vector.alias("vector"))
+            rows.sort(key=lambda row: (row["query_id"], row["position"]))
+            ids, starts = np.unique([row["query_id"] for row in rows], return_index=True)
+            parts = np.array([row["vector"] for row in rows], dtype=np.float64)
+            floors = np.array([row["floor"] for row in rows], dtype=np.float64)
+            yield ids.astype(np.int64), np.add.reduceat(parts, starts, axis=0), floors[starts]
 
 
 def nearest(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
@@ -167,7 +158,7 @@ def nearest(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
         return score
 
     source = vectors.select("image_id", "sku_key", "vector").where(F.col("vector").isNotNull())
-    blocks = query_blocks(query_vectors.withColumn("floor", F.lit(0.0)))
+    blocks = query_blocks(query_vectors.select("*", F.lit(0.0).alias("floor")))
     passes = [source.mapInArrow(scorer(ids, matrix), schema) for ids, matrix, _ in blocks]
     if not passes:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -211,7 +202,8 @@ def similar(vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
         return score
 
     source = vectors.select("text_vec_id", "vector").where(F.col("vector").isNotNull())
-    passes = [source.mapInArrow(scorer(*block), schema) for block in query_blocks(query_vectors)]
+    blocks = query_blocks(query_vectors.select("*", F.lit(0).alias("position")))
+    passes = [source.mapInArrow(scorer(*block), schema) for block in blocks]
     if not passes:
         return vectors.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionAll, passes)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from twinscout.functions.fields import query_image_list
 from twinscout.functions.text import strict_mismatch, title_features
 from twinscout.operators import matching as m
+from twinscout.operators.embedding import embed_batches
 from twinscout.operators.sizing import broadcast_within
-from twinscout.sources.shared import checkpointed
+from twinscout.sources.shared import materialized
 
 # The knobs of one query and the three sets of defaults in use.
 QUERY_SCHEMA = (
@@ -33,10 +36,11 @@ def one_query(spark: SparkSession, query_id: int = 1, preset: str = "search", **
 
 def _facts(queries: DataFrame) -> Row:
     """Size and limits of the query table: the only thing the plan needs to know early."""
-    untitled = F.count_if(~m.has_title(F.col("title")))
+    titled = m.has_title(F.col("title"))
     return queries.agg(
         F.count("*").alias("n"),
-        F.coalesce(untitled, F.lit(0)).alias("untitled"),
+        F.count_if(~titled).alias("untitled"),
+        F.count_if(titled & F.col("title_vector").isNull()).alias("unencoded"),
         F.coalesce(F.sum(F.size(query_image_list(F.col("images")))), F.lit(0)).alias("images"),
         F.coalesce(F.sum(F.length("title")), F.lit(0)).alias("title_chars"),
         F.coalesce(F.max("top"), F.lit(0)).alias("top"),
@@ -46,29 +50,44 @@ def _facts(queries: DataFrame) -> Row:
     ).first()
 
 
+def _encoded(queries: DataFrame, make_encoder: Callable | None, width: int) -> DataFrame:
+    """Give titles without a vector the one the encoder makes."""
+    if make_encoder is None:
+        raise ValueError("queries with a title need a title_vector, or an encoder must be given")
+    encoded = embed_batches(queries, make_encoder, width)
+    vector = F.coalesce("title_vector", F.col("vector").cast("array<double>"))
+    return materialized(encoded.withColumn("title_vector", vector).select(*queries.columns), "queries")
+
+
 def _references(
     listings: DataFrame, queries: DataFrame, scores: DataFrame, title_vectors: DataFrame, facts: Row,
     scores_at_most: int,
 ) -> DataFrame:
-    """Reference title and title vector per query (at most one row each)."""
+    """Reference title, its vector and the query's knobs (at most one row per query)."""
+    knobs = queries.select(
+        "query_id",
+        F.col("title").alias("reference_title"),
+        F.col("title_vector").alias("vector"),
+        m.effective_text_floor(F.col("min_text_sim")).alias("floor"),
+        "strict", "min_price", "max_price", "top",
+    )
     if not facts.untitled:
-        return queries.select(
-            "query_id", F.col("title").alias("reference_title"), F.col("title_vector").alias("vector")
-        )
+        return knobs
     resolved = m.resolve_reference_title(
         listings, queries, scores, facts.n, facts.images, scores_at_most
     )
-    resolved = resolved.where(m.has_title(F.col("reference_title"))).join(
-        broadcast_within(queries.select("query_id", "title_vector"), facts.n, 1024), "query_id"
+    resolved = materialized(resolved.where(m.has_title(F.col("reference_title"))), "titles")
+    wanted = resolved.select("query_id", "text_vec_id").where("text_vec_id is not null")
+    borrowed = title_vectors.join(broadcast_within(wanted, facts.n, 32), "text_vec_id").select(
+        "query_id", F.col("vector").cast("array<double>").alias("borrowed")
     )
-    borrowed = title_vectors.select("text_vec_id", F.col("vector").cast("array<double>").alias("v"))
-    looked_up = borrowed.join(
-        broadcast_within(resolved.where("text_vec_id is not null"), facts.n, 2048), "text_vec_id"
-    ).select("query_id", "reference_title", F.col("v").alias("vector"))
-    given = resolved.where("text_vec_id is null").select(
-        "query_id", "reference_title", F.col("title_vector").alias("vector")
+    found = (
+        resolved.select("query_id", "reference_title")
+        .join(borrowed, "query_id", "left")
+        .join(knobs.drop("reference_title"), "query_id")
     )
-    return checkpointed(given.unionByName(looked_up))
+    vector = F.coalesce("vector", "borrowed")
+    return materialized(found.withColumn("vector", vector).drop("borrowed"), "references")
 
 
 def find_duplicates_batch(
@@ -78,43 +97,42 @@ def find_duplicates_batch(
     images: DataFrame,
     title_vectors: DataFrame,
     top_k: int = m.VISUAL_TOP_K,
+    make_encoder: Callable | None = None,
+    width: int = 0,
 ) -> DataFrame:
     """Ranked matches of every query.
 
     listings: row_id, sku, title, price, source_file, text_vec_id
     queries: see ``QUERY_SCHEMA``;  query_vectors: query_id, position, vector
     images: image_id, sku_key, vector;  title_vectors: text_vec_id, vector
+    make_encoder, width: encoder for given titles that come without ``title_vector``,
+    see ``embed_batches``
 
     Both vector tables are only scanned.  What is shuffled are the scored pairs that
     passed a cut, and the ranked rows.  Queries whose title must first be found in the
-    catalog make the scores a checkpoint, because they are then read twice.
+    catalog make the scores a written table, because they are then read twice.
     """
     facts = _facts(queries)
     if facts.least_top < 0:
         raise ValueError("top must not be negative")
+    if facts.unencoded:
+        queries = _encoded(queries, make_encoder, width)
     scores_at_most = facts.n * top_k
 
     scores = m.visual_scores(m.visual_search(images, query_vectors, top_k))
     if facts.untitled:
-        scores = checkpointed(scores)
+        scores = materialized(scores, "scores")
     references = _references(listings, queries, scores, title_vectors, facts, scores_at_most)
     title_chars = facts.title_chars
     if facts.untitled:
         title_chars = references.agg(F.sum(F.length("reference_title")).alias("n")).first().n or 0
 
-    floors = queries.select("query_id", m.effective_text_floor(F.col("min_text_sim")).alias("floor"))
-    title_queries = references.where("vector is not null").join(
-        broadcast_within(floors, facts.n, 64), "query_id"
-    )
-    text_hits = m.semantic_text_sim(title_vectors, title_queries)
-
+    # Up to one row per title vector and query: never a table to broadcast on an estimate.
+    text_hits = m.semantic_text_sim(title_vectors, references.where("vector is not null"))
+    text_hits = text_hits.hint("merge") if facts.n > 1 else text_hits
     knobs = references.select(
-        "query_id", title_features(F.col("reference_title")).alias("wanted")
-    ).join(
-        broadcast_within(
-            queries.select("query_id", "strict", "min_price", "max_price", "top"), facts.n, 64
-        ),
-        "query_id",
+        "query_id", "strict", "min_price", "max_price", "top",
+        title_features(F.col("reference_title")).alias("wanted"),
     )
     minimum = broadcast_within(queries.select("query_id", "min_score"), facts.n, 64)
     strong = m.visual_threshold(scores.join(minimum, "query_id"), F.col("min_score"))
@@ -142,10 +160,14 @@ def find_duplicates(
     title_vectors: DataFrame,
     query_vectors: DataFrame,
     top_k: int = m.VISUAL_TOP_K,
+    make_encoder: Callable | None = None,
+    width: int = 0,
     **knobs,
 ) -> DataFrame:
     """The search for one query; ``query_vectors``: position, vector.  Knobs as in
     ``one_query``."""
     query = one_query(listings.sparkSession, **knobs)
     vectors = query_vectors.withColumn("query_id", F.lit(knobs.get("query_id", 1)).cast("bigint"))
-    return find_duplicates_batch(listings, query, vectors, images, title_vectors, top_k)
+    return find_duplicates_batch(
+        listings, query, vectors, images, title_vectors, top_k, make_encoder, width
+    )

@@ -22,9 +22,12 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so a lost executor does not force a rerun."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def materialized(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a table to the shared folder and continue from there.
+
+    For small results read several times.  A lost executor then costs no rerun of what
+    made them, and the files tell the optimizer their true size.
+    """
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscout.plans.search import one_query
-from twinscout.sources.shared import checkpointed, new_shared_path
+from twinscout.sources.shared import materialized, new_shared_path
 
 IMAGE_DIR = "images"
 VECTOR_WIDTH = 64
@@ -29,8 +29,22 @@ FLAGSHIP = {
 }
 
 
+# Declared, so that no job has to look the schema up first.
+SCHEMAS = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_returnflag string",
+    "events": "event_id bigint, user_id bigint, event_type string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def title_column() -> Column:
@@ -144,7 +158,7 @@ def batch_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     STANDARD ones are strict, ECONOMY ones have price bounds and the default text
     threshold.
     """
-    leads = checkpointed(lead_listings(spark, sf_dir))
+    leads = materialized(lead_listings(spark, sf_dir))
     kind = F.col("source_file")
     named = F.concat(
         F.lit("query/"), F.col("lead.sku"), F.lit(".jpg; query/"), F.col("last.sku"), F.lit(".png")
@@ -179,7 +193,7 @@ def batch_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     query_vectors = shown.join(vectors, "vec_id").select(
         "query_id", "position", F.col("embedding").alias("vector")
     )
-    return checkpointed(queries), checkpointed(query_vectors)
+    return materialized(queries), materialized(query_vectors)
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
