@@ -6,6 +6,7 @@ import json
 import re
 import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,8 +90,9 @@ def _layouts(spark: SparkSession, tables: list[tuple[str, str]]) -> list[list[tu
     for name, path in tables:
         try:
             schema = read_table(spark, [path]).schema.json()
-        except (PySparkException, ValueError) as error:
-            warnings.warn(f"skipped unreadable table {path!r}: {error}", stacklevel=3)
+        except (PySparkException, Py4JJavaError, ValueError) as error:
+            reason = str(error).strip().split("\n", 1)[0]
+            warnings.warn(f"skipped unreadable table {path!r}: {reason}", stacklevel=3)
             continue
         groups.setdefault(json.dumps([table_format(path), schema]), []).append((name, path))
     if not groups:
