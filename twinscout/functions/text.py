@@ -8,7 +8,7 @@ ASCII separators that Python also counts as space.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"\s\x1c-\x1f"
@@ -65,40 +65,75 @@ def _words(clean: Column) -> Column:
     return F.split(clean, rf"(?U)[{SPACE}]+")
 
 
+def _keywords(words: Column) -> Column:
+    return F.array_except(words, strings(("",) + STOP_WORDS))
+
+
+def _models(clean: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(clean, F.lit(MODEL_CODE), F.lit(0)))
+
+
+def _numbers(clean: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(clean, F.lit(WHOLE_NUMBER), F.lit(1)))
+
+
+def _telling(numbers: Column) -> Column:
+    return F.array_sort(F.array_except(numbers, strings(SPEC_NUMBERS)))
+
+
+def _modifiers(words: Column) -> Column:
+    return F.array_sort(F.array_intersect(words, strings(MODIFIERS)))
+
+
 def title_keywords(title: Column) -> Column:
     """Distinct words of the cleaned title without the stop words."""
-    return F.array_except(_words(clean_title(title)), strings(("",) + STOP_WORDS))
+    return _keywords(_words(clean_title(title)))
 
 
 def model_codes(title: Column) -> Column:
     """Distinct tokens that mix letters and digits."""
-    return F.array_distinct(F.regexp_extract_all(clean_title(title), F.lit(MODEL_CODE), F.lit(0)))
+    return _models(clean_title(title))
 
 
 def title_numbers(title: Column) -> Column:
     """Distinct whole numbers as text without leading zeros, so no width can overflow."""
-    return F.array_distinct(
-        F.regexp_extract_all(clean_title(title), F.lit(WHOLE_NUMBER), F.lit(1))
-    )
+    return _numbers(clean_title(title))
 
 
 def telling_numbers(title: Column) -> Column:
     """Sorted numbers of the title that are not ordinary specifications."""
-    return F.array_sort(F.array_except(title_numbers(title), strings(SPEC_NUMBERS)))
+    return _telling(title_numbers(title))
 
 
 def title_modifiers(title: Column) -> Column:
     """Sorted variant words present in the title."""
-    return F.array_sort(F.array_intersect(_words(clean_title(title)), strings(MODIFIERS)))
+    return _modifiers(_words(clean_title(title)))
 
 
-def title_features(title: Column) -> Column:
-    """All per-title facts the pair rules need, computed once per row."""
+def _features(clean: Column, words: Column) -> Column:
     return F.struct(
-        title_keywords(title).alias("keywords"),
-        model_codes(title).alias("models"),
-        telling_numbers(title).alias("numbers"),
-        title_modifiers(title).alias("modifiers"),
+        _keywords(words).alias("keywords"),
+        _models(clean).alias("models"),
+        _telling(_numbers(clean)).alias("numbers"),
+        _modifiers(words).alias("modifiers"),
+    )
+
+
+def title_features(title: Column) -> Column:
+    """All per-title facts the pair rules need, as one struct."""
+    clean = clean_title(title)
+    return _features(clean, _words(clean))
+
+
+def with_features(df: DataFrame, title: str, name: str) -> DataFrame:
+    """Add ``title_features`` as a column.  Cleaning and splitting are columns of their
+    own, which the optimizer does not inline into their several uses, so every title is
+    read once.  Do this per title, before pairs are made."""
+    return (
+        df.withColumn("_clean", clean_title(F.col(title)))
+        .withColumn("_words", _words(F.col("_clean")))
+        .withColumn(name, _features(F.col("_clean"), F.col("_words")))
+        .drop("_clean", "_words")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscout.functions.fields import file_stem, parse_price, query_image_list
-from twinscout.functions.text import overlap_ratio, sku_key, strip, title_features, title_keywords
+from twinscout.functions.text import overlap_ratio, sku_key, strip, title_keywords
 from twinscout.operators.sizing import broadcast_measured, broadcast_within, top_per_group
 from twinscout.operators.vectors import dot_product, l2_norm, nearest, similar
 
@@ -71,25 +71,22 @@ def has_title(title: Column) -> Column:
 
 
 def keyword_prefilter(listings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs (query_id, listing) sharing at least one keyword with the query title.
+    """Pairs (query_id, row_id) whose titles share at least one keyword.
 
-    ``queries`` has ``query_id, reference_title``.  An equi-join on single keywords; a
-    pair meeting on several keywords is kept only at the first shared one, so no
-    de-duplicating shuffle is needed.  The query side is broadcast when its size is
-    measured to be small; else hot keywords are split at run time.
+    ``queries`` has ``query_id, reference_title``.  An equi-join on single keywords that
+    carries only the row number.  All keywords of a row are in one task, so the partial
+    half of the distinct already leaves each pair once and only result pairs are
+    shuffled.  The query side is broadcast when its size is measured to be small; else
+    hot keywords are split at run time.
     """
-    query_words = queries.select(
-        "query_id", title_keywords(F.col("reference_title")).alias("query_keywords")
-    ).select("query_id", "query_keywords", F.explode("query_keywords").alias("keyword"))
-    row_bytes = F.length(F.array_join("query_keywords", " ")) * 4 + 64
-    words = (
-        listings.where(has_title(F.col("title")))
-        .withColumn("keywords", title_keywords(F.col("title")))
-        .withColumn("keyword", F.explode("keywords"))
+    asked = title_keywords(F.col("reference_title"))
+    query_words = queries.select("query_id", F.explode(asked).alias("keyword"))
+    row_bytes = F.length("keyword") * 4 + 64
+    words = listings.where(has_title(F.col("title"))).select(
+        "row_id", F.explode(title_keywords(F.col("title"))).alias("keyword")
     )
     pairs = words.join(broadcast_measured(query_words, row_bytes), "keyword")
-    first_shared = F.try_element_at(F.array_intersect("query_keywords", "keywords"), F.lit(1))
-    return pairs.where(F.col("keyword") == first_shared).drop("keyword", "keywords", "query_keywords")
+    return pairs.select("query_id", "row_id").distinct()
 
 
 def visual_search(
@@ -239,7 +236,3 @@ def match_record(df: DataFrame) -> DataFrame:
         F.concat(trimmed, F.lit(".jpg")).alias("image_filename"),
         "rank",
     )
-
-
-def with_features(df: DataFrame, title: str, name: str) -> DataFrame:
-    return df.withColumn(name, title_features(F.col(title)))

@@ -264,26 +264,30 @@ def keyword_prefilter_documents(spark, sf_dir):
     return pairs.select("query_id", "row_id")
 
 
-def _with_brand_lead(spark, sf_dir) -> DataFrame:
+@registered
+def strict_model_match(spark, sf_dir):
     """Every listing beside the first listing of its brand and source."""
-    leads = views.lead_listings(spark, sf_dir).select(
-        "brand", "source_file", F.col("lead.title").alias("other")
-    )
-    return views.listings(spark, sf_dir).join(leads, ["brand", "source_file"])
+    leads = views.lead_listings(spark, sf_dir).select("brand", "source_file", F.col("lead.title").alias("other"))
+    catalog = text.with_features(views.listings(spark, sf_dir), "title", "mine")
+    pairs = catalog.join(text.with_features(leads, "other", "theirs"), ["brand", "source_file"])
+    same = ~text.strict_mismatch(F.col("mine"), F.col("theirs"))
+    return pairs.where(same).select("row_id", "title", "other")
 
 
-@registered
-def strict_model_match(spark, sf_dir):
-    pairs = _with_brand_lead(spark, sf_dir)
-    pairs = matching.with_features(matching.with_features(pairs, "title", "a"), "other", "b")
-    return pairs.where(~text.strict_mismatch(F.col("a"), F.col("b"))).select("row_id", "title", "other")
+def _document_features(spark, sf_dir) -> DataFrame:
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return views.neighbours(text.with_features(docs, "text", "facts"), "doc_id", "facts")
+
+
+def _neighbour_listings(spark, sf_dir) -> DataFrame:
+    catalog = views.listings(spark, sf_dir).select("row_id", "title")
+    return views.neighbours(text.with_features(catalog, "title", "facts"), "row_id", "facts")
 
 
 @registered
 def strict_model_match_documents(spark, sf_dir):
-    pairs = views.document_pairs(spark, sf_dir)
-    pairs = matching.with_features(matching.with_features(pairs, "text", "a"), "other", "b")
-    return pairs.select("doc_id", text.strict_mismatch(F.col("a"), F.col("b")).alias("mismatch"))
+    pairs = _document_features(spark, sf_dir)
+    return pairs.select("doc_id", text.strict_mismatch(F.col("mine"), F.col("theirs")).alias("mismatch"))
 
 
 @registered
@@ -338,14 +342,15 @@ def title_keywords(spark, sf_dir):
 
 @registered
 def title_overlap(spark, sf_dir):
-    pairs = views.document_pairs(spark, sf_dir)
-    return pairs.select("doc_id", six(matching.title_overlap(F.col("text"), F.col("other"))).alias("overlap"))
+    """Every document with its successor, whole texts."""
+    ratio = text.overlap_ratio(F.col("mine.keywords"), F.col("theirs.keywords"))
+    return _document_features(spark, sf_dir).select("doc_id", six(ratio).alias("overlap"))
 
 
 @registered
 def title_overlap_listings(spark, sf_dir):
-    pairs = views.listing_pairs(spark, sf_dir)
-    return pairs.select("row_id", six(matching.title_overlap(F.col("title"), F.col("other"))).alias("overlap"))
+    ratio = text.overlap_ratio(F.col("mine.keywords"), F.col("theirs.keywords"))
+    return _neighbour_listings(spark, sf_dir).select("row_id", six(ratio).alias("overlap"))
 
 
 @registered
@@ -356,23 +361,24 @@ def model_codes(spark, sf_dir):
 
 @registered
 def model_conflict(spark, sf_dir):
-    pairs = views.document_pairs(spark, sf_dir)
-    conflict = text.model_conflict(text.model_codes(F.col("text")), text.model_codes(F.col("other")))
-    return pairs.select("doc_id", conflict.alias("conflict"))
+    conflict = text.model_conflict(F.col("mine.models"), F.col("theirs.models"))
+    return _document_features(spark, sf_dir).select("doc_id", conflict.alias("conflict"))
 
 
 @registered
 def number_conflict(spark, sf_dir):
-    pairs = views.document_pairs(spark, sf_dir)
-    mine, theirs = text.telling_numbers(F.col("text")), text.telling_numbers(F.col("other"))
-    return pairs.select("doc_id", words(mine).alias("numbers"), (mine != theirs).alias("conflict"))
+    mine, theirs = F.col("mine.numbers"), F.col("theirs.numbers")
+    return _document_features(spark, sf_dir).select(
+        "doc_id", words(mine).alias("numbers"), (mine != theirs).alias("conflict")
+    )
 
 
 @registered
 def modifier_conflict(spark, sf_dir):
-    pairs = views.listing_pairs(spark, sf_dir)
-    mine, theirs = text.title_modifiers(F.col("title")), text.title_modifiers(F.col("other"))
-    return pairs.select("row_id", words(mine).alias("modifiers"), (mine != theirs).alias("conflict"))
+    mine, theirs = F.col("mine.modifiers"), F.col("theirs.modifiers")
+    return _neighbour_listings(spark, sf_dir).select(
+        "row_id", words(mine).alias("modifiers"), (mine != theirs).alias("conflict")
+    )
 
 
 @registered

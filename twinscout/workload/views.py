@@ -93,18 +93,11 @@ def document_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document next to its successor, whole texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return docs.join(after, "doc_id")
-
-
-def listing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every listing next to its successor."""
-    here = listings(spark, sf_dir).select("row_id", "title")
-    after = here.select((F.col("row_id") - 1).alias("row_id"), F.col("title").alias("other"))
-    return here.join(after, "row_id")
+def neighbours(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Every row's ``value`` as ``mine`` next to that of its successor as ``theirs``."""
+    here = df.select(key, F.col(value).alias("mine"))
+    after = df.select((F.col(key) - 1).alias(key), F.col(value).alias("theirs"))
+    return here.join(after, key)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
