@@ -100,6 +100,17 @@ def test_text_table_split_over_blocks_keeps_its_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_workbook_falls_back_to_its_first_table(spark, tmp_path):
+    book = tmp_path / "book"
+    spark.createDataFrame([("a", "ring")], "Best_ZSKU string, Title string").write.parquet(f"{book}/All.parquet")
+    (book / f"{source.CURATED_TABLE}.parquet").write_bytes(b"broken")
+    with pytest.warns(UserWarning, match="skipped"):
+        assert source.prefer_curated_table(spark, str(book)).first().SKU == "a"
+    with pytest.warns(UserWarning, match="skipped"):
+        rows = source.load_listings(spark, str(tmp_path)).collect()
+    assert [(r.row_id, r.sku, r.source_file) for r in rows] == [(1, "a", "book")]
+
+
 def test_empty_and_unreadable_folders(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         source.load_listings(spark, str(tmp_path))

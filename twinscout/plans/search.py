@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from twinscout.functions.fields import query_image_list
-from twinscout.functions.text import strict_mismatch, title_features
+from twinscout.functions.text import strict_mismatch, title_features, with_features
 from twinscout.operators import matching as m
 from twinscout.operators.embedding import embed_batches
 from twinscout.operators.sizing import broadcast_within
@@ -41,6 +41,7 @@ def _facts(queries: DataFrame) -> Row:
         F.count("*").alias("n"),
         F.count_if(~titled).alias("untitled"),
         F.count_if(titled & F.col("title_vector").isNull()).alias("unencoded"),
+        F.count_if("strict").alias("strict"),
         F.coalesce(F.sum(F.size(query_image_list(F.col("images")))), F.lit(0)).alias("images"),
         F.coalesce(F.sum(F.length("title")), F.lit(0)).alias("title_chars"),
         F.coalesce(F.max("top"), F.lit(0)).alias("top"),
@@ -90,6 +91,23 @@ def _references(
     return materialized(found.withColumn("vector", vector).drop("borrowed"), "references")
 
 
+def _scored_listings(catalog: DataFrame, scores: DataFrame, n: int, scores_at_most: int) -> DataFrame:
+    """Listings with the queries that scored them and their title features as ``have``.
+
+    With several queries the scores are first gathered per SKU key (at most one entry
+    per query), so that a listing is joined, and its title taken apart, once and not
+    once per query.
+    """
+    scores = scores.select("query_id", "sku_key", "visual_score")
+    if n > 1:
+        asked = F.collect_list(F.struct("query_id", "visual_score")).alias("asked")
+        scores = scores.groupBy("sku_key").agg(asked)
+    listed = with_features(m.attach_visual_score(catalog, scores, scores_at_most), "title", "have")
+    if n > 1:
+        listed = listed.select("*", F.inline("asked"))
+    return listed.drop("asked", "sku_key")
+
+
 def find_duplicates_batch(
     listings: DataFrame,
     queries: DataFrame,
@@ -138,17 +156,14 @@ def find_duplicates_batch(
     strong = m.visual_threshold(scores.join(minimum, "query_id"), F.col("min_score"))
 
     catalog = m.price_range(listings, facts.low, facts.high).where(m.has_title(F.col("title")))
-    scored = m.attach_visual_score(
-        catalog, strong.select("query_id", "sku_key", "visual_score"), scores_at_most
-    )
+    scored = _scored_listings(catalog, strong, facts.n, scores_at_most)
     pairs = scored.join(broadcast_within(knobs, facts.n * 256 + title_chars * 12, 1), "query_id").where(
         m.in_price_range(F.col("price"), F.col("min_price"), F.col("max_price"))
+        & F.arrays_overlap("have.keywords", "wanted.keywords")
     )
-    pairs = pairs.withColumn("have", title_features(F.col("title"))).where(
-        F.arrays_overlap("have.keywords", "wanted.keywords")
-        & (~F.col("strict") | ~strict_mismatch(F.col("have"), F.col("wanted")))
-    )
-    pairs = pairs.drop("have", "wanted", "strict", "min_price", "max_price", "sku_key")
+    if facts.strict:
+        pairs = pairs.where(~F.col("strict") | ~strict_mismatch(F.col("have"), F.col("wanted")))
+    pairs = pairs.drop("have", "wanted", "strict", "min_price", "max_price")
     matches = pairs.join(text_hits, ["query_id", "text_vec_id"])
     ranked = m.rank_matches(matches, facts.top).where(F.col("rank") <= F.col("top"))
     return m.match_record(ranked)

@@ -44,13 +44,21 @@ def table_format(name: str) -> str | None:
     return suffix if suffix in FORMATS else None
 
 
-def prefer_curated_table(spark: SparkSession, workbook: str) -> str:
-    """Of the tables in a workbook directory, the curated one, else the first by name."""
+def workbook_choices(spark: SparkSession, workbook: str) -> list[str]:
+    """The tables of a workbook directory to try, best first: the curated one, then the
+    first by name."""
     tables = [(name, path) for name, path, _ in list_entries(spark, workbook) if table_format(name)]
     if not tables:
         raise FileNotFoundError(f"no tables in {workbook!r}")
     curated = [path for name, path in tables if name.rsplit(".", 1)[0] == CURATED_TABLE]
-    return curated[0] if curated else tables[0][1]
+    return [*curated, tables[0][1]]
+
+
+def prefer_curated_table(spark: SparkSession, workbook: str) -> DataFrame:
+    """The curated table of a workbook; if there is none or it cannot be read, the first
+    by name.  Columns get their canonical names."""
+    _, path, _ = _readable(spark, [(workbook, workbook_choices(spark, workbook))])[0]
+    return normalize_columns(read_table(spark, [path]))
 
 
 def read_table(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -65,38 +73,48 @@ def read_table(spark: SparkSession, paths: list[str]) -> DataFrame:
     raise ValueError(f"unknown table format: {paths[0]!r}")
 
 
-def find_tables(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(source name, table path) of a single table, a workbook, or every table and
-    workbook of a directory, in name order."""
+def find_tables(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(source name, paths to try) of a single table, or of every table and workbook of
+    a directory, in name order."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     if table_format(name):
-        return [(name, path)]
+        return [(name, [path])]
     tables = []
     for entry, full, directory in list_entries(spark, path):
         if table_format(entry):
-            tables.append((entry, full))
+            tables.append((entry, [full]))
         elif directory:
-            tables.append((entry, prefer_curated_table(spark, full)))
+            tables.append((entry, workbook_choices(spark, full)))
     if not tables:
         raise FileNotFoundError(f"no listing tables in {path!r}")
     return tables
 
 
-def _layouts(spark: SparkSession, tables: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+def _readable(spark: SparkSession, tables: list[tuple[str, list[str]]]) -> list[tuple[str, str, str]]:
+    """(name, path, layout) of the tables whose schema can be read.  The others are left
+    out with a warning; none at all is an error."""
+    found = []
+    for name, paths in tables:
+        for path in paths:
+            try:
+                schema = read_table(spark, [path]).schema.json()
+            except (PySparkException, Py4JJavaError, ValueError) as error:
+                reason = str(error).strip().split("\n", 1)[0]
+                warnings.warn(f"skipped unreadable table {path!r}: {reason}", stacklevel=3)
+                continue
+            found.append((name, path, json.dumps([table_format(path), schema])))
+            break
+    if not found:
+        raise ValueError("none of the listing tables could be read")
+    return found
+
+
+def _layouts(spark: SparkSession, tables: list[tuple[str, list[str]]]) -> list[list[tuple[str, str]]]:
     """Tables grouped by equal format and schema, so the plan grows with the number of
-    layouts and not with the number of files.  Unreadable tables are left out with a
-    warning."""
+    layouts and not with the number of files."""
     groups: dict[str, list[tuple[str, str]]] = {}
-    for name, path in tables:
-        try:
-            schema = read_table(spark, [path]).schema.json()
-        except (PySparkException, Py4JJavaError, ValueError) as error:
-            reason = str(error).strip().split("\n", 1)[0]
-            warnings.warn(f"skipped unreadable table {path!r}: {reason}", stacklevel=3)
-            continue
-        groups.setdefault(json.dumps([table_format(path), schema]), []).append((name, path))
-    if not groups:
-        raise ValueError("none of the listing tables could be read")
+    for name, path, layout in _readable(spark, tables):
+        groups.setdefault(layout, []).append((name, path))
     return list(groups.values())
 
 
@@ -128,9 +146,11 @@ def _plain(path: str) -> str:
     return re.sub(_SCHEME, "/", path)
 
 
-def unite(spark: SparkSession, tables: list[tuple[str, str]], normalize: bool = True) -> DataFrame:
-    """The given (source name, path) tables united by column name, with lineage and
-    hidden order columns."""
+def unite(
+    spark: SparkSession, tables: list[tuple[str, list[str]]], normalize: bool = True
+) -> DataFrame:
+    """The given tables (source name, paths to try) united by column name, with lineage
+    and hidden order columns."""
     frames = [_read_layout(spark, group) for group in _layouts(spark, tables)]
     if normalize:
         frames = [normalize_columns(frame) for frame in frames]

@@ -344,8 +344,7 @@ ORACLES.update(
         "load_listings": f"""WITH {LISTINGS} SELECT row_number() OVER (ORDER BY source_file, row_id) AS row_id,
   CASE WHEN source_file = 'SMALL' THEN 'B' ELSE '' END || sku AS sku, title, price, source_file || CASE source_file WHEN 'MEDIUM' THEN '.csv' WHEN 'STANDARD' THEN '.csv'
     WHEN 'PROMO' THEN '.json' ELSE '.parquet' END AS source_file, brand AS "Best_Brand" FROM listings""",
-        "prefer_curated_table": f"""WITH {LISTINGS} SELECT sku AS "SKU", title AS "Title",
-  'Best_One_Row_Per_SKU.parquet' AS chosen FROM listings""",
+        "prefer_curated_table": f"""WITH {LISTINGS} SELECT sku AS "SKU", title AS "Title" FROM listings""",
         "normalize_columns": """SELECT 'Z' || p_partkey AS "Best_ZSKU", p_partkey AS "SKU", p_name AS "Title",
   p_retailprice AS "Price", p_size AS "Best_Price", p_brand AS "Best_Brand" FROM part""",
         "union_evolving": UNION,
@@ -373,7 +372,8 @@ FROM (SELECT 'part.parquet' AS source_file, p_partkey AS p, NULL AS d, NULL AS t
   UNION ALL SELECT 'pages.parquet', NULL, NULL, NULL, NULL FROM pages
   UNION ALL SELECT 'embeddings.parquet', NULL, NULL, NULL, NULL FROM embeddings) GROUP BY source_file""",
         "write_combined": UNION,
-        "write_matches_read_matches": f"WITH {BATCH} {PUBLISHED}",
+        "write_matches": f"WITH {BATCH} {PUBLISHED}",
+        "read_matches": f"WITH {flagship(2000)} {PUBLISHED}",
         "image_scan": f"""WITH {FILES} SELECT file_name, sku_key, side AS width, side AS height
 FROM files WHERE length > 0""",
         # image cache
@@ -386,6 +386,13 @@ WHERE a.length > 0 AND b.length > 0""",
         "missing_images": f"""WITH {LISTINGS}, {MANIFEST} SELECT sku, image_url,
   'images/' || sku || '.jpg' AS dest FROM listings
 WHERE image_url IS NOT NULL AND trim(image_url) NOT IN ('', 'nan')
+  AND sku || '.jpg' NOT IN (SELECT file_name FROM manifest WHERE length > 0)""",
+        "fetch_plan": f"""WITH {LISTINGS}, {MANIFEST}, {features('lf', '(SELECT * FROM listings WHERE price >= 901)', 'title')},
+{features('wanted', "(SELECT title AS t FROM listings WHERE sku = 'Z7' AND price >= 901)", 't')},
+hits AS (SELECT row_id FROM lf, wanted WHERE {shared('lf.k', 'wanted.k')} > 0)
+SELECT sku, image_url, 'images/' || sku || '.jpg' AS dest FROM listings
+WHERE price >= 901 AND (row_id IN (SELECT row_id FROM hits) OR NOT EXISTS (SELECT 1 FROM hits))
+  AND image_url IS NOT NULL AND trim(image_url) NOT IN ('', 'nan')
   AND sku || '.jpg' NOT IN (SELECT file_name FROM manifest WHERE length > 0)""",
         "fetch_outcome": f"WITH {FETCH} SELECT event_id, sku, outcome FROM log",
         "fetch_progress": f"""WITH {FETCH}, c AS (
@@ -569,7 +576,8 @@ def _typed(sql: str, **types: str) -> str:
 
 
 for _name, _types in {
-    "write_matches_read_matches": {"rank": "INTEGER"},
+    "write_matches": {"rank": "INTEGER"},
+    "read_matches": {"query_id": "BIGINT", "rank": "INTEGER"},
     "image_validity": {"length": "BIGINT"},
     "semantic_text_sim": {"query_id": "BIGINT"},
     "text_threshold": {"query_id": "BIGINT"},

@@ -11,6 +11,7 @@ from twinscout.functions import fields, text
 from twinscout.operators import cache, listings as tables, matching, report
 from twinscout.operators.embedding import embed_batches, letter_counts
 from twinscout.operators.orientation import orientation_corr
+from twinscout.plans.fetch import fetch_plan
 from twinscout.plans.report import report_view
 from twinscout.plans.search import find_duplicates_batch
 from twinscout.sources import images as image_source
@@ -55,9 +56,7 @@ def prefer_curated_table(spark, sf_dir):
     catalog.select(F.col("sku").alias("Best_ZSKU"), F.col("title").alias("Best_Title")).write.parquet(
         f"{workbook}/{listing_source.CURATED_TABLE}.parquet"
     )
-    chosen = listing_source.prefer_curated_table(spark, workbook)
-    table = tables.normalize_columns(listing_source.read_table(spark, [chosen]))
-    return table.select("SKU", "Title", F.lit(chosen.rsplit("/", 1)[-1]).alias("chosen"))
+    return listing_source.prefer_curated_table(spark, workbook).select("SKU", "Title")
 
 
 @registered
@@ -94,7 +93,7 @@ def union_evolving(spark, sf_dir):
 def assign_row_id(spark, sf_dir):
     """Rows of five files numbered in file order."""
     names = ("customer", "documents", "pages", "part", "supplier")
-    found = [(f"{name}.parquet", f"{sf_dir}/{name}.parquet") for name in sorted(names)]
+    found = [(f"{name}.parquet", [f"{sf_dir}/{name}.parquet"]) for name in sorted(names)]
     united = listing_source.unite(spark, found, normalize=False)
     numbered = tables.assign_row_id(united, "_file", "_at", ["_block"])
     return numbered.select(
@@ -126,12 +125,20 @@ def write_combined(spark, sf_dir):
 
 
 @registered
-def write_matches_read_matches(spark, sf_dir):
+def matches_as_json(spark, sf_dir):
+    """The batch's matches written as JSON lines and read again."""
     path = new_shared_path(spark, "matches")
     write_matches(_batch(spark, sf_dir), path)
     return _published(read_matches(spark, path))
 
 
+@registered
+def matches_as_parquet(spark, sf_dir):
+    path = new_shared_path(spark, "matches")
+    write_matches(_flagship(spark, sf_dir), path, "parquet")
+    return _published(read_matches(spark, path, "parquet"))
+
+
 @registered
 def image_scan(spark, sf_dir):
     return image_source.image_scan(spark, views.image_folder(spark, sf_dir))
@@ -169,6 +176,18 @@ def missing_images(spark, sf_dir):
     return cache.missing_images(views.listings(spark, sf_dir), valid, views.IMAGE_DIR)
 
 
+@registered
+def fetch_plan_for_search(spark, sf_dir):
+    """The reference title comes from the query image's name."""
+    return fetch_plan(
+        views.listings(spark, sf_dir),
+        views.image_manifest(spark, sf_dir).where("length > 0"),
+        views.IMAGE_DIR,
+        images="query/unknown.jpg; query/Z7.jpg",
+        min_price=901.0,
+    )
+
+
 @registered
 def fetch_outcome(spark, sf_dir):
     return cache.fetch_outcome(views.fetch_log(spark, sf_dir)).select("event_id", "sku", "outcome")
@@ -703,6 +722,9 @@ def report_view_flagship(spark, sf_dir):
 
 
 # Names of the inventory for functions whose own name is taken by the library.
+REGISTRY["write_matches"] = REGISTRY.pop("matches_as_json")
+REGISTRY["read_matches"] = REGISTRY.pop("matches_as_parquet")
+REGISTRY["fetch_plan"] = REGISTRY.pop("fetch_plan_for_search")
 REGISTRY["embed_batches"] = REGISTRY.pop("embed_batches_letters")
 REGISTRY["orientation_corr"] = REGISTRY.pop("orientation_correlation")
 REGISTRY["find_duplicates_batch"] = REGISTRY.pop("find_duplicates_batch_queries")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,18 +297,15 @@ def bitmap_content() -> Column:
 
 
 def image_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Write every embedding as an image file into the shared folder.  Tasks write plain
-    files, so the folder must be mounted on every worker."""
-    folder = new_shared_path(spark, "images").removeprefix("file:")
-    if "://" in folder:
-        raise ValueError("image files need a shared folder mounted as a file system")
+    """Write every embedding as an image file into the shared folder, one file per row,
+    from the tasks that hold the rows."""
+    folder = re.sub("^file:/+", "/", new_shared_path(spark, "images"))
 
     def write(rows) -> None:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
         for row in rows:
-            with open(f"{folder}/{row.file_name}", "wb") as out:
+            with system.open_output_stream(f"{root}/{row.file_name}") as out:
                 out.write(row.content)
 
     files = table(spark, sf_dir, "embeddings").select(
