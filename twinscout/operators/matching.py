@@ -158,6 +158,11 @@ def title_overlap(a: Column, b: Column) -> Column:
     return overlap_ratio(title_keywords(a), title_keywords(b))
 
 
+def _option(kind: int, place: Column, hit: Column) -> Column:
+    """Rank of one way to find a title: stems before keys, then their own order."""
+    return F.struct(F.lit(kind), place.cast("double"), hit.cast("int")).alias("option")
+
+
 def resolve_reference_title(
     listings: DataFrame, queries: DataFrame, scores: DataFrame,
     queries_at_most: int | None = None, images_at_most: int | None = None,
@@ -171,37 +176,46 @@ def resolve_reference_title(
     among the listings.  ``reference_row`` is null for a given title; a query without
     any title is absent.  Only listings inside the query's price range count.
 
-    "First listing" is a ``min_by`` aggregate, combined before the shuffle, so a SKU
-    that fills a third of the catalog costs one partial row per task.
+    Both kinds of option, stems and scored keys, look their SKU up in one pass over the
+    listings.  That pass asks only for the first listing per SKU and price range, an
+    aggregate combined before the shuffle: neither a SKU that fills a third of the
+    catalog nor many queries asking for it multiply rows.
     """
+    bounds = ["min_price", "max_price"]
     wanted = queries.where(~has_title(F.col("title")))
-    bounds = ["query_id", "min_price", "max_price"]
+    stems = wanted.select(
+        "query_id", *bounds, F.posexplode(query_image_list(F.col("images"))).alias("pos", "path")
+    ).select(
+        "query_id", *bounds, file_stem(F.col("path")).alias("sku"), _option(0, F.col("pos"), F.lit(0))
+    )
+    keys = scores.join(
+        broadcast_within(wanted.select("query_id", *bounds), queries_at_most, 64), "query_id"
+    ).select(
+        "query_id", *bounds, F.col("sku_key").alias("sku"), _option(1, -F.col("visual_score"), F.col("hit"))
+    )
+    options = stems.unionByName(keys)
+    options_at_most = None
+    if images_at_most is not None and scores_at_most is not None:
+        options_at_most = images_at_most + scores_at_most
+
+    asked = options.select("sku", *bounds).distinct()
     found = F.struct(
         F.coalesce("title", F.lit("")).alias("reference_title"),
         F.col("row_id").alias("reference_row"),
         F.col("text_vec_id"),
     )
-    priced = in_price_range(F.col("price"), F.col("min_price"), F.col("max_price"))
-
-    stems = wanted.select(*bounds, F.posexplode(query_image_list(F.col("images"))).alias("pos", "path"))
-    stems = stems.select(*bounds, "pos", file_stem(F.col("path")).alias("sku"))
-    by_stem = (
-        listings.join(broadcast_within(stems, images_at_most, STEM_BYTES), "sku")
-        .where(priced)
-        .groupBy("query_id")
-        .agg(F.min_by(found, F.struct("pos", "row_id")).alias("found"))
-    )
-
-    open_scores = (
-        scores.join(broadcast_within(wanted.select(*bounds), queries_at_most, 64), "query_id")
-        .join(broadcast_within(by_stem.select("query_id"), queries_at_most, 16), "query_id", "left_anti")
-        .select(*bounds, F.col("sku_key").alias("sku"), "visual_score", "hit")
-    )
-    by_score = (
-        listings.join(broadcast_within(open_scores, scores_at_most, SCORE_BYTES), "sku")
-        .where(priced)
+    first = (
+        listings.join(broadcast_within(asked, options_at_most, STEM_BYTES), "sku")
+        .where(in_price_range(F.col("price"), F.col("min_price"), F.col("max_price")))
+        .groupBy("sku", *bounds)
+        .agg(F.min_by(found, "row_id").alias("found"))
+    ).withColumnsRenamed({name: f"_{name}" for name in ("sku", *bounds)})
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in ("sku", *bounds)]
+    best = (
+        options.join(first, same)
         .groupBy("query_id")
-        .agg(F.min_by(found, F.struct(-F.col("visual_score"), "hit", "row_id")).alias("found"))
+        .agg(F.min_by("found", "option").alias("found"))
+        .select("query_id", "found.*")
     )
 
     given = queries.where(has_title(F.col("title"))).select(
@@ -210,7 +224,7 @@ def resolve_reference_title(
         F.lit(None).cast("bigint").alias("reference_row"),
         F.lit(None).cast("bigint").alias("text_vec_id"),
     )
-    return given.unionByName(by_stem.unionByName(by_score).select("query_id", "found.*"))
+    return given.unionByName(best)
 
 
 def rank_matches(df: DataFrame, top: int = TOP_MATCHES) -> DataFrame:
