@@ -143,6 +143,9 @@ def test_bounds_and_summary(spark):
         "query_id int, price double, ai_score double, text_similarity double",
     )
     assert sorted(map(tuple, report.price_bounds(rows).collect())) == [(1, 2, 9), (2, 0, 999)]
+    asked = spark.createDataFrame([(1,), (3,)], "query_id int")
+    assert sorted(map(tuple, report.price_bounds(rows, asked).collect())) == [(1, 2, 9), (3, 0, 999)]
+    assert sorted(map(tuple, report.result_summary(rows, asked).collect()))[1] == (3, 0, "N/A", "N/A")
     assert sorted(map(tuple, report.result_summary(rows).collect())) == [
         (1, 2, "0.500", "0.700"), (2, 1, "N/A", "N/A"),
     ]

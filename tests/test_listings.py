@@ -106,6 +106,7 @@ def test_workbook_falls_back_to_its_first_table(spark, tmp_path):
     (book / f"{source.CURATED_TABLE}.parquet").write_bytes(b"broken")
     with pytest.warns(UserWarning, match="skipped"):
         assert source.prefer_curated_table(spark, str(book)).first().SKU == "a"
+    assert source.combine_listings(spark, str(tmp_path)).columns == ["Best_ZSKU", "Title", "Source File"]
     with pytest.warns(UserWarning, match="skipped"):
         rows = source.load_listings(spark, str(tmp_path)).collect()
     assert [(r.row_id, r.sku, r.source_file) for r in rows] == [(1, "a", "book")]
@@ -119,6 +120,13 @@ def test_empty_and_unreadable_folders(spark, tmp_path):
         source.load_listings(spark, str(tmp_path))
 
 
+def test_pattern_ignores_case_beyond_ascii(spark):
+    from twinscout.operators.matching import title_contains
+
+    rows = spark.createDataFrame([("CAFÉ Massager",), (None,), ("other",)], "title string")
+    assert title_contains(rows, "café").count() == 1 and title_contains(rows, "massager").count() == 1
+
+
 def test_missing_matches_folder_is_an_error(spark, tmp_path):
     with pytest.raises(Exception):
         read_matches(spark, f"{tmp_path}/none").count()

@@ -62,7 +62,7 @@ def price_range(
 
 def title_contains(df: DataFrame, pattern: str, column: str = "title") -> DataFrame:
     """Rows whose title matches a pattern in any letter case."""
-    hit = F.coalesce(F.col(column).rlike("(?i)" + pattern), F.lit(False))
+    hit = F.coalesce(F.col(column).rlike("(?iu)" + pattern), F.lit(False))
     return df.where(hit)
 
 

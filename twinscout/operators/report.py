@@ -136,27 +136,39 @@ def displayed_price(label: Column) -> Column:
     return F.regexp_extract(label, r"(-?[0-9]+)$", 1).try_cast("double")
 
 
-def price_bounds(matches: DataFrame) -> DataFrame:
+def _for_all(queries: DataFrame | None, facts: DataFrame) -> DataFrame:
+    """One row for every query, also for those without any match."""
+    return facts if queries is None else queries.select("query_id").join(facts, "query_id", "left")
+
+
+def price_bounds(matches: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Whole lowest and highest price per query (fraction cut off), 0 and 999 without
     any price."""
-    return matches.groupBy("query_id").agg(
-        F.coalesce(F.min("price").cast("bigint"), F.lit(DEFAULT_LOW_PRICE)).alias("min_price"),
-        F.coalesce(F.max("price").cast("bigint"), F.lit(DEFAULT_HIGH_PRICE)).alias("max_price"),
+    facts = matches.groupBy("query_id").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    return _for_all(queries, facts).select(
+        "query_id",
+        F.coalesce(F.col("low").cast("bigint"), F.lit(DEFAULT_LOW_PRICE)).alias("min_price"),
+        F.coalesce(F.col("high").cast("bigint"), F.lit(DEFAULT_HIGH_PRICE)).alias("max_price"),
     )
 
 
-def result_summary(matches: DataFrame) -> DataFrame:
+def result_summary(matches: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Match count and the best scores per query as shown (3 decimals, or ``N/A``)."""
 
     def best(column: str) -> Column:
-        value = F.max(column)
-        text = F.call_function("format_number", value, F.lit("0.000"))
-        return F.when(value > 0, text).otherwise(F.lit("N/A"))
+        text = F.call_function("format_number", F.col(column), F.lit("0.000"))
+        return F.when(F.col(column) > 0, text).otherwise(F.lit("N/A")).alias(column)
 
-    return matches.groupBy("query_id").agg(
+    facts = matches.groupBy("query_id").agg(
         F.count("*").alias("total_matches"),
-        best("ai_score").alias("best_visual"),
-        best("text_similarity").alias("best_text"),
+        F.max("ai_score").alias("best_visual"),
+        F.max("text_similarity").alias("best_text"),
+    )
+    return _for_all(queries, facts).select(
+        "query_id",
+        F.coalesce("total_matches", F.lit(0)).alias("total_matches"),
+        best("best_visual"),
+        best("best_text"),
     )
 
 

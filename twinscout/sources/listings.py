@@ -44,14 +44,14 @@ def table_format(name: str) -> str | None:
     return suffix if suffix in FORMATS else None
 
 
-def workbook_choices(spark: SparkSession, workbook: str) -> list[str]:
-    """The tables of a workbook directory to try, best first: the curated one, then the
-    first by name."""
+def workbook_choices(spark: SparkSession, workbook: str, curated_first: bool = True) -> list[str]:
+    """The tables of a workbook directory to try, best first: the curated one (if
+    wanted), then the first by name."""
     tables = [(name, path) for name, path, _ in list_entries(spark, workbook) if table_format(name)]
     if not tables:
         raise FileNotFoundError(f"no tables in {workbook!r}")
     curated = [path for name, path in tables if name.rsplit(".", 1)[0] == CURATED_TABLE]
-    return [*curated, tables[0][1]]
+    return [*curated, tables[0][1]] if curated_first else [tables[0][1]]
 
 
 def prefer_curated_table(spark: SparkSession, workbook: str) -> DataFrame:
@@ -73,7 +73,9 @@ def read_table(spark: SparkSession, paths: list[str]) -> DataFrame:
     raise ValueError(f"unknown table format: {paths[0]!r}")
 
 
-def find_tables(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+def find_tables(
+    spark: SparkSession, path: str, curated_first: bool = True
+) -> list[tuple[str, list[str]]]:
     """(source name, paths to try) of a single table, or of every table and workbook of
     a directory, in name order."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
@@ -84,7 +86,7 @@ def find_tables(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
         if table_format(entry):
             tables.append((entry, [full]))
         elif directory:
-            tables.append((entry, workbook_choices(spark, full)))
+            tables.append((entry, workbook_choices(spark, full, curated_first)))
     if not tables:
         raise FileNotFoundError(f"no listing tables in {path!r}")
     return tables
@@ -157,17 +159,13 @@ def unite(
     return union_evolving(frames)
 
 
-def read_sources(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
-    return unite(spark, find_tables(spark, path), normalize)
-
-
 def load_listings(spark: SparkSession, path: str, row_ids: bool = True) -> DataFrame:
     """Canonical listings of a table, workbook or directory, numbered in file order.
 
     Set ``spark.sql.files.ignoreCorruptFiles`` to also pass over files that turn out
     damaged while being read.
     """
-    return number_rows(read_sources(spark, path), row_ids)
+    return number_rows(unite(spark, find_tables(spark, path)), row_ids)
 
 
 def number_rows(df: DataFrame, row_ids: bool = True) -> DataFrame:
@@ -178,8 +176,10 @@ def number_rows(df: DataFrame, row_ids: bool = True) -> DataFrame:
 
 
 def combine_listings(spark: SparkSession, path: str) -> DataFrame:
-    """All tables as they are, columns not renamed, plus their source."""
-    return read_sources(spark, path, normalize=False).drop("_file", "_block", "_at")
+    """All tables as they are, columns not renamed and of a workbook simply its first
+    table, plus their source."""
+    tables = find_tables(spark, path, curated_first=False)
+    return unite(spark, tables, normalize=False).drop("_file", "_block", "_at")
 
 
 def write_combined(df: DataFrame, path: str) -> None:

@@ -508,12 +508,13 @@ SELECT l.row_id, l.sku, a.zsku AS "Best_ZSKU", a.brand AS "Best_Brand", a.color
 FROM listings l LEFT JOIN looked_up a ON a.key = upper(l.sku)""",
         "resolve_reference_title": f"WITH {BATCH_SCORES} SELECT query_id, reference_title, reference_row FROM refs",
         # aggregates
-        "price_bounds": f"""WITH {BATCH} SELECT query_id, CAST(trunc(min(price)) AS BIGINT) AS min_price,
-  CAST(trunc(max(price)) AS BIGINT) AS max_price FROM result GROUP BY query_id""",
-        "result_summary": f"""WITH {BATCH} SELECT query_id, count(*) AS total_matches,
+        "price_bounds": f"""WITH {BATCH} SELECT q.query_id, coalesce(CAST(trunc(min(r.price)) AS BIGINT), 0) AS min_price,
+  coalesce(CAST(trunc(max(r.price)) AS BIGINT), 999) AS max_price
+FROM queries q LEFT JOIN result r ON r.query_id = q.query_id GROUP BY q.query_id""",
+        "result_summary": f"""WITH {BATCH} SELECT q.query_id, count(r.query_id) AS total_matches,
   CASE WHEN max(ai_score) > 0 THEN printf('%.3f', max(ai_score)) ELSE 'N/A' END AS best_visual,
   CASE WHEN max(text_similarity) > 0 THEN printf('%.3f', max(text_similarity)) ELSE 'N/A' END AS best_text
-FROM result GROUP BY query_id""",
+FROM queries q LEFT JOIN result r ON r.query_id = q.query_id GROUP BY q.query_id""",
         "sku_profile": """SELECT count(*) AS total_rows,
   count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey END) AS unique_skus,
   count(*) - count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey END) AS duplicate_skus FROM lineitem""",

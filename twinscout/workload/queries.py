@@ -527,12 +527,14 @@ def resolve_reference_title(spark, sf_dir):
 
 @registered
 def price_bounds(spark, sf_dir):
-    return report.price_bounds(_batch(spark, sf_dir))
+    asked = views.batch_queries(spark, sf_dir)
+    return report.price_bounds(_batch(spark, sf_dir, asked), asked[0])
 
 
 @registered
 def result_summary(spark, sf_dir):
-    return report.result_summary(_batch(spark, sf_dir))
+    asked = views.batch_queries(spark, sf_dir)
+    return report.result_summary(_batch(spark, sf_dir, asked), asked[0])
 
 
 @registered
@@ -671,8 +673,8 @@ def _flagship(spark, sf_dir, top_k: int = matching.VISUAL_TOP_K) -> DataFrame:
     )
 
 
-def _batch(spark, sf_dir) -> DataFrame:
-    queries, query_vectors = views.batch_queries(spark, sf_dir)
+def _batch(spark, sf_dir, asked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    queries, query_vectors = asked or views.batch_queries(spark, sf_dir)
     return find_duplicates_batch(
         views.listings(spark, sf_dir), queries, query_vectors,
         views.images(spark, sf_dir), views.title_vectors(spark, sf_dir),
