@@ -174,7 +174,8 @@ def resolve_reference_title(
     In order: the title given; the title of the first listing whose SKU is exactly the
     stem of a query image, images in order; the title of the best-scoring key found
     among the listings.  ``reference_row`` is null for a given title; a query without
-    any title is absent.  Only listings inside the query's price range count.
+    any title is absent.  Only listings inside the query's price range count.  Queries and
+    scores are read twice; hand in tables, not the search that makes them.
 
     Both kinds of option, stems and scored keys, look their SKU up in one pass over the
     listings.  That pass asks only for the first listing per SKU and price range, an

@@ -32,8 +32,8 @@ def enrich_attributes(
     """Left-join attribute columns (sku, row_id, ...) to matches, SKU in any letter case.
 
     Of one exact SKU the last row counts; of several spellings the one seen first.  The
-    attribute table is first cut down to the SKUs among the matches; both reductions are
-    aggregates combined before their shuffle.
+    attribute table is first cut down to the SKUs among the matches (which are thereby
+    read twice); both reductions are aggregates combined before their shuffle.
     """
     extras = [c for c in attributes.columns if c not in ("sku", "row_id")]
     asked = matches.select(F.upper(strip(F.col("sku"))).alias("_key")).distinct()

@@ -17,7 +17,7 @@ from twinscout.plans.search import find_duplicates_batch
 from twinscout.sources import images as image_source
 from twinscout.sources import listings as listing_source
 from twinscout.sources.matches import read_matches, write_matches
-from twinscout.sources.shared import new_shared_path
+from twinscout.sources.shared import materialized, new_shared_path
 from twinscout.workload import views
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -516,9 +516,8 @@ def enrich_attributes(spark, sf_dir):
 def resolve_reference_title(spark, sf_dir):
     queries, query_vectors = views.batch_queries(spark, sf_dir)
     hits = matching.visual_search(views.images(spark, sf_dir), query_vectors)
-    titles = matching.resolve_reference_title(
-        views.listings(spark, sf_dir), queries, matching.visual_scores(hits)
-    )
+    scores = materialized(matching.visual_scores(hits), "scores")
+    titles = matching.resolve_reference_title(views.listings(spark, sf_dir), queries, scores)
     return titles.select("query_id", "reference_title", "reference_row")
 
 
@@ -644,10 +643,9 @@ def _card_columns(cards: DataFrame, *more: str) -> DataFrame:
 @registered
 def selection_export(spark, sf_dir):
     """The cheap half of every query's matches, selected and exported."""
-    matches = _batch(spark, sf_dir)
-    cards = report.card_fields(
-        report.enrich_attributes(matches, views.attributes(spark, sf_dir))
-    )
+    matches = materialized(_batch(spark, sf_dir), "matches")
+    enriched = report.enrich_attributes(matches, views.attributes(spark, sf_dir))
+    cards = materialized(report.card_fields(enriched), "cards")
     chosen = cards.where(F.col("shown_price") < 950).select("query_id", "sku")
     return report.selection_export(cards, chosen)
 
