@@ -41,6 +41,8 @@ def test_image_status(spark, folder):
     assert status == {"z1.png": "ok", "empty.jpg": "empty", "broken.jpg": "corrupt", "_z2.png": "corrupt", "a b+c.png": "ok"}
     listed = {r.file_name for r in image_listing(spark, str(path)).collect()}
     assert "z1.png" in listed and "empty.jpg" not in listed
+    listing = image_listing(spark, str(path))
+    assert cache.index_delta(listing, listing.where("file_name <> 'z1.png'")).first().action == "add"
 
 
 def test_fetch_plan(spark):

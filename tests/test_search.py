@@ -112,6 +112,18 @@ def test_text_similarity_normalises_and_filters(spark):
     assert got == {1: 1.0, 3: 0.707107}
 
 
+def test_pair_similarity(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 20, 5)).astype(np.float32)
+    rows = spark.createDataFrame(
+        [(i, a[i].tolist(), b[i].tolist()) for i in range(20)], "i int, a array<float>, b array<float>"
+    )
+    got = [r[0] for r in rows.orderBy("i").select(m.pair_text_sim(F.col("a"), F.col("b"))).collect()]
+    a, b = a.astype(float), b.astype(float)
+    expected = (a * b).sum(axis=1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)
+    assert got == pytest.approx(list(expected))
+
+
 def test_zero_threshold_is_the_default(spark):
     rows = spark.createDataFrame([(0.69,), (0.70,)], "text_similarity double")
     assert [r[0] for r in m.text_threshold(rows, F.lit(0.0)).collect()] == [0.70]

@@ -72,6 +72,12 @@ def test_model_codes_and_numbers(spark):
     ]
 
 
+def test_numbers_and_modifiers_that_tell_products_apart(spark):
+    titles = ["Phone 14 Pro 128 021", "mini PRO-max air"]
+    assert evaluate(spark, titles, text.telling_numbers(F.col("x"))) == [["14", "21"], []]
+    assert evaluate(spark, titles, text.title_modifiers(F.col("x"))) == [["pro"], ["air", "mini"]]
+
+
 def test_fixed_lists_have_their_sizes():
     assert len(set(text.STOP_WORDS)) == 21
     assert len(set(text.SPEC_NUMBERS)) == 51

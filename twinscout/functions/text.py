@@ -149,14 +149,21 @@ def model_conflict(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
 
 
-def strict_mismatch(a: Column, b: Column) -> Column:
-    """Two ``title_features`` structs describe different products.
+def number_conflict(a: Column, b: Column) -> Column:
+    """Some ``telling_numbers`` value is in exactly one title.  Both arrays are sorted and
+    without the tolerated values, so this is plain inequality."""
+    return a != b
+
+
+def modifier_conflict(a: Column, b: Column) -> Column:
+    """Some ``title_modifiers`` word is in exactly one title; sorted arrays again."""
+    return a != b
 
-    Numbers and modifiers are stored sorted and without the tolerated values, so "some
-    value is in exactly one title" is plain inequality of the two arrays.
-    """
+
+def strict_mismatch(a: Column, b: Column) -> Column:
+    """Two ``title_features`` structs describe different products."""
     return (
         model_conflict(a["models"], b["models"])
-        | (a["numbers"] != b["numbers"])
-        | (a["modifiers"] != b["modifiers"])
+        | number_conflict(a["numbers"], b["numbers"])
+        | modifier_conflict(a["modifiers"], b["modifiers"])
     )

@@ -131,11 +131,6 @@ def sort_report(df: DataFrame, sort_by: str = "rank", price: str = "shown_price"
     return df.withColumn("position", F.row_number().over(page))
 
 
-def displayed_price(label: Column) -> Column:
-    """The number in a price label, null for ``N/A``."""
-    return F.regexp_extract(label, r"(-?[0-9]+)$", 1).try_cast("double")
-
-
 def _for_all(queries: DataFrame | None, facts: DataFrame) -> DataFrame:
     """One row for every query, also for those without any match."""
     return facts if queries is None else queries.select("query_id").join(facts, "query_id", "left")

@@ -23,11 +23,12 @@ def image_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def image_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Names, lengths and times of the cached files without reading their contents.
+    """Paths, lengths and times of the cached files without reading their contents.
     Spark's file sources pass over empty files and names starting with ``_``; a cache
     that may hold such files keeps its own manifest instead."""
     files = spark.read.format("binaryFile").load(folder)
     return files.select(
+        "path",
         file_name(F.col("path")).alias("file_name"),
         image_key(F.col("path")).alias("sku_key"),
         "length",

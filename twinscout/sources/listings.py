@@ -32,12 +32,6 @@ def list_entries(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
     return sorted(e for e in entries if not e[0].startswith((".", "_")))
 
 
-def is_directory(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.getFileStatus(folder).isDirectory()
-
-
 def table_format(name: str) -> str | None:
     """The format a file or directory name announces."""
     suffix = name.rsplit(".", 1)[-1].lower() if "." in name else ""

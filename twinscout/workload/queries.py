@@ -388,7 +388,7 @@ def model_conflict(spark, sf_dir):
 def number_conflict(spark, sf_dir):
     mine, theirs = F.col("mine.numbers"), F.col("theirs.numbers")
     return _document_features(spark, sf_dir).select(
-        "doc_id", words(mine).alias("numbers"), (mine != theirs).alias("conflict")
+        "doc_id", words(mine).alias("numbers"), text.number_conflict(mine, theirs).alias("conflict")
     )
 
 
@@ -396,7 +396,7 @@ def number_conflict(spark, sf_dir):
 def modifier_conflict(spark, sf_dir):
     mine, theirs = F.col("mine.modifiers"), F.col("theirs.modifiers")
     return _neighbour_listings(spark, sf_dir).select(
-        "row_id", words(mine).alias("modifiers"), (mine != theirs).alias("conflict")
+        "row_id", words(mine).alias("modifiers"), text.modifier_conflict(mine, theirs).alias("conflict")
     )
 
 
