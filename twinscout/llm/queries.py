@@ -7,8 +7,9 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinscout.llm import line_dedup, mixing, packing, simhash, toxicity
+from twinscout.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, token_files, toxicity, url_filter
 from twinscout.llm.common import table
+from twinscout.sources.shared import new_shared_path
 
 REGISTRY = {}
 
@@ -41,6 +42,19 @@ def op2_toxicity(spark, sf_dir):
     )
 
 
+#: The URL rules of the contract, as (verdict, host and path).
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@registered
+def op3_url_filter(spark, sf_dir):
+    """Labels of a page are those of the document of its number: bad if toxic or of low quality."""
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("blocked"))
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @registered
 def op4_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -50,6 +64,38 @@ def op4_packing(spark, sf_dir):
     )
 
 
+@registered
+def op5_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def of_kind(kind: str) -> Column:
+        return F.filter("secrets", lambda span: span.kind == kind)
+
+    all_base = F.filter("secrets", lambda s: s.order < len(secrets.BASE_RULES))
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(rule.kind)).cast("bigint").alias(f"n_{rule.kind}") for rule in secrets.BASE_RULES],
+        F.sha2(secrets.spans_text(all_base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("secrets")).alias("spans"),
+    )
+
+
+@registered
+def op6_token_files(spark, sf_dir):
+    folder = new_shared_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = token_files.write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_token_files(spark, folder, shards)
+
+
+@registered
+def op7_exact_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = exact_dedup.exact_duplicates(docs)
+    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    return found.select("doc_id", "keep_id", "group_size", "kept", digest.alias("text_sha256"))
+
+
 @registered
 def op8_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,6 +103,12 @@ def op8_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@registered
+def op9_quality(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", *quality.METRICS, "base_failed", "kept")
+
+
 @registered
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
