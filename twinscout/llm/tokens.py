@@ -68,8 +68,9 @@ class Encoder:
         except KeyError:
             if len(table) > TABLE_ENTRIES:
                 table.clear()
-            for piece in set(pieces) - table.keys():
-                table[piece] = self._piece(piece)
+            for piece in set(pieces):
+                if piece not in table:
+                    table[piece] = self._piece(piece)
             return b"".join(map(table.__getitem__, pieces))
 
 
