@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from twinscout.llm.common import free_name, in_slices
+from twinscout.operators.sizing import broadcast_measured
 
 #: Slots of the four-gram and the context table: primes, a gram's slot is its remainder.
 GRAM_SLOTS = 1_048_573
@@ -207,6 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000) ->
         .groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") == 1).alias("toxic"))
     )
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    marks = broadcast_measured(marks, F.lit(24))  # else texts would be shuffled for a few labels
     rows = texts.join(marks, "_id").withColumn(
         "fold", F.pmod(F.floor(F.crc32(F.col("_id").cast("string").cast("binary")) / 4), F.lit(8))
     )
