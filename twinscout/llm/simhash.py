@@ -9,9 +9,10 @@ sub-blocks of at most 8 bits, from histograms over all classes.
 
 Every class is indexed by its value in each part and probes the values around it; the distance
 is verified inside the join, so only links leave it.  A pair is reported in the first part that
-finds it.  Links within a group that shares a verified leader are left out: leader and members
-are linked already, so connected components stay the same and a large group of near copies
-does not emit all its pairs.
+finds it.  Before that join every class is labelled by a verified leader (one class per value
+and part is offered).  Classes of one label are linked through it, so only links between labels
+leave the join, and components are found over labels: they stay the same, and a large group of
+near copies does not emit all its pairs.
 """
 
 from __future__ import annotations
@@ -272,10 +273,14 @@ def _apart(words: range, left: str, right: str) -> Column:
     return total
 
 
-def links(classes: DataFrame, radius: int, parts: int, words: int = 1, total: int | None = None) -> DataFrame:
-    """(a, b) by ``f0``: pairs of classes within ``radius`` in ``f0``, and within ``total`` bits over all
-    ``words`` where given, less those whose ends share a verified leader.  The links to leaders
-    are part of the result.  ``classes`` has distinct rows f0, f1, ...; it is read several times."""
+def links(
+    classes: DataFrame, radius: int, parts: int, words: int = 1, total: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Labels (f0, leader) of all classes, and links (a, b) between different labels.
+
+    Classes are linked within ``radius`` bits of ``f0``, and within ``total`` bits over all ``words`` where
+    given; a class is linked to its leader or is its own.  ``classes`` has distinct rows f0, f1,
+    ...; it is read several times."""
     correlation, rows = correlations(classes)
     groups = group_bits(correlation, parts)
     thresholds = allot(distance_shares(classes, groups), groups, rows, radius)
@@ -302,6 +307,12 @@ def links(classes: DataFrame, radius: int, parts: int, words: int = 1, total: in
     chosen = chosen.join(heads, "a", "left").where("head IS NULL").select(F.col("a").alias("f0"), "leader")
     marked = classes.join(materialized(chosen, "chosen"), "f0", "left").withColumn("leader", F.coalesce("leader", "f0"))
     marked = materialized(marked.select(*names, "leader"), "marked")
+    labels = marked.select("f0", "leader")
+    # What other leaders a class has, as links between labels.
+    of_a = labels.select(F.col("f0").alias("a"), F.col("leader").alias("of_a"))
+    of_b = labels.select(F.col("f0").alias("b"), F.col("leader").alias("of_b"))
+    led = led.join(of_a, "a").where("b != of_a").select("of_a", "b").distinct().join(of_b, "b")
+    led = led.where("of_a != of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     own = _keyed(marked, groups, thresholds, probes=False)
     sides = own.withColumn("probe", F.lit(0)).unionByName(
         _keyed(marked, groups, thresholds, probes=True).withColumn("probe", F.lit(1))
@@ -321,8 +332,8 @@ def links(classes: DataFrame, radius: int, parts: int, words: int = 1, total: in
         & ~earlier
     )
     found = sides.alias("l").join(own.alias("r"), condition)
-    found = found.select(F.col("l.f0").alias("a"), F.col("r.f0").alias("b"))
-    return found.unionByName(led.select("a", "b"))
+    found = found.select(F.col("l.leader").alias("a"), F.col("r.leader").alias("b"))
+    return labels, found.unionByName(led).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -373,10 +384,12 @@ def near_duplicates(
         *[F.min(name).alias(name) for name in names[1:]], F.min("doc_id").alias("first_id")
     )
     classes = materialized(classes, "classes")
-    found = components(links(classes.select(*names), radius, parts, words, total))
-    joined = classes.join(found.withColumnRenamed("node", "f0"), "f0", "left").select(
-        "f0", "first_id", F.coalesce("component", "f0").alias("component")
+    labels, edges = links(classes.select(*names), radius, parts, words, total)
+    found = components(edges).withColumnRenamed("node", "leader")
+    joined = classes.join(labels, "f0").join(found, "leader", "left").select(
+        "f0", "first_id", F.coalesce("component", "leader").alias("component")
     )
+    joined = materialized(joined, "joined")
     smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = materialized(joined.join(smallest, "component").select("f0", "component", "component_id"), "named")
     return marks.join(named, "f0").select(*keys, "f0", "component", "component_id")
