@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 300_000
 #: Characters whose class and case agree in every Unicode version: anything else takes the
 #: library's path.
 _UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-įı-ňŊ-ž]")
@@ -30,6 +31,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + at) for at, b in enumerate(others)}
 
 
+class _Table(dict):
+    """Ids by text, made where missing; emptied when full, so its size is bounded."""
+
+    def __init__(self, make, entries: int):
+        self.make, self.entries = make, entries
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) >= self.entries:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """``encode(text)`` -> ids as little-endian unsigned 32-bit bytes."""
 
@@ -38,17 +53,20 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.lower, self.split = _rules(json.loads(definition))
         self.letters = _byte_letters()
-        self.table: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words = _Table(self._word, TABLE_ENTRIES)
+        self.pieces = _Table(self._piece, TABLE_ENTRIES // 2)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _piece(self, piece: str) -> bytes:
-        ids = []
-        for word in self.split.findall(piece):
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            ids.extend(token.id for token in self.tokenizer.model.tokenize(letters))
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, self.split.findall(piece)))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -62,16 +80,7 @@ class Encoder:
         else:
             first, *rest = text.split(" ")
             pieces = [first, *[" " + piece for piece in rest]]
-        table = self.table
-        try:
-            return b"".join(map(table.__getitem__, pieces))
-        except KeyError:
-            if len(table) > TABLE_ENTRIES:
-                table.clear()
-            for piece in set(pieces):
-                if piece not in table:
-                    table[piece] = self._piece(piece)
-            return b"".join(map(table.__getitem__, pieces))
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 def _rules(definition: dict):
