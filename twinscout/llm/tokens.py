@@ -17,7 +17,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 400_000
 #: Characters whose class and case agree in every Unicode version: anything else takes the
 #: library's path.
 _UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-įı-ňŊ-ž]")
@@ -32,14 +32,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Table(dict):
-    """Ids by text, made where missing; emptied when full, so its size is bounded."""
+    """Ids by text, made where missing.  A full table becomes the old one, from which entries that
+    are met again come back, so frequent ones stay and the size is bounded."""
 
     def __init__(self, make, entries: int):
-        self.make, self.entries = make, entries
+        self.make, self.half, self.old = make, entries // 2, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(self) >= self.entries:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -61,11 +65,18 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        letters = word.replace(" ", self.letters[32])
+        if not word.isascii() or not letters[1:].isalpha():
+            letters = word.encode().decode("latin-1").translate(self.letters)
         ids = [token.id for token in self.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():
+            return self.words[piece]
+        if piece[-1:] in (".", ",", "!", "?") and body[:-1].isalpha():
+            return self.words[piece[:-1]] + self.words[piece[-1]]
         return b"".join(map(self.words.__getitem__, self.split.findall(piece)))
 
     def encode(self, text: str | None) -> bytes:
