@@ -4,8 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from twinscout.workload.oracles import ORACLES
+from twinscout.workload.queries import REGISTRY as QUERIES
 
 
 @pytest.fixture(scope="module")

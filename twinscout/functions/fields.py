@@ -47,10 +47,17 @@ def image_key(path: Column) -> Column:
 
 
 def as_text(col: Column, dtype: T.DataType) -> Column:
-    """Render a cell as text; whole floating numbers lose their ``.0``."""
+    """Render a cell as text; whole floating numbers lose their ``.0``, none gets an exponent
+    between 1e-3 and 1e38."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        whole = (F.abs(col) < F.lit(1e15)) & (col == F.floor(col))
-        return F.when(whole, col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+        plain = col.cast("string")
+        whole = (F.abs(col) < F.lit(1e38)) & (col == F.rint(col))
+        long_fraction = F.regexp_replace(plain.try_cast("decimal(38,18)").cast("string"), "0+$", "")
+        return (
+            F.when(whole, plain.try_cast("decimal(38,0)").cast("string"))
+            .when((F.abs(col) >= F.lit(1e7)) & (F.abs(col) < F.lit(1e17)), long_fraction)
+            .otherwise(plain)
+        )
     return col.cast("string")
 
 

@@ -29,7 +29,8 @@ STEM_BYTES = 256
 
 
 def in_price_range(price: Column, low: Column, high: Column) -> Column:
-    """Inclusive bounds; a null bound is open, a missing price fails any set bound."""
+    """Inclusive bounds; a null bound is open, a missing price (NaN too) fails any set bound."""
+    price = F.when(~F.isnan(price), price)
     return (low.isNull() | F.coalesce(price >= low, F.lit(False))) & (
         high.isNull() | F.coalesce(price <= high, F.lit(False))
     )

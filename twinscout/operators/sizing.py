@@ -41,15 +41,15 @@ def top_per_group(
     limit: int,
     spread: Sequence[str],
     position: str = "position",
+    salts: int = 8,
 ) -> DataFrame:
     """First ``limit`` rows of every group with their 1-based position.
 
     ``order`` must be a total order.  Few groups (often one) meet many input tasks, so
     every group is first cut inside salted sub-groups (hash of the ``spread`` columns)
-    and only the survivors meet in one task: at most ``limit`` x salts rows.  Both cuts
+    and only the survivors meet in one task: at most ``limit`` x ``salts`` rows.  Both cuts
     also happen before their shuffle, because Spark pushes a rank limit below it.
     """
-    salts = shuffle_partitions(df.sparkSession) // 16
     if salts > 1:
         salt = F.pmod(F.xxhash64(*spread), F.lit(salts))
         within = Window.partitionBy(*keys, "_salt").orderBy(*order)

@@ -29,6 +29,9 @@ def list_entries(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
     folder = jvm.org.apache.hadoop.fs.Path(path)
     found = folder.getFileSystem(conf).listStatus(folder)
     entries = [(s.getPath().getName(), s.getPath().toString(), s.isDirectory()) for s in found]
+    for name, _, _ in entries:
+        if name.startswith((".", "_")) and table_format(name):
+            warnings.warn(f"skipped {name!r}: Spark reads no table whose name begins so; rename it", stacklevel=3)
     return sorted(e for e in entries if not e[0].startswith((".", "_")))
 
 
@@ -55,13 +58,17 @@ def prefer_curated_table(spark: SparkSession, workbook: str) -> DataFrame:
     return normalize_columns(read_table(spark, [path]))
 
 
-def read_table(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Read tables of one format and layout.  Text formats give text columns."""
+def read_table(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+    """Read tables of one format and layout.  Text formats give text columns.
+
+    CSV cells may hold doubled quotes, commas and line breaks.  A file whose cells hold no line
+    break can be read in parallel pieces with ``multi_line=False``.
+    """
     kind = table_format(paths[0].rstrip("/").rsplit("/", 1)[-1])
     if kind == "parquet":
         return spark.read.parquet(*paths)
     if kind == "csv":
-        return spark.read.option("header", True).option("multiLine", False).csv(paths)
+        return spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"').csv(paths)
     if kind == "json":
         return spark.read.option("primitivesAsString", True).json(paths)
     raise ValueError(f"unknown table format: {paths[0]!r}")

@@ -9,10 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where the session names none
-    (tests on one machine) a new temporary folder is set."""
+    """The folder named by ``spark.checkpoint.dir`` or by the context's own checkpoint folder.
+
+    Where none is named, a new temporary folder is set on a local master, as in tests; any
+    other master is an error, since its workers would write to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = own.get() if own.isDefined() else None
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all workers of {master} share")
         folder = tempfile.mkdtemp(prefix="twinscout-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

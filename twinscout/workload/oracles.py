@@ -527,9 +527,9 @@ SELECT count(*) AS original, count(*) FILTER (WHERE price >= 905) AS min_price,
 FROM lf, wanted""",
         # ranking and report
         "rank_matches": f"""WITH {ATTRIBUTES}, s AS (
-  SELECT CAST(CAST('0x' || substr(md5(brand), 1, 6) AS INTEGER) AS BIGINT) AS query_id,
+  SELECT coalesce(CAST(CAST('0x' || substr(md5(brand), 1, 6) AS INTEGER) AS BIGINT), -1) AS query_id,
     CAST(stock AS DOUBLE) AS visual_score, round(match_count / 100000) AS text_similarity, row_id
-  FROM attributes WHERE brand IS NOT NULL),
+  FROM attributes),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id
   ORDER BY visual_score DESC, text_similarity DESC, row_id) AS rank FROM s)
 SELECT * FROM r WHERE rank <= 300""",

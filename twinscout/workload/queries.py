@@ -566,14 +566,14 @@ def filter_counts(spark, sf_dir):
 
 @registered
 def rank_matches(spark, sf_dir):
-    """Attribute rows ranked per brand: many ties, one query per priority."""
+    """Attribute rows ranked per brand: many ties, one query per priority, -1 for none."""
     scored = views.attributes(spark, sf_dir).select(
         F.conv(F.substring(F.md5("Best_Brand"), 1, 6), 16, 10).cast("bigint").alias("query_id"),
         F.col("Best_Stock").cast("double").alias("visual_score"),
         F.round(F.col("Match_Count") / 100000).alias("text_similarity"),
         "row_id",
     )
-    return matching.rank_matches(scored.where("query_id is not null"), 300)
+    return matching.rank_matches(scored.withColumn("query_id", F.coalesce("query_id", F.lit(-1))), 300)
 
 
 def _cards(spark, sf_dir) -> DataFrame:
