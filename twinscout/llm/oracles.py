@@ -17,7 +17,7 @@ FROM t JOIN g USING (norm)
     "op8_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
     FROM documents
 ), keyed AS (
     SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -30,7 +30,7 @@ WITH lines AS (
     SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.last AS dropped FROM keyed k LEFT JOIN repeated r USING (key)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT dropped), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """,
 }
