@@ -57,6 +57,18 @@ def unique(stem: str) -> str:
     return f"{stem}_{uuid.uuid4().hex[:12]}"
 
 
+#: Texts differ in length by orders of magnitude, so rows alone do not bound a batch.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches between the JVM and its Python workers by bytes, in a session that
+    sets no bound of its own."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
 def in_slices(batch: pa.RecordBatch, rows: int = 256):
     """A batch in small slices, so that Python objects of only few texts live at a time."""
     for at in range(0, batch.num_rows, rows):

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from twinscout.llm.common import content_key, free_name, id_or_least, in_slices, shuffle_partitions
+from twinscout.llm.common import bound_batches, content_key, free_name, id_or_least, in_slices, shuffle_partitions
 from twinscout.operators.sizing import broadcast_measured
 from twinscout.sources.shared import materialized
 
 RUN_ROWS = 1_000_000
 
+
 def _line_keys(min_chars: int):
     def keys(batches):
         for whole in batches:
@@ -136,6 +137,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     """(doc_id, text_key, position) of the lines to drop: keys of at least ``min_chars`` code
     points in at least ``min_docs`` documents keep their lines only in the largest doc_id."""
     spark = docs.sparkSession
+    bound_batches(spark)
     keys = line_keys(docs, min_chars)
     order = ["h1", "h2", "doc_id", "text_key", "position"]
     ranged = keys.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscout.llm import tokens
-from twinscout.llm.common import in_slices
+from twinscout.llm.common import bound_batches, in_slices
 
 WINDOW = 4096
-POOL_TOKENS = 4_000_000
+POOL_TOKENS = 2_000_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -168,6 +168,7 @@ def pack_documents(
     packed each.  ``sequence_id`` is unique (the task's number above 2**40) but not gapless; a
     lost task is packed again alike, as it reads the same split in the same order.
     """
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(tokens.definition(tokenizer_path))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return chosen.mapInArrow(_packer(shipped, end_id, window, slack, pool_tokens), SCHEMA)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinscout.llm.common import NULL_ID, content_key, id_or_least, in_slices
+from twinscout.llm.common import NULL_ID, bound_batches, content_key, id_or_least, in_slices
 from twinscout.operators.sizing import broadcast_measured
 from twinscout.sources.shared import materialized
 
@@ -82,6 +82,7 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keys: dict[str, Column] | None = None) -> DataFrame:
     """``keys`` (name -> long column; doc_id if not given) and ``f0``, ``f1``, ... of every row, from
     its whole text."""
+    bound_batches(docs.sparkSession)
     keys = keys or {"doc_id": F.col("doc_id")}
     chosen = docs.select(
         *[column.cast("long").alias(name) for name, column in keys.items()],

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscout.llm import tokens
-from twinscout.llm.common import NULL_ID, id_or_least, in_slices, shuffle_partitions
+from twinscout.llm.common import NULL_ID, bound_batches, id_or_least, in_slices, shuffle_partitions
 
 KINDS = ("ids", "offsets", "docs")
 READ_DOCS = 4096
@@ -78,6 +78,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     empty, so their one id is ``end_id``.  Every row is written, repeated ones too.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
     definition = tokens.definition(tokenizer_path)

@@ -17,7 +17,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 100_000
 #: Characters whose class and case agree in every Unicode version: anything else takes the
 #: library's path.
 _UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-įı-ňŊ-ž]")

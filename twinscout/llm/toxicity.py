@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from twinscout.llm.common import free_name, in_slices
+from twinscout.llm.common import bound_batches, free_name, in_slices
 from twinscout.operators.sizing import broadcast_measured
 
 #: Slots of the four-gram and the context table: primes, a gram's slot is its remainder.
@@ -135,6 +135,7 @@ def _shared(grams: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
 
 def train(labelled: DataFrame) -> Model:
     """Models from rows (text, toxic boolean).  At most a row for each slot reaches the driver."""
+    bound_batches(labelled.sparkSession)
     partial = labelled.select("text", "toxic").mapInArrow(_count_grams, "gram long, c0 long, c1 long")
     slot = F.pmod(F.col("gram"), F.lit(GRAM_SLOTS))
     rows = partial.groupBy(slot).agg(
@@ -173,6 +174,7 @@ def _scores(broadcast, columns):
 def log_likelihood_difference(docs: DataFrame, model, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``difference`` per row of ``docs``.  ``keys`` are long columns; ``model`` is
     a broadcast ``Model``."""
+    bound_batches(docs.sparkSession)
     schema = ", ".join(f"`{name}` long" for name in keys)
     chosen = docs.select(*[F.col(name).cast("long").alias(name) for name in keys], F.col(text).alias("text"))
     return chosen.mapInArrow(_scores(model, keys), f"{schema}, difference double")
@@ -244,6 +246,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     Rows go through the scorer whole, so no join is needed and rows with repeated or null ids
     are judged one by one.
     """
+    bound_batches(docs.sparkSession)
     mark = free_name(docs, "score")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
