@@ -365,3 +365,28 @@ def test_orientations_match_array_rotation(spark):
     got = {r.orientation: r.correlation for r in orientation_corr(pairs, 5).collect()}
     for name, expected in zip(ORIENTATIONS, turned):
         assert got[name] == pytest.approx(np.corrcoef(image.ravel(), expected.ravel())[0, 1])
+
+
+def test_a_key_filling_most_rows_is_spread(spark, plan):
+    rows = [(i, "hot" if i % 3 else f"s{i}", "ring", 1.0, i) for i in range(300)]
+    catalog = listings(spark, *rows)
+    scores = spark.createDataFrame([(1, "HOT", 0.5), (2, "S3", 0.4)], "query_id bigint, sku_key string, visual_score double")
+    split = m.attach_visual_score(catalog, scores, 10**9)
+    assert "_salt" in plan(split)
+    got = sorted((r.query_id, r.row_id) for r in split.collect())
+    assert got == sorted((r.query_id, r.row_id) for r in m.attach_visual_score(catalog, scores, 2).collect())
+    assert len(got) == 201
+
+
+def test_scores_of_another_query_do_not_count(spark):
+    catalog = listings(spark, (1, "a", "t", 1.0, 0), (2, "b", "t", 1.0, 0))
+    scores = spark.createDataFrame([(1, "A", 0.5), (2, "B", 0.4)], "query_id bigint, sku_key string, visual_score double")
+    assert [r.row_id for r in m.has_visual_score(catalog, scores, 2).collect()] == [2]
+
+
+def test_only_candidates_are_scored(spark):
+    pairs = spark.createDataFrame([(1, 5, 7), (1, 6, 8), (2, 7, 8), (2, 8, None), (2, 9, 3)], "query_id bigint, row_id bigint, text_vec_id bigint")
+    titles = vectors(spark, [(7, [3.0, 0.0]), (8, [0.0, 2.0]), (9, [1.0, 1.0]), (3, [0.0, 0.0])])
+    asked = spark.createDataFrame([(1, [1.0, 0.0], 0.5), (2, [1.0, 1.0], 0.5)], "query_id bigint, vector array<double>, floor double")
+    got = {r.row_id: round(r.text_similarity, 6) for r in m.candidate_text_sim(pairs, titles, asked).collect()}
+    assert got == {5: 1.0, 7: 0.707107}

@@ -9,6 +9,7 @@ from twinscout.functions.fields import file_name
 from twinscout.functions.text import strip, title_keywords
 from twinscout.operators.matching import has_title
 from twinscout.operators.sizing import broadcast_measured, broadcast_within
+from twinscout.sources.shared import materialized
 
 # Where a card's picture comes from when neither file is cached.
 PLACEHOLDER = "https://placehold.co/300x300/121829/ffffff?text=Image+Not+Found"
@@ -79,22 +80,24 @@ def keyword_fetch_scope(listings: DataFrame, queries: DataFrame) -> DataFrame:
     """Listings worth fetching images for: those sharing a keyword with the title of any
     query (query_id, reference_title) of the batch.
 
-    A query that no listing matches, or that has no title, asks for everything.  Which
-    queries match is settled by their keywords that occur in the catalog at all: one
-    pass whose result is at most the queries' own keywords.
+    A query that no listing matches, or that has no title, asks for everything.  One pass
+    takes the titles apart and writes the pairs of row number and asked keyword; both which
+    queries match and which listings are in scope are read from those.  ``row_id`` is unique.
     """
     asked = queries.select("query_id", title_keywords(F.col("reference_title")).alias("asked"))
     asked_words = asked.select("query_id", F.explode("asked").alias("keyword"))
     vocabulary = asked_words.select("keyword").distinct()
-    words = title_keywords(F.col("title"))
     small = broadcast_measured(vocabulary, F.length("keyword") * 4 + 32)
-    keyed = listings.withColumn("_words", F.when(has_title(F.col("title")), words))
-    present = keyed.select(F.explode("_words").alias("keyword")).join(small, "keyword", "left_semi").distinct()
+    words = listings.where(has_title(F.col("title"))).select(
+        "row_id", F.explode(title_keywords(F.col("title"))).alias("keyword")
+    )
+    hits = materialized(words.join(small, "keyword", "left_semi"), "scope")
+    present = hits.select("keyword").distinct()
     unmatched = asked.join(asked_words.join(present, "keyword", "left_semi"), "query_id", "left_anti")
-    wants_all = unmatched.agg((F.count("*") > 0).alias("all")).scalar()
-    everything = vocabulary.agg(F.collect_set("keyword").alias("words")).scalar()
-    in_scope = F.coalesce(F.arrays_overlap("_words", everything), F.lit(False))
-    return keyed.where(in_scope | wants_all).drop("_words")
+    if not unmatched.isEmpty():
+        return listings
+    rows = broadcast_measured(hits.select("row_id").distinct(), F.lit(16))
+    return listings.join(rows, "row_id", "left_semi")
 
 
 def index_delta(listing: DataFrame, index: DataFrame, no_indexing: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from twinscout.functions.fields import file_stem, parse_price, query_image_list
 from twinscout.functions.text import overlap_ratio, sku_key, strip, title_keywords
-from twinscout.operators.sizing import broadcast_measured, broadcast_within, top_per_group
+from twinscout.operators.sizing import broadcast_measured, broadcast_within, join_small, top_per_group
 from twinscout.operators.vectors import dot_product, l2_norm, nearest, similar
 
 # Search defaults.
@@ -113,10 +113,11 @@ def visual_scores(hits: DataFrame) -> DataFrame:
 
 
 def has_visual_score(
-    listings: DataFrame, scores: DataFrame, scores_at_most: int | None = None
+    listings: DataFrame, scores: DataFrame, query_id: int, scores_at_most: int | None = None
 ) -> DataFrame:
-    """Listings whose SKU key has a score."""
-    keys = broadcast_within(scores.select("sku_key"), scores_at_most, SCORE_BYTES)
+    """Listings whose SKU key has a score of the given query."""
+    own = scores.where(F.col("query_id") == query_id).select("sku_key")
+    keys = broadcast_within(own, scores_at_most, SCORE_BYTES)
     keyed = listings.withColumn("sku_key", sku_key(F.col("sku")))
     return keyed.join(keys, "sku_key", "left_semi")
 
@@ -127,7 +128,7 @@ def attach_visual_score(
     """Every listing with every query that scored its SKU key.  Duplicate SKU rows all
     stay; scores hold one row per key, so a hot SKU never multiplies."""
     keyed = listings.withColumn("sku_key", sku_key(F.col("sku")))
-    return keyed.join(broadcast_within(scores, scores_at_most, SCORE_BYTES), "sku_key")
+    return join_small(keyed, scores, ["sku_key"], scores_at_most, SCORE_BYTES)
 
 
 def effective_text_floor(min_text_sim: Column) -> Column:
@@ -150,6 +151,29 @@ def semantic_text_sim(title_vectors: DataFrame, query_vectors: DataFrame) -> Dat
     return similar(title_vectors, query_vectors)
 
 
+def candidate_text_sim(pairs: DataFrame, title_vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, text_vec_id, ...) whose cosine similarity reaches the query's floor, with
+    ``text_similarity``.
+
+    Only the title vectors that the pairs name leave the scan, and only the pairs are scored, so
+    nothing depends on how loose the floor is.  ``pairs`` are read twice; hand in a table.
+    """
+    named = pairs.select("text_vec_id").where("text_vec_id is not null").distinct()
+    titles = title_vectors.join(broadcast_measured(named, F.lit(16)), "text_vec_id", "left_semi").select(
+        "text_vec_id", F.col("vector").alias("_title"), l2_norm(F.col("vector")).alias("_title_norm")
+    )
+    asked = query_vectors.select(
+        "query_id", "floor", F.col("vector").alias("_asked"), l2_norm(F.col("vector")).alias("_asked_norm")
+    )
+    both = pairs.join(titles, "text_vec_id").join(
+        broadcast_measured(asked, F.size("_asked") * 8 + F.lit(64)), "query_id"
+    )
+    norms = F.col("_title_norm") * F.col("_asked_norm")
+    cosine = F.when(norms > 0, dot_product(F.col("_title"), F.col("_asked")) / norms).otherwise(F.lit(0.0))
+    scored = both.withColumn("text_similarity", cosine).where(F.col("text_similarity") >= F.col("floor"))
+    return scored.drop("floor", "_title", "_title_norm", "_asked", "_asked_norm")
+
+
 def pair_text_sim(a: Column, b: Column) -> Column:
     """Cosine similarity of two vector columns of the same row."""
     return dot_product(a, b) / (l2_norm(a) * l2_norm(b))
@@ -180,8 +204,8 @@ def resolve_reference_title(
 
     Both kinds of option, stems and scored keys, look their SKU up in one pass over the
     listings.  That pass asks only for the first listing per SKU and price range, an
-    aggregate combined before the shuffle: neither a SKU that fills a third of the
-    catalog nor many queries asking for it multiply rows.
+    aggregate combined before its shuffle, over a join that splits hot SKUs: neither a SKU
+    that fills a third of the catalog nor many queries asking for it multiply rows.
     """
     bounds = ["min_price", "max_price"]
     wanted = queries.where(~has_title(F.col("title")))
@@ -207,7 +231,7 @@ def resolve_reference_title(
         F.col("text_vec_id"),
     )
     first = (
-        listings.join(broadcast_within(asked, options_at_most, STEM_BYTES), "sku")
+        join_small(listings, asked, ["sku"], options_at_most, STEM_BYTES)
         .where(in_price_range(F.col("price"), F.col("min_price"), F.col("max_price")))
         .groupBy("sku", *bounds)
         .agg(F.min_by(found, "row_id").alias("found"))

@@ -30,6 +30,23 @@ def broadcast_measured(df: DataFrame, row_bytes: Column) -> DataFrame:
     return broadcast_within(df, size, 1)
 
 
+def join_small(
+    large: DataFrame, small: DataFrame, on: Sequence[str], rows: int | None, row_bytes: int, salts: int = 8
+) -> DataFrame:
+    """Inner join with a side of at most ``rows`` rows, whatever share of ``large`` one key holds.
+
+    Within the budget of ``broadcast_within`` the small side is broadcast.  Beyond it the rows of
+    a key are spread over ``salts`` tasks by a hash of their columns, and the small side is repeated
+    as often: adaptive execution does not split a side that is an aggregate or feeds one.
+    """
+    if rows is None or rows * row_bytes <= BROADCAST_BYTES:
+        return large.join(broadcast_within(small, rows, row_bytes), list(on))
+    own = F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salted = small.withColumn("_salt", every).hint("merge")
+    return large.withColumn("_salt", own).join(salted, [*on, "_salt"]).drop("_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,6 +34,13 @@ def one_query(spark: SparkSession, query_id: int = 1, preset: str = "search", **
     return spark.createDataFrame([tuple(values[name] for name in names)], QUERY_SCHEMA)
 
 
+def _defaulted(queries: DataFrame) -> DataFrame:
+    """Null knobs take the defaults of a plain search, so a query means the same alone and in a
+    batch."""
+    defaults = SEARCH_DEFAULTS["search"]
+    return queries.withColumns({name: F.coalesce(name, F.lit(value)) for name, value in defaults.items()})
+
+
 def _facts(queries: DataFrame) -> Row:
     """Size and limits of the query table: the only thing the plan needs to know early."""
     titled = m.has_title(F.col("title"))
@@ -126,10 +133,11 @@ def find_duplicates_batch(
     make_encoder, width: encoder for given titles that come without ``title_vector``,
     see ``embed_batches``
 
-    Both vector tables are only scanned.  What is shuffled are the scored pairs that
-    passed a cut, and the ranked rows.  Queries whose title must first be found in the
-    catalog make the scores a written table, because they are then read twice.
+    Image vectors are only scanned, of the title vectors only those of candidates leave the
+    scan.  Candidates are a written table, because they name the vectors and are scored; so
+    are the scores where a title must first be found in the catalog.
     """
+    queries = _defaulted(queries)
     facts = _facts(queries)
     if facts.least_top < 0:
         raise ValueError("top must not be negative")
@@ -145,9 +153,6 @@ def find_duplicates_batch(
     if facts.untitled:
         title_chars = references.agg(F.sum(F.length("reference_title")).alias("n")).first().n or 0
 
-    # Up to one row per title vector and query: never a table to broadcast on an estimate.
-    text_hits = m.semantic_text_sim(title_vectors, references.where("vector is not null"))
-    text_hits = text_hits.hint("merge") if facts.n > 1 else text_hits
     knobs = references.select(
         "query_id", "strict", "min_price", "max_price", "top",
         title_features(F.col("reference_title")).alias("wanted"),
@@ -164,7 +169,9 @@ def find_duplicates_batch(
     if facts.strict:
         pairs = pairs.where(~F.col("strict") | ~strict_mismatch(F.col("have"), F.col("wanted")))
     pairs = pairs.drop("have", "wanted", "strict", "min_price", "max_price")
-    matches = pairs.join(text_hits, ["query_id", "text_vec_id"])
+    # Candidates first, so that only their titles are compared.
+    pairs = materialized(pairs, "candidates")
+    matches = m.candidate_text_sim(pairs, title_vectors, references.where("vector is not null"))
     ranked = m.rank_matches(matches, facts.top).where(F.col("rank") <= F.col("top"))
     return m.match_record(ranked)
 

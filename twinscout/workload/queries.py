@@ -493,7 +493,7 @@ def orientation_correlation(spark, sf_dir):
 @registered
 def has_visual_score(spark, sf_dir):
     scores = matching.visual_scores(_flagship_hits(spark, sf_dir, 50))
-    return matching.has_visual_score(views.listings(spark, sf_dir), scores, 50).select("row_id", "sku")
+    return matching.has_visual_score(views.listings(spark, sf_dir), scores, 1, 50).select("row_id", "sku")
 
 
 @registered
