@@ -3,6 +3,7 @@ texts and clashing columns, against brute force."""
 
 import hashlib
 import re
+import random
 import zlib
 from collections import defaultdict
 
@@ -186,9 +187,14 @@ def test_best_fit_takes_the_tightest_window():
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_encoder_equals_the_library(name):
+def test_encoder_equals_the_library(name, monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 7)
     encoder = tokens.Encoder(tokens.definition(public_tokenizers.path(name)))
-    for text in ["a  b", "   x", "\n\n y ", "don't ''s 12 3½ É", "a­b", "\x1cq", "I<|endoftext|>x", "İ ß ﬁ K", "a .b ! c,", "é,", " ", "", "日本 語"]:
+    texts = ["a  b", "   x", "\n\n y ", "don't ''s 12 3½ É", "a­b", "\x1cq", "I<|endoftext|>x", "İ ß ﬁ K", "a .b ! c,", "é,", " ", "", "日本 語"]
+    texts += ["\n \tx", "a long line of plain words that is cut", "we're it'S 'tis ½²x 3¼9 ª º"]
+    draw = random.Random(1)
+    texts += ["".join(draw.choice("ab '\n\tsré½²9.,ĸŒ") for _ in range(60)) for _ in range(500)]
+    for text in texts:
         assert encoder.encode(text) == encoder._whole(text) or not text
 
 

@@ -1,10 +1,10 @@
 """Token ids of a public tokenizer, with words encoded once per worker.
 
 ``Encoder`` gives the ids that the ``tokenizers`` library gives for a whole text.  Texts of
-common Latin characters are split at white space, each distinct piece is encoded once by the
-library's own model and remembered in a bounded table; the regular expressions of the two
-supported pre-tokenizers never match across such a cut.  Any other text goes through the
-library as a whole, so the result is the same for every text.
+common Latin characters are split into words by the pre-tokenizer's own regular expression,
+each distinct word is encoded once by the library's own model and remembered in a bounded
+table.  Any other text goes through the library as a whole, so the result is the same for
+every text.
 """
 
 from __future__ import annotations
@@ -12,15 +12,43 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-TABLE_ENTRIES = 100_000
+TABLE_ENTRIES = 150_000
+#: Long texts are split into words in parts of about this many characters.
+PART = 1 << 18
 #: Characters whose class and case agree in every Unicode version: anything else takes the
 #: library's path.
-_UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-įı-ňŊ-ž]")
+_USUAL = "\t\n\r -~¡-¬®-įı-ňŊ-ž"
+_UNUSUAL = re.compile(f"[^{_USUAL}]")
+#: A word border of both supported expressions, whatever stands around it.
+_BORDER = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+
+
+def _class(major: str) -> str:
+    """The usual characters of a Unicode category, as the inside of a character class."""
+    usual = re.compile(f"[{_USUAL}]")
+    return "".join(c for c in map(chr, range(0x180)) if usual.match(c) and unicodedata.category(c)[0] == major)
+
+
+def _pattern(words: str) -> re.Pattern:
+    """The library's expression for usual characters, with the two classes (always in brackets) written out."""
+    return re.compile(words.replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N")))
+
+
+def _parts(text: str):
+    """``text`` in parts of about ``PART`` characters that words never cross."""
+    start = 0
+    while len(text) - start > PART:
+        border = _BORDER.search(text, start + PART)
+        if border is None:
+            break
+        yield text[start : border.start()]
+        start = border.start()
+    yield text[start:]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,53 +87,41 @@ class Encoder:
         self.letters = _byte_letters()
         self.tokenize = self.tokenizer.model.tokenize
         self.words = _Table(self._word, TABLE_ENTRIES)
-        self.pieces = _Table(self._piece, TABLE_ENTRIES // 2)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        letters = word.replace(" ", self.letters[32])
-        if not word.isascii() or not letters[1:].isalpha():
+        if word.isascii() and word.removeprefix(" ").isalpha():
+            letters = word.replace(" ", self.letters[32])
+        else:
             letters = word.encode().decode("latin-1").translate(self.letters)
         ids = [token.id for token in self.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _piece(self, piece: str) -> bytes:
-        body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha():
-            return self.words[piece]
-        if piece[-1:] in (".", ",", "!", "?") and body[:-1].isalpha():
-            return self.words[piece[:-1]] + self.words[piece[-1]]
-        return b"".join(map(self.words.__getitem__, self.split.findall(piece)))
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.split is None or _UNUSUAL.search(text):
             return self._whole(text)
         if self.lower:
-            pieces = text.lower().split()
-        elif "  " in text:
-            return self._piece(text)  # a run of spaces belongs together
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + piece for piece in rest]]
-        return b"".join(map(self.pieces.__getitem__, pieces))
+            text = text.lower()
+        look, split = self.words.__getitem__, self.split.findall
+        return b"".join([b"".join(map(look, split(part))) for part in _parts(text)])
 
 
 def _rules(definition: dict):
-    """(lower case and split at white space?, word pattern) of a known pre-tokenizer; no pattern
+    """(lower case?, word pattern) of a known pre-tokenizer; no pattern
     where only the library's own path is safe."""
     kinds = [definition.get("normalizer"), definition.get("pre_tokenizer")]
     byte_level, words = json.dumps(kinds[1]), json.dumps(kinds[0])
     if kinds[0] is None and '"ByteLevel"' in byte_level and '"Split"' not in byte_level:
         if kinds[1].get("use_regex") and not kinds[1].get("add_prefix_space"):
-            return False, regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+            return False, _pattern(r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     if '"Lowercase"' in words and '"Split"' in byte_level and '"use_regex": false' in byte_level:
         split = next(x for x in kinds[1]["pretokenizers"] if x["type"] == "Split")
         if split["invert"] and split["behavior"] == "Removed" and "[^\\s" in split["pattern"]["Regex"]:
-            return True, regex.compile(split["pattern"]["Regex"])
+            return True, _pattern(split["pattern"]["Regex"])
     return False, None
 
 
