@@ -337,27 +337,44 @@ def links(
     return labels, found.unionByName(led).distinct()
 
 
+def _roots(pointers: DataFrame) -> DataFrame:
+    """Every node's root, from (node, root) with falling pointers: each round doubles what a pointer
+    spans."""
+    pointers = materialized(pointers, "pointers")
+    while True:
+        far = pointers.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = pointers.join(far, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved"))
+        new = materialized(new, "pointers")
+        pointers = new.select("node", "root")
+        if new.where("moved").isEmpty():
+            return pointers
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with an edge.
 
-    Labels take the least label among the neighbours, then the label of their label, until none
-    changes; each round is written to the shared folder."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialized(both, "edges")
-    labels = materialized(both.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("node"), F.least("a", "m").alias("component")
-    ), "labels")
+    Every node points at its least neighbour below it, and all nodes of a root become one.  Edges
+    inside it go, edges between the same two roots become one, so that later rounds read only what is
+    left; at most half of the nodes of a component are roots.  Each round is written to the shared
+    folder."""
+    found = None
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(heard.withColumnRenamed("a", "node"), "node").select(
-            "node", "component", F.least("component", "m").alias("next")
-        )
-        new = materialized(new, "heard")
-        jump = new.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = materialized(new.join(jump, "next").select("node", F.col("far").alias("label"), (F.col("far") != F.col("component")).alias("moved")), "labels")
-        labels = new.select("node", F.col("label").alias("component"))
-        if new.where("moved").isEmpty():
-            return labels
+        ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = materialized(ordered.where("a != b").distinct(), "edges")
+        if found is not None and edges.isEmpty():
+            return found
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        roots = _roots(least.select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        if found is None:
+            found = roots.withColumnRenamed("root", "component")
+        else:
+            step = roots.withColumnRenamed("node", "component")
+            found = found.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            found = materialized(found, "labels")
+        of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("of_a"))
+        of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("of_b"))
+        edges = edges.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
 
 
 def near_duplicates(
