@@ -126,6 +126,24 @@ def test_one_of_each_near_duplicate_group_stays(spark):
     assert sorted(row.doc_id for row in kept.collect()) == [0, 1, 2, 3]
 
 
+def _pairs_alike(draw, pairs, words, shared):
+    """Pairs of ``words`` different words each, of which the first ``shared`` are the same."""
+    texts = []
+    for _ in range(pairs):
+        own = [f"w{x}" for x in draw.sample(range(10**6), 2 * words - shared)]
+        texts += [" ".join(own[:words]), " ".join(own[:shared] + own[words:])]
+    return texts
+
+
+def test_near_duplicates_are_those_of_similarity_0_8(spark):
+    """160 of 200 shingles in common are enough, 156 of 208 are not."""
+    draw = random.Random(7)
+    near, far = _pairs_alike(draw, 40, 184, 164), _pairs_alike(draw, 40, 186, 160)
+    rows = [(at, text, "s") for at, text in enumerate([*near, *far])]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(row.doc_id for row in kept.collect()) == [*range(0, 80, 2), *range(80, 160)]
+
+
 def test_mix_takes_exact_budgets(docs, empty):
     taken = mixing.take(docs, bucket_rows=2)
     rows = taken.select("source", "size", "source_size", "target", "taken").collect()

@@ -9,14 +9,19 @@ sub-blocks of at most 8 bits, from histograms over all classes.
 
 Every class is indexed by its value in each part and probes the values around it; the distance
 is verified inside the join, so only links leave it.  A pair is reported in the first part that
-finds it.  Before that join every class is labelled by a verified leader (one class per value
-and part is offered).  Classes of one label are linked through it, so only links between labels
-leave the join, and components are found over labels: they stay the same, and a large group of
+finds it.  Before that join every class is offered one class per value and part as leader, and
+the components of those verified links are labels.  Classes of one label are linked already, so
+only links between labels leave the join: the components stay the same, and a large group of
 near copies does not emit all its pairs.
+
+Where a ``similarity`` is given, fingerprints (then of the set of shingles) only propose pairs.
+Rows of equal shingle sets are one class, and every link, of leaders and between labels, is kept
+only if the Jaccard similarity of the two sets, read from the texts again, reaches it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +38,8 @@ BITS = 64
 #: What a candidate costs next to a probe.
 CANDIDATE_COST = 0.1
 HASH_SEED = 42
+#: Keeps a similarity that is met exactly from being lost to rounding.
+SLACK = 1e-6
 BLOCK = 255 * 32
 
 
@@ -59,48 +66,66 @@ def _mix(hashes: np.ndarray, word: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
-    """``words`` 64-bit fingerprints of the A-Z-lower-cased text; all zero without words.  The first
-    takes the shingles' XXH64, each further one a mix of it."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of the A-Z-lower-cased text, in order; a text of fewer words is one
+    shingle, a text without words has none."""
     tokens = text.lower().split()
     if not tokens:
-        return [0] * words
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(tokens)
     count = max(1, len(tokens) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:count].tolist()
     stops = ends[-count:].tolist() if len(tokens) >= shingle else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=count)
+    return np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=count)
+
+
+def fingerprint(text: bytes, shingle: int, words: int = 1, sets: bool = False) -> list[int]:
+    """``words`` 64-bit fingerprints of the text's shingles; all zero without words.  The first takes
+    the shingles' hashes, each further one a mix of them.  With ``sets`` a shingle counts once, and
+    the number of shingles and a hash of their set follow."""
+    hashes = shingle_hashes(text, shingle)
+    if sets:
+        hashes = np.unique(hashes)
     found = []
     for word in range(words):
         counts = _bit_counts(_mix(hashes, word) if word else hashes)
-        found.append(int(np.packbits((2 * counts > count).astype(np.uint8)).view(">i8")[0]))
+        found.append(int(np.packbits((2 * counts > len(hashes)).astype(np.uint8)).view(">i8")[0]))
+    if sets:
+        found += [len(hashes), int(_mix(hashes, words).sum(dtype=np.uint64).astype(np.int64))]
     return found
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keys: dict[str, Column] | None = None) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, shingle: int = 3, words: int = 1, keys: dict[str, Column] | None = None, sets: bool = False
+) -> DataFrame:
     """``keys`` (name -> long column; doc_id if not given) and ``f0``, ``f1``, ... of every row, from
-    its whole text."""
+    its whole text; with ``sets`` also ``size`` and ``set_hash``."""
     bound_batches(docs.sparkSession)
     keys = keys or {"doc_id": F.col("doc_id")}
     chosen = docs.select(
         *[column.cast("long").alias(name) for name, column in keys.items()],
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    names, ids = [f"f{at}" for at in range(words)], list(keys)
+    names, ids = _class_columns(words, sets), list(keys)
 
     def compute(batches):
         for whole in batches:
             for batch in in_slices(whole):
-                found = [fingerprint(text, shingle, words) for text in batch.column("text").to_pylist()]
+                found = [fingerprint(text, shingle, words, sets) for text in batch.column("text").to_pylist()]
                 arrays = [batch.column(name) for name in ids]
-                arrays += [pa.array([row[at] for row in found], type=pa.int64()) for at in range(words)]
+                arrays += [pa.array([row[at] for row in found], type=pa.int64()) for at in range(len(names))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*ids, *names])
 
     return chosen.mapInArrow(compute, ", ".join(f"`{name}` long" for name in [*ids, *names]))
 
 
+def _class_columns(words: int, sets: bool) -> list[str]:
+    """What rows of one class have in common."""
+    return [*[f"f{at}" for at in range(words)], *(["size", "set_hash"] if sets else [])]
+
+
 # --- partitions and thresholds ---------------------------------------------------------
 
 
@@ -275,45 +300,44 @@ def _apart(words: range, left: str, right: str) -> Column:
 
 
 def links(
-    classes: DataFrame, radius: int, parts: int, words: int = 1, total: int | None = None
+    classes: DataFrame, radius: int, parts: int, words: int = 1, total: int | None = None,
+    similarity: float | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Labels (f0, leader) of all classes, and links (a, b) between different labels.
+    """Labels (node, label) of all classes, and links (a, b) between different labels.
 
-    Classes are linked within ``radius`` bits of ``f0``, and within ``total`` bits over all ``words`` where
-    given; a class is linked to its leader or is its own.  ``classes`` has distinct rows f0, f1,
-    ...; it is read several times."""
+    ``classes`` has distinct rows node, f0, f1, ..., and ``size`` where ``similarity`` is given; it is
+    read several times.  Without ``total`` classes are linked within ``radius`` bits of ``f0``.  With
+    it, all that the search for ``radius`` meets are linked within ``total`` bits over all
+    ``words``; sizes that rule out ``similarity`` go, and ``confirm`` leaves the true ones of pairs
+    (a, b).  A label is the least node linked over leaders."""
     correlation, rows = correlations(classes)
     groups = group_bits(correlation, parts)
     thresholds = allot(distance_shares(classes, groups), groups, rows, radius)
-    names = [f"f{at}" for at in range(words)]
+    names = classes.columns
 
     def verified(left: str, right: str) -> Column:
-        near = _apart(range(1), left, right) <= radius
-        return near & (_apart(range(words), left, right) <= total) if total is not None else near
+        near = _apart(range(1), left, right) <= radius if total is None else _apart(range(words), left, right) <= total
+        if similarity is None:
+            return near
+        sizes = F.col(f"{left}.size"), F.col(f"{right}.size")
+        return near & (F.least(*sizes) >= F.greatest(*sizes) * similarity - SLACK)
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialized(pairs.distinct(), name)
+        return pairs if confirm is None else materialized(confirm(pairs), name)
 
     own = _keyed(classes, groups, thresholds, probes=False)
-    # Leaders: one class per value and part; a class joins the verified leader of most members.
+    # Leaders: one class per value and part.
     leaders = own.groupBy("key").agg(
         F.min_by(F.struct(*names), F.xxhash64(*names)).alias("leader"), F.count("*").alias("n")
     ).where("n > 1").select("key", *[F.col(f"leader.{name}").alias(name) for name in names])
     led = own.alias("l").join(
         materialized(leaders, "leaders").alias("r"),
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.f0") != F.col("r.f0")) & verified("l", "r"),
-    ).select(F.col("l.f0").alias("a"), F.col("r.f0").alias("b"))
-    led = materialized(led.distinct(), "led")
-    size = led.groupBy("b").agg(F.count("*").alias("n"))
-    chosen = led.join(size, "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("leader"))
-    # A leader of others stays with itself, so that its group is one.
-    heads = chosen.select("leader").distinct().withColumnRenamed("leader", "a").withColumn("head", F.lit(True))
-    chosen = chosen.join(heads, "a", "left").where("head IS NULL").select(F.col("a").alias("f0"), "leader")
-    marked = classes.join(materialized(chosen, "chosen"), "f0", "left").withColumn("leader", F.coalesce("leader", "f0"))
-    marked = materialized(marked.select(*names, "leader"), "marked")
-    labels = marked.select("f0", "leader")
-    # What other leaders a class has, as links between labels.
-    of_a = labels.select(F.col("f0").alias("a"), F.col("leader").alias("of_a"))
-    of_b = labels.select(F.col("f0").alias("b"), F.col("leader").alias("of_b"))
-    led = led.join(of_a, "a").where("b != of_a").select("of_a", "b").distinct().join(of_b, "b")
-    led = led.where("of_a != of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        (F.col("l.key") == F.col("r.key")) & (F.col("l.node") != F.col("r.node")) & verified("l", "r"),
+    ).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    labels = components(confirmed(led, "led")).withColumnRenamed("component", "label")
+    marked = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = materialized(marked.select(*names, "label"), "marked")
     own = _keyed(marked, groups, thresholds, probes=False)
     sides = own.withColumn("probe", F.lit(0)).unionByName(
         _keyed(marked, groups, thresholds, probes=True).withColumn("probe", F.lit(1))
@@ -327,14 +351,42 @@ def links(
                 earlier = earlier | ((F.shiftright("l.key", 48) == part) & seen)
     condition = (
         (F.col("l.key") == F.col("r.key"))
-        & ((F.col("l.probe") == 1) | (F.col("l.f0") < F.col("r.f0")))
-        & (F.col("l.leader") != F.col("r.leader"))
+        & ((F.col("l.probe") == 1) | (F.col("l.node") < F.col("r.node")))
+        & (F.col("l.label") != F.col("r.label"))
         & verified("l", "r")
         & ~earlier
     )
     found = sides.alias("l").join(own.alias("r"), condition)
-    found = found.select(F.col("l.leader").alias("a"), F.col("r.leader").alias("b"))
-    return labels, found.unionByName(led).distinct()
+    found = found.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    labels = marked.select("node", "label")
+    of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("of_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("of_b"))
+    found = confirmed(found, "found").join(of_a, "a").join(of_b, "b")
+    return labels, found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+
+
+def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of ``classes`` (node, text_key) whose shingle sets have a Jaccard
+    similarity of at least ``similarity``.  Texts of nodes in no pair are not read into sets."""
+    bound_batches(docs.sparkSession)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialized(classes.select("node", "text_key").join(nodes, "node"), "wanted")
+    texts = docs.select(content_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = texts.join(broadcast_measured(wanted, F.lit(24)), "text_key").dropDuplicates(["node"]).select("node", "text")
+
+    def compute(batches):
+        for whole in batches:
+            for batch in in_slices(whole):
+                found = [np.unique(shingle_hashes(text, shingle)).view(np.int64) for text in batch.column("text").to_pylist()]
+                lists = pa.array(found, type=pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "shingles"])
+
+    sets = materialized(texts.mapInArrow(compute, "node long, shingles array<long>"), "sets")
+    of_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("in_a"))
+    of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("in_b"))
+    both = F.size(F.array_intersect("in_a", "in_b"))
+    near = both >= (F.size("in_a") + F.size("in_b") - both) * similarity - SLACK
+    return pairs.join(of_a, "a").join(of_b, "b").where(near).select("a", "b")
 
 
 def _roots(pointers: DataFrame) -> DataFrame:
@@ -380,47 +432,54 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
-    radius: int = 12,
+    radius: int = 13,
     parts: int = 6,
     words: int = 3,
-    total: int | None = 32,
+    total: int | None = 46,
     keys: dict[str, Column] | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
     """Every row's ``keys``, fingerprint ``f0`` and ``component_id``: the smallest doc_id reachable over
     links, itself included.
 
-    Links join fingerprints that differ in at most ``radius`` bits and, where ``total`` is given, in
-    at most ``total`` of all 64 * ``words`` bits.  The defaults stand for five-word shingles of a
-    Jaccard similarity of about 0.8: at 0.8 a pair differs in 15 % of all bits (29 of 192) on
-    average.  Rows without words have fingerprint 0 and are linked like any other.  Null ids
-    count only where a component has no other; then ``component_id`` is null.
+    Without ``total`` links join fingerprints that differ in at most ``radius`` bits of ``f0``; with
+    it, those met by the search for ``radius`` that differ in at most ``total`` of all 64 *
+    ``words`` bits.  With ``similarity`` fingerprints are of shingle sets, and a link holds only if
+    the Jaccard similarity of the sets reaches it.  The defaults propose pairs of a similarity of
+    0.8: such a pair differs in 15 % of all bits (29 of 192) on average.  Rows without words have
+    fingerprint 0 and are one class.  Null ids count only where a component has no other; then
+    ``component_id`` is null.
     """
     keys = keys or {"doc_id": F.col("doc_id")}
-    marks = materialized(fingerprints(docs, shingle, words, keys), "fingerprints")
-    names = [f"f{at}" for at in range(words)]
-    classes = marks.groupBy("f0").agg(
-        *[F.min(name).alias(name) for name in names[1:]], F.min("doc_id").alias("first_id")
-    )
-    classes = materialized(classes, "classes")
-    labels, edges = links(classes.select(*names), radius, parts, words, total)
-    found = components(edges).withColumnRenamed("node", "leader")
-    joined = classes.join(labels, "f0").join(found, "leader", "left").select(
-        "f0", "first_id", F.coalesce("component", "leader").alias("component")
+    sets = similarity is not None
+    extra = {"_text_key": content_key(F.col("text"))} if sets else {}
+    marks = materialized(fingerprints(docs, shingle, words, {**keys, **extra}, sets), "fingerprints")
+    names = _class_columns(words, sets)
+    firsts = [F.min("doc_id").alias("first_id"), *([F.min("_text_key").alias("text_key")] if sets else [])]
+    classes = marks.groupBy(*names).agg(*firsts)
+    # One fingerprint is its own number.
+    classes = materialized(classes.withColumn("node", F.col("f0") if len(names) == 1 else F.monotonically_increasing_id()), "classes")
+    confirm = (lambda pairs: similar(docs, classes, pairs, shingle, similarity)) if sets else None
+    labels, edges = links(classes.select("node", *[n for n in names if n != "set_hash"]), radius, parts, words, total, similarity, confirm)
+    found = components(edges).withColumnRenamed("node", "label")
+    joined = classes.join(labels, "node").join(found, "label", "left").select(
+        *names, "first_id", F.coalesce("component", "label").alias("component")
     )
     joined = materialized(joined, "joined")
     smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = materialized(joined.join(smallest, "component").select("f0", "component", "component_id"), "named")
-    return marks.join(named, "f0").select(*keys, "f0", "component", "component_id")
+    named = materialized(joined.join(smallest, "component").select(*names, "component", "component_id"), "named")
+    return marks.join(named, names).select(*keys, "f0", "component", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, **settings) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id (nulls last; of several rows
-    with it, the least content hash, and of rows equal in both, one).
+    with it, the least content hash, and of rows equal in both, one).  Rows are linked by a Jaccard
+    similarity of their five-word shingles of at least ``similarity``.
 
     Only ids and hashes are grouped.  The rows to drop are broadcast if they measure small.
     """
     keys = {"doc_id": id_or_least(), "text_key": content_key(F.col("text"))}
-    marks = materialized(near_duplicates(docs, keys=keys, **settings), "components")
+    marks = materialized(near_duplicates(docs, keys=keys, similarity=similarity, **settings), "components")
     order = F.struct((F.col("doc_id") == F.lit(NULL_ID + 1) - 1).alias("missing"), "doc_id", "text_key")
     kept = materialized(marks.groupBy("component").agg(F.min(order).alias("keep"), F.count("*").alias("n")).where("n > 1"), "kept")
     rows = marks.join(kept, "component")
