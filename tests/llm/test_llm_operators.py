@@ -306,6 +306,14 @@ def test_toxicity_learns_words_and_keeps_clean_texts(spark, docs, empty):
     assert toxicity.drop_toxic(docs, blank).count() == len(ROWS)
 
 
+def test_toxicity_keeps_grams_apart(spark):
+    """'pid ' and ' is ' have the same remainder by 1,048,573."""
+    rows = [("stupid you isle", True)] * 50 + [("this is it spider", False)] * 50
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic boolean"))
+    value = {gram: model.differences(np.frombuffer(gram, dtype=np.uint8))[0] for gram in (b"pid ", b" is ")}
+    assert value[b"pid "] > 1 and value[b" is "] < -1
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     assert compare.differences(REGISTRY[name](spark, sf_dir), compare.duck(sf_dir).sql(ORACLES[name])) is None

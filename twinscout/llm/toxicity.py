@@ -9,9 +9,9 @@ three- and two-grams by the number of different letters in front of them).  Wher
 seen little, both models agree and the difference is near zero.
 
 Counting is one distributed pass over all labelled texts: tasks emit partial counts, Spark
-sums them.  Four-grams are hashed into ``GRAM_SLOTS`` slots (alphabetic scripts fill a few
-hundredths of them), so what reaches the driver and the executors has the same bound for any
-corpus.  A logistic curve over the difference is fitted on a part of the labelled rows kept
+sums them by the four-gram itself.  The model holds every four-gram that occurs, as sorted
+arrays that grow with their number: 8 bytes each on the executors, some 100 on the driver while
+it fits.  A logistic curve over the difference is fitted on a part of the labelled rows kept
 out of the models (at most ``calibration_rows`` of them, by hash).
 """
 
@@ -28,9 +28,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from twinscout.llm.common import bound_batches, free_name, in_slices
 from twinscout.operators.sizing import broadcast_measured
 
-#: Slots of the four-gram and the context table: primes, a gram's slot is its remainder.
-GRAM_SLOTS = 1_048_573
-CONTEXT_SLOTS = 262_139
 #: Pseudo-counts of the shared model in every context of a class.
 STRENGTH = 3.0
 #: Pseudo-characters without difference in every text, so that a few letters prove little.
@@ -89,21 +86,33 @@ def _count_grams(batches):
             )
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the sorted, not empty ``keys`` each of ``wanted`` would be, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 @dataclass
 class Model:
-    """Toxic minus ordinary log-probability by four-gram slot (NaN where no class has the
-    gram) and, for those, by context slot; and the fitted curve."""
+    """Toxic minus ordinary log-probability of every four-gram that a class has, and of every
+    context for the other four-grams, each under sorted keys; and the fitted curve."""
 
     grams: np.ndarray
+    gram_values: np.ndarray
     contexts: np.ndarray
+    context_values: np.ndarray
     slope: float = 0.0
     offset: float = -20.0
 
     def differences(self, data: np.ndarray) -> np.ndarray:
         grams = _grams(data)
-        found = self.grams[grams % np.uint32(GRAM_SLOTS)]
-        unseen = np.flatnonzero(np.isnan(found))
-        found[unseen] = self.contexts[(grams[unseen] >> 8) % np.uint32(CONTEXT_SLOTS)]
+        found = np.zeros(len(grams), dtype=np.float32)
+        if len(self.grams):
+            at, seen = _find(self.grams, grams)
+            found[seen] = self.gram_values[at[seen]]
+            unseen = np.flatnonzero(~seen)
+            at, seen = _find(self.contexts, grams[unseen] >> 8)
+            found[unseen[seen]] = self.context_values[at[seen]]
         found[(grams & 0xFFFF) == 0x2020] = 0.0
         return found
 
@@ -134,31 +143,27 @@ def _shared(grams: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
 
 
 def train(labelled: DataFrame) -> Model:
-    """Models from rows (text, toxic boolean).  At most a row for each slot reaches the driver."""
+    """Models from rows (text, toxic boolean).  A row for each distinct four-gram reaches the driver."""
     bound_batches(labelled.sparkSession)
     partial = labelled.select("text", "toxic").mapInArrow(_count_grams, "gram long, c0 long, c1 long")
-    slot = F.pmod(F.col("gram"), F.lit(GRAM_SLOTS))
-    rows = partial.groupBy(slot).agg(
-        F.min("gram").alias("gram"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")
-    ).toPandas()
-    grams = rows["gram"].to_numpy(np.int64)
-    classes = [rows[name].to_numpy(np.float64) for name in ("c0", "c1")]
-    model = Model(np.full(GRAM_SLOTS, np.nan, dtype=np.float32), np.zeros(CONTEXT_SLOTS, dtype=np.float32))
-    if not len(grams):
-        return model
-    shared = _shared(grams, classes[0] + classes[1], 4)
-    context = (grams >> 8) % CONTEXT_SLOTS
-    logs, backoffs = [], []
-    for counts in classes:
-        discount = _discount(counts)
-        total = np.bincount(context, weights=counts, minlength=CONTEXT_SLOTS)
-        types = np.bincount(context, weights=counts > 0, minlength=CONTEXT_SLOTS)
-        backoff = (discount * types + STRENGTH) / (total + STRENGTH)
-        logs.append(np.log(np.maximum(counts - discount, 0) / (total + STRENGTH)[context] + backoff[context] * shared))
-        backoffs.append(np.log(backoff))
-    model.grams[grams % GRAM_SLOTS] = logs[1] - logs[0]
-    model.contexts[:] = backoffs[1] - backoffs[0]
-    return model
+    rows = partial.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow().sort_by("gram")
+    return _model(rows["gram"].to_numpy(), [rows[name].to_numpy() for name in ("c0", "c1")])
+
+
+def _model(grams: np.ndarray, classes: list[np.ndarray]) -> Model:
+    """The model of sorted four-grams and their counts in both classes, not both 0."""
+    contexts, context = np.unique(grams >> 8, return_inverse=True)
+    values, context_values = np.zeros(len(grams)), np.zeros(len(contexts))
+    if len(grams):
+        shared = _shared(grams, (classes[0] + classes[1]).astype(np.float64), 4)
+        for sign, counts in ((-1, classes[0]), (1, classes[1])):
+            discount = _discount(counts)
+            total = np.bincount(context, weights=counts)
+            types = np.bincount(context, weights=counts > 0)
+            backoff = (discount * types + STRENGTH) / (total + STRENGTH)
+            values += sign * np.log(np.maximum(counts - discount, 0) / (total + STRENGTH)[context] + backoff[context] * shared)
+            context_values += sign * np.log(backoff)
+    return Model(grams.astype(np.uint32), values.astype(np.float32), contexts.astype(np.uint32), context_values.astype(np.float32))
 
 
 def _scores(broadcast, columns):
