@@ -269,6 +269,18 @@ def test_host_rates_shrink(spark):
     assert rates["bad"] > 0.9 and rates["big"] < 0.15 and rates["tiny"] < rates["bad"]
 
 
+def test_url_rules_need_the_same_rows_in_any_table(spark):
+    """30 blocked pages of a host are a rule among 40,000 labelled pages, 10 are none; and what all
+    pages share is none, however many are blocked."""
+    hosts = [("bad", 30, True), ("rare", 10, True), ("fine", 39_960, False)]
+    pages = [(f"{host}{at}", f"http://{host}.example.org/p/{at}", blocked) for host, n, blocked in hosts for at in range(n)]
+    table = spark.createDataFrame(pages, "page_id string, url string, blocked boolean")
+    rows = url_filter.judge_urls(table.select("page_id", "url"), table.select("page_id", "blocked")).where("verdict = 'block'")
+    assert sorted(row.page_id for row in rows.collect()) == sorted(f"bad{at}" for at in range(30))
+    same = [(["a"], at % 4 > 0) for at in range(4000)]
+    assert url_filter.mine_rules(spark.createDataFrame(same, "tokens array<string>, blocked boolean")).count() == 0
+
+
 def test_mined_url_rules(spark):
     pages = [(at, f"http://spam.example.org/win/{at}?ref=a" if at % 3 == 0 else f"https://good.example.org/en/{at}") for at in range(300)]
     pages += [(900, None), (901, "no scheme"), (902, "HTTP://A.Example.NET?x"), (903, "http://x.net/p"), (904, "http://spam.example.org/win/7?ref=a")]

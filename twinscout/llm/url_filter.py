@@ -1,9 +1,11 @@
-"""URL filters: fixed rules by host and path, else association rules mined by FP-growth.
-
-Built from DataFrame functions and Spark ML only.  A URL becomes a set of tokens (host suffixes,
-path segments with digits as ``#``, file ending, query keys, fragment).  FP-growth over the token
-sets of labelled URLs, each with its label as one more token, yields rules "tokens -> block";
-support and confidence prune them, and a rule with a sub-rule of no less confidence goes too.
+"""URL filters: fixed rules by host and path, else association rules mined level by level.
+
+Built from DataFrame functions only.  A URL becomes a set of tokens (host suffixes, path segments
+with digits as ``#``, file ending, query keys, fragment).  Sets of one to three tokens are
+counted over labelled URLs and yield rules "tokens -> block".  A rule needs the same number of
+blocked URLs in a table of any size, so the length, not the support, bounds the work: at most
+T + T^2 / 2 + T^3 / 6 sets of a URL of T tokens.  Confidence, and its lower bound against the
+share of blocked URLs, prune them, and a rule with a sub-rule of no less confidence goes too.
 Rules match through an inverted index: each is posted under its rarest token, URLs meet it by
 an equi-join on tokens, and the rest of the rule is verified on the row.
 """
@@ -12,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,10 @@ from twinscout.llm.common import ascii_lower
 from twinscout.operators.sizing import broadcast_measured
 from twinscout.sources.shared import materialized
 
-BLOCKED = "label=block"
+#: Tokens of a rule at most.
+RULE_TOKENS = 3
+#: Standard errors from a rule's confidence to its lower bound.
+DEVIATIONS = 3.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -66,34 +70,67 @@ def url_tokens(url: Column) -> Column:
     return F.when(host != "", F.array_distinct(tokens)).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_rows: int = 20) -> DataFrame:
+def _lower_bound(hits: Column, rows: Column) -> Column:
+    """Wilson's lower bound of the share of ``hits`` in ``rows``."""
+    share, z = hits / rows, F.lit(DEVIATIONS)
+    spread = z * F.sqrt(share * (1 - share) / rows + z * z / (4 * rows * rows))
+    return (share + z * z / (2 * rows) - spread) / (1 + z * z / rows)
+
+
+def _token_sets(labelled: DataFrame, min_rows: int) -> DataFrame:
+    """(tokens, n, k): the sets of 1 to ``RULE_TOKENS`` tokens that ``min_rows`` blocked URLs hold, with
+    the number of URLs and of blocked ones."""
+    counts = [F.sum("n").alias("n"), F.sum("k").alias("k")]
+    blocked = F.col("blocked").cast("long")
+    urls = labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("n"), F.sum(blocked).alias("k"))
+    urls = materialized(urls.withColumn("at", F.monotonically_increasing_id()), "token_sets")
+    token = urls.select("at", "n", "k", F.explode("tokens").alias("token"))
+    frequent = token.groupBy("token").agg(F.sum("k").alias("hits")).where(F.col("hits") >= min_rows).select("token")
+    # What holds a rarer token is rarer still, so other tokens go and more URLs are equal.
+    frequent = broadcast_measured(materialized(frequent, "frequent"), F.octet_length("token") + F.lit(16))
+    urls = token.join(frequent, "token").groupBy("at", "n", "k").agg(F.array_sort(F.collect_list("token")).alias("rest"))
+    urls = materialized(urls.groupBy("rest").agg(*counts), "frequent_sets")
+    level = urls.select(F.array().cast("array<string>").alias("tokens"), "rest", "n", "k")
+    found = None
+    for _ in range(RULE_TOKENS):
+        level = level.select("tokens", "rest", "n", "k", F.posexplode("rest").alias("at", "token")).select(
+            F.array_append("tokens", F.col("token")).alias("tokens"),
+            F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "n", "k",
+        )
+        own = level.groupBy("tokens").agg(*counts).where(F.col("k") >= min_rows)
+        found = own if found is None else found.unionByName(own)
+    return materialized(found, "mined")
+
+
+def mine_rules(labelled: DataFrame, min_confidence: float = 0.6, min_rows: int = 20) -> DataFrame:
     """(rule_id, tokens, confidence, support, index_token) from rows (tokens, blocked boolean).
 
-    ``min_support`` is the share of labelled URLs that hold a rule's tokens and its label,
-    ``min_rows`` their least number.  Support bounds the frequent tokens by 1 / ``min_support`` times
-    the tokens of a URL, however many URLs there are.  Without labelled or blocked rows there are no rules.
+    ``min_rows`` blocked URLs must hold a rule's tokens, however many URLs there are; ``support`` is
+    their share of all.  The lower bound of a rule's confidence must lie above the share of blocked
+    URLs.  Without labelled or blocked rows there are no rules.
     """
     counts = labelled.agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("k")).first()
     if not counts.n or not counts.k:
         return labelled.sparkSession.createDataFrame(
             [], "rule_id long, tokens array<string>, confidence double, support double, index_token string"
         )
-    items = F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens"))
-    support = max(min_support, min_rows / counts.n)
-    model = FPGrowth(itemsCol="items", minSupport=min(support, 1.0), minConfidence=min_confidence).fit(labelled.select(items.alias("items")))
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCKED)))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = materialized(rules.withColumn("rule_id", F.xxhash64("tokens")), "mined")
-    # A rule is redundant if a rule of a part of its tokens is as sure; parts share a token.
-    token = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token"))
-    part = rules.select(F.col("tokens")[0].alias("token"), F.col("tokens").alias("less"), F.col("confidence").alias("as_sure"))
-    redundant = token.join(part, "token").where(
-        (F.size("less") < F.size("tokens")) & (F.col("as_sure") >= F.col("confidence"))
-        & (F.size(F.array_except("less", "tokens")) == 0)
-    ).select("rule_id").distinct()
+    found = _token_sets(labelled, min_rows)
+    rules = found.withColumn("confidence", F.col("k") / F.col("n")).where(
+        (F.col("confidence") >= min_confidence) & (_lower_bound(F.col("k"), F.col("n")) > counts.k / counts.n)
+    ).select("tokens", "confidence", (F.col("k") / counts.n).alias("support"), F.xxhash64("tokens").alias("rule_id"))
+    rules = materialized(rules, "sure")
+    # A rule is redundant if a rule of a part of its tokens is as sure; of three tokens the parts
+    # are the single ones and those without one.
+    parts = F.concat(
+        F.transform("tokens", lambda token: F.array(token)),
+        F.transform("tokens", lambda token: F.array_remove(F.col("tokens"), token)),
+    )
+    part = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("as_sure"))
+    redundant = rules.where(F.size("tokens") > 1).select("rule_id", "confidence", F.explode(parts).alias("less"))
+    redundant = redundant.join(part, "less").where(F.col("as_sure") >= F.col("confidence")).select("rule_id").distinct()
     rules = rules.join(redundant, "rule_id", "left_anti")
     # The rarest token of a rule posts it.
-    rarity = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    rarity = found.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("n").alias("freq"))
     posted = rules.select("rule_id", F.explode("tokens").alias("token")).join(rarity, "token")
     posted = posted.groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("index_token"))
     return materialized(rules.join(posted, "rule_id").select("rule_id", "tokens", "confidence", "support", "index_token"), "rules")
@@ -116,7 +153,6 @@ def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str]] = (),
-    min_support: float = 0.002,
     min_confidence: float = 0.6,
 ) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule, verdict and ``mined_rule``.
@@ -129,7 +165,7 @@ def judge_urls(
     host, path = host_and_path(F.col("url"))
     marks = labels.where("page_id IS NOT NULL AND blocked IS NOT NULL").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
     labelled = pages.select("page_id", "url").join(marks, "page_id").select(url_tokens(F.col("url")).alias("tokens"), "blocked")
-    mined = mine_rules(materialized(labelled, "labelled"), min_support, min_confidence)
+    mined = mine_rules(materialized(labelled, "labelled"), min_confidence)
     urls = pages.select("url").where("url IS NOT NULL").distinct()
     matched = match_rules(urls.select(F.col("url").alias("url_key"), url_tokens(F.col("url")).alias("tokens")), mined)
     matched = materialized(matched.select(F.col("url_key").alias("_url"), F.col("rule_id").alias("mined_rule")), "matched")
