@@ -108,6 +108,21 @@ def test_simhash_components(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_classes_are_rows_of_equal_words(spark):
+    """Equal f0 alone links no rows that differ in more than ``total`` bits over all words."""
+    words = [f"w{x}" for x in range(200)]
+    texts = [" ".join([*words, f"end{at}"]) for at in range(300)]
+    prints = defaultdict(list)
+    for text in texts:
+        first, *others = simhash.fingerprint(text.encode(), 5, 3)
+        prints[first].append((others, text))
+    one, other = next((a[1], b[1]) for own in prints.values() for a in own for b in own if a[0] != b[0])
+    table = spark.createDataFrame([(0, one), (1, other), (2, other)], "doc_id long, text string")
+    for total, expected in ((0, [0, 1, 1]), (64, [0, 0, 0])):
+        rows = simhash.near_duplicates(table, total=total).orderBy("doc_id").collect()
+        assert [row.component_id for row in rows] == expected
+
+
 def test_thresholds_and_groups():
     rng = np.random.default_rng(1)
     groups = simhash.group_bits(np.corrcoef(rng.integers(0, 2, (500, 64)).T), 5)
