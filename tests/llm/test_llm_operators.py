@@ -231,6 +231,14 @@ def test_encoder_equals_the_library(name, monkeypatch):
         assert encoder.encode(text) == encoder._whole(text) or not text
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_takes_added_tokens_as_the_library_does(name):
+    path = public_tokenizers.path(name)
+    encoder, whole = tokens.Encoder(tokens.definition(path)), Tokenizer.from_file(path)
+    for text in ["I<|endoftext|>x", "<|endoftext|>", "a <|startoftext|> b", "<|ENDOFTEXT|> <|endoftext |>", "<|endoftext|>\n<|endoftext|>", "<|x|>"]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)

@@ -1,7 +1,7 @@
 """Token ids of a public tokenizer, with words encoded once per worker.
 
 ``Encoder`` gives the ids that the ``tokenizers`` library gives for a whole text.  Texts of
-common Latin characters are split into words by the pre-tokenizer's own regular expression,
+common Latin characters without added tokens (``<|endoftext|>``) are split into words by the pre-tokenizer's own regular expression,
 each distinct word is encoded once by the library's own model and remembered in a bounded
 table.  Any other text goes through the library as a whole, so the result is the same for
 every text.
@@ -82,8 +82,9 @@ class Encoder:
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.lower, self.split = _rules(json.loads(definition))
+        rules = json.loads(definition)
+        self.lower, self.split = _rules(rules)
+        self.added = _added(rules)
         self.letters = _byte_letters()
         self.tokenize = self.tokenizer.model.tokenize
         self.words = _Table(self._word, TABLE_ENTRIES)
@@ -102,7 +103,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.split is None or _UNUSUAL.search(text):
+        if self.split is None or _UNUSUAL.search(text) or self.added and self.added.search(text):
             return self._whole(text)
         if self.lower:
             text = text.lower()
@@ -110,9 +111,17 @@ class Encoder:
         return b"".join([b"".join(map(look, split(part))) for part in _parts(text)])
 
 
+def _added(definition: dict) -> re.Pattern | None:
+    """Finds the added tokens, which the library takes out of a text before all else."""
+    contents = [re.escape(token["content"]) for token in definition.get("added_tokens") or []]
+    return re.compile("|".join(contents)) if contents else None
+
+
 def _rules(definition: dict):
     """(lower case?, word pattern) of a known pre-tokenizer; no pattern
     where only the library's own path is safe."""
+    if any(token["normalized"] for token in definition.get("added_tokens") or []):
+        return False, None  # they are met in the normalised text only
     kinds = [definition.get("normalizer"), definition.get("pre_tokenizer")]
     byte_level, words = json.dumps(kinds[1]), json.dumps(kinds[0])
     if kinds[0] is None and '"ByteLevel"' in byte_level and '"Split"' not in byte_level:
