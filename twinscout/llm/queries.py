@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinscout.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, token_files, toxicity, url_filter
+from twinscout.llm import bpe, exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, token_files, toxicity, url_filter
 from twinscout.llm.common import table
 from twinscout.sources.shared import new_shared_path
 
@@ -113,3 +113,13 @@ def op9_quality(spark, sf_dir):
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.take(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@registered
+def op11_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", "n_tokens", F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
