@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinscout.llm import bpe, exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, token_files, toxicity, url_filter
+from twinscout.llm import bpe, conversations, exact_dedup, line_dedup, merkle, mixing, packing, quality, secrets, simhash, token_files, toxicity, url_filter
 from twinscout.llm.common import table
 from twinscout.sources.shared import new_shared_path
 
@@ -123,3 +123,39 @@ def op11_bpe(spark, sf_dir):
     return found.select(
         "doc_id", "n_tokens", F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@registered
+def op12_merkle(spark, sf_dir):
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+def damaged(turns):
+    """Conversations as a careless crawl leaves them, by the CRC of ``conv_id:turn`` (nulls: one space)."""
+    space = F.lit(" ")
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    kind = F.pmod(F.crc32(named.cast("binary")), F.lit(20)).cast("int")
+    text = F.coalesce("text", space)
+    text = F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    return turns.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, F.lit("user")).otherwise(F.coalesce("role", space)).alias("role"),
+        text.alias("text"), F.when(kind == 3, F.lit(2)).otherwise(F.lit(1)).alias("copies"),
+    )
+
+
+@registered
+def op13_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    report, repaired = conversations.repair(damaged(turns))
+    every = turns.select("conv_id").distinct()
+    found = conversations.transcript_digests(repaired)
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    # One row per conversation and side; an aggregate joins null ids too.
+    both = every.unionByName(report, allowMissingColumns=True).unionByName(found, allowMissingColumns=True)
+    joined = both.groupBy("conv_id").agg(*[F.max(name).alias(name) for name in [*counts, "audit", "repaired_sha256"]])
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return joined.select(
+        "conv_id", *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in counts],
+        *[F.coalesce(name, value).alias(name) for name, value in nothing.items()],
+    )
