@@ -23,11 +23,10 @@ from __future__ import annotations
 
 import json
 import zlib
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,9 +39,15 @@ from twinscout.sources.shared import materialized
 CHUNK_WORDS = 4_000_000
 #: Parts of the hash of words.  A chunk sends one row per part at most.
 PARTS = 512
-#: Marks of the three kinds of words: letters for the model, an added token, a whole text.
-LETTERS, ADDED, WHOLE = "wat"
-SPLIT_SCHEMA = "chunk long, part int, row long, doc_id long, words binary, numbers binary"
+#: Characters split at a time, and words of the documents that are put together at a time.
+PIECE_CHARS = 1 << 20
+GROUP_WORDS = 1 << 18
+#: Words are bytes in UTF-8; these marks, which UTF-8 never has, stand before added tokens and whole texts.
+ADDED, WHOLE = b"\xffa", b"\xfft"
+#: The one pattern of words that is split without looking at words one by one.
+PLAIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+EXCHANGED = "chunk long, part int, names binary, numbers binary"
+_EXCHANGED = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("names", pa.binary()), ("numbers", pa.binary())])
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -56,80 +61,133 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _pack_words(words: list[str]) -> bytes:
-    """Words by length and content; white space may be part of one, so lengths stand apart."""
-    lengths = np.array([len(word) for word in words], dtype="<u4").tobytes()
-    return zstandard.compress(lengths + "".join(words).encode("utf-8", "surrogatepass"), 3)
+def _binary(lengths: np.ndarray, data) -> pa.BinaryArray:
+    """Byte strings that lie one after another."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _unpack_words(packed: bytes, count: int) -> list[str]:
-    raw = zstandard.decompress(packed)
-    ends = np.cumsum(np.frombuffer(raw[: 4 * count], dtype="<u4")).tolist()
-    text, words, at = raw[4 * count :].decode("utf-8", "surrogatepass"), [], 0
-    for end in ends:
-        words.append(text[at:end])
-        at = end
-    return words
+def _content(strings: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of an array that starts at its buffers' start."""
+    _, offsets, data = strings.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int32)[: len(strings) + 1] if len(strings) else np.zeros(1, dtype=np.int32)
+    return offsets, np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
 
 
-class Splitter:
-    """``numbers(text)`` -> numbers of the text's words in the chunk's list ``words``."""
+# --- splitting -----------------------------------------------------------------------
 
-    def __init__(self, encoder: tokens.Encoder):
-        self.encoder = encoder
-        self.clear()
 
-    def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.raw = _Numbers(self)
+def _kinds() -> np.ndarray:
+    """0: white space, 1: letter, 2: number, 3: other, of the characters that need no library."""
+    kinds = np.full(0x180, 3, dtype=np.uint8)
+    for kind, major in ((1, "L"), (2, "N")):
+        kinds[[ord(c) for c in tokens._class(major)]] = kind
+    kinds[[9, 10, 13, 32]] = 0
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def plain_words(texts: list[str]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Words of texts of usual characters in lower case by ``PLAIN_WORDS``, and their number per text.
+
+    A word is a run of one kind of character, a single number, or an apostrophe that stands alone
+    before letters with the first of them where they are an ending of the pattern.
+    """
+    joined = "\n".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+    kinds = np.zeros(len(points) + 4, dtype=np.uint8)
+    kinds[1:-3] = _KINDS[points]
+    own, before = kinds[1:-3], kinds[:-4]
+    starts = (own != 0) & ((own != before) | (own == 2))
+    lone = np.nonzero((points == 39) & (before != 3) & (kinds[2:-2] == 1))[0]
+    if len(lone):
+        letters = np.concatenate([points, np.zeros(3, dtype="<u4")])
+        first, second = letters[lone + 1], letters[lone + 2]
+        size = np.isin(first, [ord(c) for c in "stmd"]).astype(np.int64)
+        for pair in ("re", "ve", "ll"):
+            size[(first == ord(pair[0])) & (second == ord(pair[1]))] = 2
+        lone, size = lone[size > 0], size[size > 0]
+        starts[lone + 1] = False
+        after = lone + 1 + size
+        starts[after[kinds[after + 1] == 1]] = True
+    raw = np.frombuffer(joined.encode(), dtype=np.uint8)
+    solid = raw[(raw != 32) & (raw != 10) & (raw != 9) & (raw != 13)]
+    ends = np.cumsum(np.where(own != 0, 1 + (points >= 0x80), 0))
+    at = np.nonzero(starts)[0]
+    offsets = np.empty(len(at) + 1, dtype=np.int32)
+    offsets[:-1] = ends[at] - (1 + (points[at] >= 0x80))
+    offsets[-1] = len(solid)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(solid)])
+    borders = np.cumsum([len(text) + 1 for text in texts]) - 1
+    return words, np.diff(np.searchsorted(at, borders), prepend=0)
+
 
-    def _number(self, word: str) -> int:
-        return self.words.setdefault(word, len(self.words))
+class Splitter:
+    """Words of texts as the tokenizer's pre-tokenizer cuts them."""
 
-    def letters(self, raw: str) -> str:
-        return LETTERS + raw.encode().decode("latin-1").translate(self.encoder.letters)
+    def __init__(self, encoder: tokens.Encoder):
+        self.encoder = encoder
+        rules = json.dumps(json.loads(encoder.tokenizer.to_str()).get("pre_tokenizer"))
+        self.plain = encoder.lower and encoder.split is not None and json.dumps({"Regex": PLAIN_WORDS}) in rules
+        self.back = {ord(letter): byte for byte, letter in encoder.letters.items()}
 
-    def numbers(self, text: str) -> np.ndarray:
+    def usual(self, text: str) -> bool:
+        encoder = self.encoder
+        return encoder.split is not None and not tokens._UNUSUAL.search(text) and not (encoder.added and encoder.added.search(text))
+
+    def words(self, texts: list[str]):
+        """(words, places of texts in the list, their numbers of words) for one group of texts after another."""
+        waiting, size = [], 0
+
+        def plain():
+            words, counts = plain_words([part for _, part in waiting])
+            return words, [at for at, _ in waiting], counts
+
+        for at, text in enumerate(texts):
+            if not (self.plain and self.usual(text)):
+                if waiting:
+                    yield plain()
+                    waiting, size = [], 0
+                found = pa.array(self._one(text), type=pa.binary())
+                yield found, [at], np.array([len(found)])
+                continue
+            for part in tokens._parts(text.lower()):
+                waiting.append((at, part))
+                size += len(part)
+                if size >= PIECE_CHARS:
+                    yield plain()
+                    waiting, size = [], 0
+        if waiting:
+            yield plain()
+
+    def _one(self, text: str) -> list[bytes]:
         encoder = self.encoder
         if encoder.split is None:
-            found = [self._number(WHOLE + text)] if text else []
-        elif tokens._UNUSUAL.search(text) or encoder.added and encoder.added.search(text):
-            found = self._by_library(text)
-        else:
-            look, split = self.raw.__getitem__, encoder.split.findall
-            parts = tokens._parts(text.lower() if encoder.lower else text)
-            arrays = [np.fromiter(map(look, split(part)), dtype=np.uint32) for part in parts]
-            return np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.uint32)
-        return np.array(found, dtype=np.uint32)
+            return [WHOLE + text.encode()] if text else []
+        if self.usual(text):
+            return [word.encode() for part in tokens._parts(text.lower() if encoder.lower else text) for word in encoder.split.findall(part)]
+        return self._by_library(text)
 
-    def _by_library(self, text: str) -> list[int]:
+    def _by_library(self, text: str) -> list[bytes]:
         """Added tokens are taken out first; what lies between is normalised and split by the library."""
         encoder, found, at = self.encoder, [], 0
         normal, split = encoder.tokenizer.normalizer, encoder.tokenizer.pre_tokenizer.pre_tokenize_str
 
         def between(part: str) -> None:
             part = normal.normalize_str(part) if normal else part
-            found.extend(self._number(LETTERS + word) for word, _ in split(part))
+            found.extend(word.translate(self.back).encode("latin-1") for word, _ in split(part))
 
         for met in encoder.added.finditer(text) if encoder.added else ():
             between(text[at : met.start()])
-            found.append(self._number(ADDED + met.group()))
+            found.append(ADDED + met.group().encode())
             at = met.end()
         between(text[at:])
         return found
 
 
-class _Numbers(dict):
-    """Number by word as it stands in the text."""
-
-    def __init__(self, splitter: Splitter):
-        self.splitter = splitter
-
-    def __missing__(self, raw: str) -> int:
-        number = self[raw] = self.splitter._number(self.splitter.letters(raw))
-        return number
-
-
 class _Chunk:
     """Documents of a chunk until it is full."""
 
@@ -138,56 +196,67 @@ class _Chunk:
         self._start()
 
     def _start(self) -> None:
-        self.splitter.clear()
         self.name = xxhash.xxh64(np.array([self.task, self.count], dtype="<i8").tobytes())
-        self.ids, self.found, self.size = [], [], 0
-
-    def add(self, doc_id, text: str) -> None:
-        self.name.update(text.encode("utf-8", "surrogatepass"))
-        self.ids.append(doc_id)
-        self.found.append(self.splitter.numbers(text))
-        self.size += len(self.found[-1])
+        self.ids, self.sizes, self.words, self.size = [], [], [], 0
+
+    def add(self, ids: list, texts: list[str]) -> None:
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for text in texts:
+            self.name.update(text.encode())
+        for words, at, counts in self.splitter.words(texts):
+            self.words.append(words)
+            np.add.at(sizes, at, counts)
+        self.ids.extend(ids)
+        self.sizes.append(sizes)
+        self.size += int(sizes.sum())
 
     def close(self, lists: bool):
         """Rows of the chunk's list, or of its documents' number sequences."""
-        words = list(self.splitter.words)
-        counts = np.bincount(np.concatenate(self.found), minlength=len(words))
-        order = np.argsort(-counts, kind="stable")
+        chunk = int(np.uint64(self.name.intdigest()).astype(np.int64))
+        words = pa.chunked_array(self.words, type=pa.binary()).combine_chunks().dictionary_encode()
+        numbers, words, sizes = words.indices.to_numpy(zero_copy_only=False), words.dictionary, np.concatenate(self.sizes)
+        order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), dtype=np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        chunk = int(np.uint64(self.name.intdigest()).astype(np.int64))
         if lists:
-            by_part = sorted((zlib.crc32(word.encode("utf-8", "surrogatepass")) % PARTS, word, at) for at, word in enumerate(words))
-            for part, group in groupby(by_part, key=itemgetter(0)):
-                group = list(group)
-                numbers = rank[[at for _, _, at in group]]
-                yield chunk, part, None, None, _pack_words([word for _, word, _ in group]), _pack(numbers)
+            parts = np.fromiter(map(zlib.crc32, words.to_pylist()), dtype=np.uint32, count=len(words)) % PARTS
+            dealt = np.argsort(parts, kind="stable")
+            offsets, data = _content(words.take(pa.array(dealt)))
+            bounds = np.searchsorted(parts[dealt], np.arange(PARTS + 1))
+            for part in np.nonzero(np.diff(bounds))[0].tolist():
+                a, b = bounds[part], bounds[part + 1]
+                lengths = np.diff(offsets[a : b + 1]).astype("<u4").tobytes()
+                names = zstandard.compress(lengths + data[offsets[a] : offsets[b]].tobytes(), 3)
+                yield chunk, part, names, _pack(rank[dealt[a:b]])
         else:
-            for row, (doc_id, found) in enumerate(zip(self.ids, self.found, strict=True)):
-                yield chunk, PARTS, row, doc_id, None, _pack(rank[found])
+            ends, first = np.cumsum(sizes), 0
+            while first < len(sizes):
+                start = int(ends[first] - sizes[first])
+                last = max(first + 1, int(np.searchsorted(ends, start + GROUP_WORDS, side="right")))
+                ids = self.ids[first:last]
+                header = np.array([0 if x is None else x for x in ids], dtype="<i8").tobytes() + bytes(x is None for x in ids)
+                yield chunk, PARTS, header + sizes[first:last].astype("<i8").tobytes(), _pack(rank[numbers[start : ends[last - 1]]])
+                first = last
         self.count += 1
         self._start()
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _batches(rows, at_most: int = 4 << 20):
+    """Rows of ``_EXCHANGED`` as batches of a bounded size in bytes."""
+    waiting, held = [], 0
 
+    def batch():
+        columns = zip(*waiting, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _EXCHANGED, strict=True)], schema=_EXCHANGED)
 
-def _batches(rows, schema: pa.Schema, size, at_most: int = 4 << 20):
-    """Rows as batches of a bounded size in bytes."""
-    waiting, held = [], 0
     for row in rows:
         waiting.append(row)
-        held += size(row) + 64
+        held += len(row[2]) + len(row[3]) + 64
         if held >= at_most:
-            yield _batch(waiting, schema)
+            yield batch()
             waiting, held = [], 0
     if waiting:
-        yield _batch(waiting, schema)
-
-
-_SPLIT = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())])
+        yield batch()
 
 
 def _splitting(shipped, chunk_words: int, lists: bool):
@@ -197,26 +266,25 @@ def _splitting(shipped, chunk_words: int, lists: bool):
             for batch in in_slices(whole):
                 if chunk is None and batch.num_rows:
                     chunk = _Chunk(Splitter(tokens.encoder(shipped.value)), batch.column("task")[0].as_py())
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    chunk.add(doc_id, text)
+                if batch.num_rows:
+                    chunk.add(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
                     if chunk.size >= chunk_words:
                         yield from chunk.close(lists)
         if chunk is not None and chunk.ids:
             yield from chunk.close(lists)
 
-    return lambda batches: _batches(rows(batches), _SPLIT, lambda row: len(row[4] or b"") + len(row[5]))
+    return lambda batches: _batches(rows(batches))
 
 
-def word_ids(encoder: tokens.Encoder, word: str) -> list[int]:
-    kind, word = word[0], word[1:]
-    if kind == LETTERS:
-        return [token.id for token in encoder.tokenize(word)]
-    if kind == ADDED:
-        return [encoder.tokenizer.token_to_id(word)]
-    return encoder.tokenizer.encode(word, add_special_tokens=False).ids
+# --- encoding ------------------------------------------------------------------------
 
 
-_IDS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())])
+def word_ids(encoder: tokens.Encoder, word: bytes) -> list[int]:
+    if word[:2] == ADDED:
+        return [encoder.tokenizer.token_to_id(word[2:].decode())]
+    if word[:2] == WHOLE:
+        return encoder.tokenizer.encode(word[2:].decode(), add_special_tokens=False).ids
+    return [token.id for token in encoder.tokenize(word.decode("latin-1").translate(encoder.letters))]
 
 
 def _encoding(shipped):
@@ -225,86 +293,101 @@ def _encoding(shipped):
     def rows(batches):
         encoder, part, known = tokens.encoder(shipped.value), None, {}
         for batch in batches:
-            for row in zip(*(batch.column(name).to_pylist() for name in ("chunk", "part", "words", "numbers")), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if row[1] != part:
                     part, known = row[1], {}
                 count = len(_unpack(row[3]))
-                ids = []
-                for word in _unpack_words(row[2], count):
+                raw, ids, at = zstandard.decompress(row[2]), [], 4 * count
+                for length in np.frombuffer(raw[:at], dtype="<u4").tolist():
+                    word = raw[at : at + length]
+                    at += length
                     own = known.get(word)
                     if own is None:
-                        own = known[word] = word_ids(encoder, word)
+                        own = known[word] = np.array(word_ids(encoder, word), dtype="<u4").tobytes()
                     ids.append(own)
-                lengths = np.array([len(own) for own in ids], dtype="<u4")
-                flat = np.array([x for own in ids for x in own], dtype="<u4")
-                yield row[0], row[1], None, None, _pack(np.concatenate([lengths, flat])), row[3]
+                lengths = np.fromiter(map(len, ids), dtype=np.uint32, count=count) // 4
+                yield row[0], row[1], _pack(np.concatenate([lengths, np.frombuffer(b"".join(ids), dtype="<u4")])), row[3]
+
+    return lambda batches: _batches(rows(batches))
 
-    return lambda batches: _batches(rows(batches), _IDS, lambda row: len(row[4]) + len(row[5]))
+
+# --- joining back --------------------------------------------------------------------
 
 
 class _List:
-    """A chunk's distinct words: their ids by number, and their decoded text made when asked for."""
-
-    def __init__(self, numbers: list[np.ndarray], ids: list[np.ndarray], pieces, glue: str):
-        number = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
-        lengths = np.concatenate([x[: len(n)] for x, n in zip(ids, numbers, strict=True)] or [np.zeros(0, dtype=np.int64)])
-        flat = np.concatenate([x[len(n) :] for x, n in zip(ids, numbers, strict=True)] or [np.zeros(0, dtype=np.int64)])
-        starts = np.cumsum(lengths, dtype=np.int64) - lengths
-        self.flat = flat.astype(np.int32)
+    """A chunk's distinct words by number: their ids, and the pieces of their ids put together."""
+
+    def __init__(self, numbers: list[np.ndarray], ids: list[np.ndarray], pieces: pa.BinaryArray):
+        nothing = np.zeros(0, dtype=np.int64)
+        number = np.concatenate(numbers or [nothing])
+        lengths = np.concatenate([x[: len(n)] for x, n in zip(ids, numbers, strict=True)] or [nothing]).astype(np.int64)
+        self.flat = np.concatenate([x[len(n) :] for x, n in zip(ids, numbers, strict=True)] or [nothing]).astype(np.int32)
+        starts = np.cumsum(lengths) - lengths
         self.lengths, self.starts = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
         self.lengths[number], self.starts[number] = lengths, starts
-        self.pieces, self.glue, self.texts = pieces, glue, {}
-
-    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        # The id-to-piece join: pieces of all ids in a row, cut into words.
+        offsets, data = _content(pieces.take(pa.array(self.flat)))
+        texts = _binary(offsets[starts + lengths] - offsets[starts], data)
+        place = np.empty(len(number), dtype=np.int64)
+        place[number] = np.arange(len(number))
+        self.texts = texts.take(pa.array(place))
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in a row, ids before each word and in all)."""
         lengths = self.lengths[numbers]
-        before = np.cumsum(lengths) - lengths
-        return self.flat[np.repeat(self.starts[numbers] - before, lengths) + np.arange(lengths.sum())]
-
-    def text(self, number: int) -> str:
-        at = self.starts[number]
-        return self.glue.join([self.pieces[i] for i in self.flat[at : at + self.lengths[number]].tolist()])
-
-    def decoded(self, numbers: np.ndarray) -> str:
-        texts = self.texts
-        for number in np.unique(numbers).tolist():
-            if number not in texts:
-                texts[number] = self.text(number)
-        return self.glue.join([texts[n] for n in numbers.tolist() if self.lengths[n]])
-
-
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return self.flat[np.repeat(self.starts[numbers] - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
 
 def _joining(shipped, vocabulary):
     """Rows sorted by chunk, the list's parts before the documents."""
 
-    def rows(batches):
+    def join(batches):
         glue, finish = decoder_of(shipped.value)
-        pieces, chunk, numbers, ids, words = vocabulary.value, None, [], [], None
+        pieces = pa.array([(piece + glue).encode() for piece in vocabulary.value], type=pa.binary())
+        chunk, numbers, ids, words = None, [], [], None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if row[0] != chunk:
                     chunk, numbers, ids, words = row[0], [], [], None
                 if row[1] < PARTS:
-                    numbers.append(_unpack(row[5]))
-                    ids.append(_unpack(row[4]))
+                    numbers.append(_unpack(row[3]))
+                    ids.append(_unpack(row[2]))
                     continue
                 if words is None:
-                    words = _List(numbers, ids, pieces, glue)
-                own = _unpack(row[5])
-                if len(own) and own.max() >= len(words.lengths):
-                    raise RuntimeError("a chunk's documents changed between the two splits")
-                found = words.ids(own)
-                yield row[3], len(found), found, finish(words.decoded(own))
-
-    return lambda batches: _batches(rows(batches), _OUT, lambda row: 4 * row[1] + len(row[3]))
+                    words = _List(numbers, ids, pieces)
+                yield _documents(words, row[2], _unpack(row[3]), len(glue.encode()), finish)
+
+    return join
+
+
+def _documents(words: _List, header: bytes, numbers: np.ndarray, glue: int, finish) -> pa.RecordBatch:
+    count = len(header) // 17
+    doc_ids, sizes = np.frombuffer(header[: 8 * count], dtype="<i8"), np.frombuffer(header[9 * count :], dtype="<i8")
+    if len(numbers) and numbers.max() >= len(words.lengths):
+        raise RuntimeError("a chunk's documents changed between the two splits")
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat, before = words.ids(numbers)
+    offsets, data = _content(words.texts.take(pa.array(numbers)))
+    decoded = _binary(np.diff(offsets[ends]), data)
+    if glue:
+        decoded = pc.binary_slice(decoded, 0, -glue)
+    if finish:
+        decoded = pa.array([finish(text.decode()) for text in decoded.to_pylist()], type=pa.string())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(doc_ids, mask=np.frombuffer(header[8 * count : 9 * count], dtype=bool)), pa.array(np.diff(before[ends])),
+            pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), pa.array(flat)), decoded.cast(pa.string()),
+        ],
+        names=["doc_id", "n_tokens", "ids", "decoded"],
+    )
 
 
 def decoder_of(definition: str):
-    """(what stands between pieces, last step) of the tokenizer's decoder."""
+    """(what stands between pieces, last step if there is one) of the tokenizer's decoder."""
     decoder = json.loads(definition).get("decoder")
     if decoder is None:
-        return " ", lambda text: text
+        return " ", None
     if decoder["type"] == "ByteLevel":
         back = {ord(letter): byte for byte, letter in tokens._byte_letters().items()}
         return "", lambda text: text.translate(back).encode("latin-1").decode("utf-8", "replace")
@@ -345,9 +428,9 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, chunk_words: int = C
     # The scan's own partition; a task's number would count the other side of the union too.
     texts = _fixed_partitions(texts).withColumn("task", F.spark_partition_id())
     tasks = shuffle_partitions(spark)
-    lists = texts.mapInArrow(_splitting(shipped, chunk_words, True), SPLIT_SCHEMA)
+    lists = texts.mapInArrow(_splitting(shipped, chunk_words, True), EXCHANGED)
     lists = lists.repartition(tasks, "part").sortWithinPartitions("part")
-    encoded = lists.mapInArrow(_encoding(shipped), SPLIT_SCHEMA)
-    sequences = texts.mapInArrow(_splitting(shipped, chunk_words, False), SPLIT_SCHEMA)
+    encoded = lists.mapInArrow(_encoding(shipped), EXCHANGED)
+    sequences = texts.mapInArrow(_splitting(shipped, chunk_words, False), EXCHANGED)
     met = encoded.unionAll(sequences).repartition(tasks, "chunk").sortWithinPartitions("chunk", "part")
     return met.mapInArrow(_joining(shipped, vocabulary), "doc_id long, n_tokens long, ids array<int>, decoded string")
