@@ -570,6 +570,92 @@ SELECT row_id, sku, rank, position, image_path, {card('image_path')} FROM kept""
 )
 
 
+NODES = f"""{LISTINGS}, {features('lf', 'listings', 'title')},
+facts AS (
+  SELECT row_id, list_sort(k) AS k, list_sort(m) AS m,
+    list_sort(list_filter(n, lambda x: NOT list_contains({_list(SPEC_NUMBERS)}, x))) AS n,
+    list_sort(list_filter({_list(MODIFIERS)}, lambda x: list_contains(w, x))) AS w
+  FROM lf WHERE len(k) > 0),
+nodes AS (SELECT k, m, n, w, min(row_id) AS node FROM facts GROUP BY ALL),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM nodes a JOIN nodes b ON a.node <> b.node
+  WHERE {shared('a.k', 'b.k')} / CAST(least(len(a.k), len(b.k)) AS DOUBLE) >= 0.8 AND NOT {mismatch('a', 'b')}),
+reach AS (SELECT node, node AS met FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.met),
+roots AS (SELECT node, min(met) AS group_id FROM reach GROUP BY node),
+members AS (SELECT row_id, group_id FROM facts JOIN nodes USING (k, m, n, w) JOIN roots USING (node))"""
+
+
+def classes(name: str, source: str, row: str) -> str:
+    return f"{name} AS (SELECT list_sort(k) AS k, min({row}) AS class_id FROM {source} WHERE len(k) > 0 GROUP BY 1)"
+
+
+def overlapping(pairs: str) -> str:
+    return f"""SELECT a.class_id AS left_id, b.class_id AS right_id, CAST({shared('a.k', 'b.k')} AS INTEGER) AS shared,
+  {overlap('a.k', 'b.k')} AS overlap FROM {pairs}
+  {shared('a.k', 'b.k')} / CAST(least(len(a.k), len(b.k)) AS DOUBLE) >= 0.8"""
+
+
+ORACLES.update(
+    {
+        # whole catalogs
+        "visual_search_pruned": ORACLES["visual_search"],
+        "visual_search_pruned_small_cut": ORACLES["visual_search_small_cut"],
+        "visual_search_pruned_batch": ORACLES["visual_search_batch"],
+        "apply_index_delta": f"""WITH {MANIFEST} SELECT 'images/' || file_name AS path,
+  CAST(regexp_extract(file_name, '[0-9]+') AS BIGINT) + 1 AS image_id, CAST(length AS BIGINT) AS length,
+  CAST(mtime AS BIGINT) AS mtime FROM manifest""",
+        "visual_search_after_delta": f"""WITH {FLAGSHIP_SCORES}
+SELECT query_id, image_id, sku_key, {six('score')} AS score, row_number() OVER (ORDER BY h.score DESC, image_id) AS hit
+FROM all_hits h JOIN listings l ON l.row_id = h.image_id WHERE l.source_file <> 'PROMO'
+QUALIFY row_number() OVER (ORDER BY h.score DESC, image_id) <= 50""",
+        "overlap_join": f"""WITH {LISTINGS}, {features('lf', 'listings', 'title')}, {classes('c', 'lf', 'row_id')}
+{overlapping('c a JOIN c b ON a.class_id < b.class_id WHERE')}""",
+        "overlap_classes": f"""WITH docs AS (SELECT doc_id, {keywords('c')} AS k FROM (SELECT doc_id, {clean('text')} AS c FROM documents)),
+{classes('c', 'docs', 'doc_id + 1')}
+SELECT doc_id + 1 AS row_id, class_id FROM docs d JOIN c ON list_sort(d.k) = c.k""",
+        "overlap_join_benchmark": f"""WITH docs AS (SELECT doc_id, {keywords('c')} AS k FROM (SELECT doc_id, {clean('text')} AS c FROM documents)),
+items AS (SELECT item_id, {keywords('c')} AS k FROM (SELECT item_id, {clean('text')} AS c FROM benchmark)),
+{classes('c', 'items', 'item_id')}, {classes('d', 'docs', 'doc_id + 1')}
+{overlapping('c a, d b WHERE')}""",
+        "duplicate_groups": f"WITH RECURSIVE {NODES} SELECT row_id, group_id FROM members",
+        "duplicate_group_report": f"""WITH RECURSIVE {NODES},
+placed AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY price, row_id) AS place FROM listings JOIN members USING (row_id))
+SELECT group_id, count(*) AS listings, min(price) AS least_price, max(price) AS most_price, count(DISTINCT source_file) AS sources,
+  min(row_id) FILTER (place = 1) AS representative, min(sku) FILTER (place = 1) AS sku, min(title) FILTER (place = 1) AS title
+FROM placed GROUP BY group_id""",
+        "keyword_pairs": ORACLES["keyword_prefilter_documents"],
+        "filtered_scores": ORACLES["attach_visual_score"],
+        "turned_copies": f"""WITH {VEC}, o AS ({_orientations()}),
+turned AS (
+  SELECT vec_id, v, CASE label % 3 WHEN 0 THEN list_reverse(v)
+    WHEN 1 THEN list_transform(range(64), lambda i: v[(i // 8) * 8 + 8 - i % 8]) ELSE v END AS t
+  FROM vec JOIN embeddings USING (vec_id)),
+images AS (
+  SELECT vec_id AS id, v FROM vec
+  UNION ALL SELECT vec_id + 1000000, list_transform(range(1, 65), lambda i: t[i] + v[i] / 50) FROM turned),
+centred AS (SELECT id, list_transform(v, lambda x: x - list_avg(v)) AS d FROM images),
+scaled AS (SELECT id, list_transform(d, lambda x: x / sqrt({dot('d', 'd')})) AS d FROM centred),
+views AS (SELECT id, orientation, list_transform(o, lambda i: d[i]) AS d FROM scaled, o)
+SELECT a.id AS id_a, b.id AS id_b, arg_max(orientation, {dot('a.d', 'b.d')}) AS orientation, {six('max(' + dot('a.d', 'b.d') + ')')} AS correlation
+FROM scaled a JOIN views b ON a.id < b.id WHERE {dot('a.d', 'b.d')} >= 0.95 GROUP BY a.id, b.id""",
+        "price_range_batch": f"""WITH {LISTINGS}, {LEADS},
+asked AS (SELECT query_id, CASE WHEN source_file <> 'PROMO' THEN CAST(query_id AS DOUBLE) / 10 + CAST(899.9 AS DOUBLE) - CAST(1.25 AS DOUBLE) END AS low,
+  CASE WHEN source_file <> 'LARGE' THEN CAST(query_id AS DOUBLE) / 10 + CAST(899.9 AS DOUBLE) + CAST(3 AS DOUBLE) END AS high FROM leads)
+SELECT query_id, row_id FROM listings, asked WHERE (low IS NULL OR price >= low) AND (high IS NULL OR price <= high)""",
+        "fetch_schedule": """WITH hosts AS (
+  SELECT 'P' || page_id AS sku, coalesce(lower(regexp_extract(url, '^[^/?#]*://([^/?#]*)', 1)), '') AS host FROM pages),
+rounds AS (SELECT sku, host, (row_number() OVER (PARTITION BY host ORDER BY sku) - 1) // 4 AS round FROM hosts),
+places AS (SELECT sku, host, round, row_number() OVER (PARTITION BY round ORDER BY host, sku) - 1 AS place FROM rounds)
+SELECT sku, host, round, place // 30 AS slot, CAST(place % 30 AS INTEGER) AS worker FROM places""",
+        "sku_profile_sketch": """SELECT count(*) AS total_rows, min(o_totalprice) AS least_price, max(o_totalprice) AS most_price,
+  TRUE AS distinct_close, TRUE AS median_close FROM orders""",
+        "encode_titles_once": f"""WITH {LISTINGS} SELECT title, 1 AS times_encoded,
+  array_to_string(list_transform(range(97, 123), lambda i: length(title) - length(replace(title, chr(CAST(i AS INTEGER)), ''))), ',') AS letters
+FROM (SELECT DISTINCT title FROM listings)""",
+    }
+)
+
+
 def _typed(sql: str, **types: str) -> str:
     """Give integer columns the width Spark gives them."""
     casts = ", ".join(f"CAST({column} AS {kind}) AS {column}" for column, kind in types.items())
@@ -586,6 +672,11 @@ for _name, _types in {
     "visual_search": {"query_id": "BIGINT", "hit": "INTEGER"},
     "visual_search_small_cut": {"query_id": "BIGINT", "hit": "INTEGER"},
     "visual_search_batch": {"hit": "INTEGER"},
+    "visual_search_pruned": {"query_id": "BIGINT", "hit": "INTEGER"},
+    "visual_search_pruned_small_cut": {"query_id": "BIGINT", "hit": "INTEGER"},
+    "visual_search_pruned_batch": {"hit": "INTEGER"},
+    "visual_search_after_delta": {"query_id": "BIGINT", "hit": "INTEGER"},
+    "encode_titles_once": {"times_encoded": "BIGINT"},
     "visual_scores": {"query_id": "BIGINT", "hit": "INTEGER"},
     "attach_visual_score": {"query_id": "BIGINT"},
     "rank_matches": {"rank": "INTEGER"},

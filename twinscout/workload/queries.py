@@ -18,7 +18,7 @@ from twinscout.sources import images as image_source
 from twinscout.sources import listings as listing_source
 from twinscout.sources.matches import read_matches, write_matches
 from twinscout.sources.shared import materialized, new_shared_path
-from twinscout.workload import views
+from twinscout.workload import catalog, views
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP_TOP = views.FLAGSHIP["top"]
@@ -729,3 +729,4 @@ REGISTRY["embed_batches"] = REGISTRY.pop("embed_batches_letters")
 REGISTRY["orientation_corr"] = REGISTRY.pop("orientation_correlation")
 REGISTRY["find_duplicates_batch"] = REGISTRY.pop("find_duplicates_batch_queries")
 REGISTRY["report_view"] = REGISTRY.pop("report_view_flagship")
+REGISTRY |= catalog.REGISTRY

@@ -236,6 +236,25 @@ def indexed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _vectors_of_files(files: DataFrame, vectors: DataFrame) -> DataFrame:
+    stem = F.upper(F.regexp_extract("path", r"([^/]*)\.[^.]*$", 1))
+    return files.select("path", "length", "mtime", stem.alias("sku_key")).join(vectors, "sku_key")
+
+
+def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cached file with its vector."""
+    return _vectors_of_files(image_manifest(spark, sf_dir), images(spark, sf_dir))
+
+
+def earlier_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the index's earlier state; those changed since had another vector."""
+    now = image_manifest(spark, sf_dir).select("path", F.col("length").alias("now_length"), F.col("mtime").alias("now_mtime"))
+    rows = _vectors_of_files(indexed_images(spark, sf_dir), images(spark, sf_dir)).join(now, "path", "left")
+    same = (F.col("length") == F.col("now_length")) & (F.col("mtime") == F.col("now_mtime"))
+    vector = F.when(F.coalesce(same, F.lit(True)), F.col("vector")).otherwise(F.reverse("vector"))
+    return rows.withColumn("vector", vector).drop("now_length", "now_mtime")
+
+
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as answers to fetches; a sign-up stands for one still open."""
     kind = F.col("event_type")
@@ -281,6 +300,19 @@ def image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return here.join(after, "id_a")
 
 
+def turned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as an image, and a copy that is turned by 180 degrees, mirrored or as it is, by label, with some
+    of the second half of its elements mixed in."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    turned = F.when(F.col("label") % 3 == 0, F.reverse("vector")).when(
+        F.col("label") % 3 == 1,
+        F.flatten(F.transform(F.sequence(F.lit(0), F.lit(VECTOR_SIDE - 1)), lambda row: F.reverse(F.slice("vector", row * VECTOR_SIDE + 1, VECTOR_SIDE)))),
+    ).otherwise(F.col("vector"))
+    mixed = F.zip_with(turned, F.col("vector"), lambda own, other: own + other / 50)
+    copies = rows.select((F.col("vec_id") + 1_000_000).alias("image_id"), mixed.alias("vector"))
+    return rows.select(F.col("vec_id").alias("image_id"), "vector").unionByName(copies)
+
+
 def bitmap_content() -> Column:
     """An embedding drawn as a small gray BMP; two labels stand for an empty file and
     for one that is not an image."""
