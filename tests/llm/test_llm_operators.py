@@ -2,8 +2,10 @@
 texts and clashing columns, against brute force."""
 
 import hashlib
-import re
+import itertools
+import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -304,6 +306,73 @@ def test_url_rules_need_the_same_rows_in_any_table(spark):
     assert url_filter.mine_rules(spark.createDataFrame(same, "tokens array<string>, blocked boolean")).count() == 0
 
 
+def test_frequent_sets_are_all_of_them(spark):
+    """Every set of tokens that enough blocked URLs hold, of any size, counted over all URLs."""
+    pick = random.Random(12)
+    names = [f"t{at}" for at in range(9)]
+    rows = [(sorted(pick.sample(names, pick.randint(0, 6))), pick.random() < 0.4) for _ in range(200)]
+    found, items = url_filter.frequent_sets(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 5)
+    assert {r.token for r in items.collect()} == set(names)
+    wanted = {}
+    for size in range(1, 7):
+        for own in itertools.combinations(names, size):
+            hits = [blocked for tokens, blocked in rows if set(own) <= set(tokens)]
+            if sum(hits) >= 5:
+                wanted[own] = (len(hits), sum(hits))
+    assert {tuple(r["items"]): (r.n, r.k) for r in found.collect()} == wanted and max(map(len, wanted)) >= 3
+
+
+def test_rules_are_those_no_part_is_as_sure_as(spark):
+    pick = random.Random(13)
+    names = [f"t{at}" for at in range(7)]
+    rows = []
+    for _ in range(600):
+        own = sorted(pick.sample(names, pick.randint(1, 5)))
+        rows.append((own, pick.random() < (0.95 if {"t0", "t1"} <= set(own) else 0.8 if "t2" in own else 0.1)))
+    rules = {tuple(r.tokens): r for r in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()}
+    base, sure, all_sets = sum(b for _, b in rows) / len(rows), {}, {}
+    for size in range(1, 6):
+        for own in itertools.combinations(names, size):
+            hits = [blocked for tokens, blocked in rows if set(own) <= set(tokens)]
+            n, k = len(hits), sum(hits)
+            if k < 20:
+                continue
+            all_sets[own] = share = k / n
+            z = url_filter.DEVIATIONS
+            bound = (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            part = max((all_sets[p] for s in range(1, size) for p in itertools.combinations(own, s)), default=-1)
+            if share >= 0.6 and bound > base and part < share:
+                sure[own] = share
+    assert {t: round(r.confidence, 9) for t, r in rules.items()} == {t: round(c, 9) for t, c in sure.items()} and len(sure) > 1
+
+
+def test_a_rule_of_four_tokens_blocks(spark):
+    """No part of the four tokens tells more than another; together they do."""
+    pages, at = [], 0
+    parts = ["a", "b", "c", "d"]
+    for kept in range(16):
+        own = [p for i, p in enumerate(parts) if kept >> i & 1]
+        for _ in range(40):
+            pages.append((at, f"http://h{at}.example.org/" + "/".join([*own, f"x{'y' * (at % 17)}"]), kept == 15, "kept", 1))
+            at += 1
+    table = spark.createDataFrame(pages, "page_id int, url string, blocked boolean, _url string, rule int")
+    judged = url_filter.judge_urls(table, table.select("page_id", "blocked"))
+    assert judged.columns == ["page_id", "url", "blocked", "_url", "host", "path", "mined_rule", "rule", "verdict"]
+    found = judged.collect()
+    assert sum(r.verdict == "block" for r in found if r.blocked) == 40 and not any(r.verdict == "block" for r in found if not r.blocked)
+    assert {r._url for r in found} == {"kept"}
+
+
+def test_urls_of_any_kind(spark):
+    """Repeated and null ids, null and very long URLs, no labels, no pages."""
+    rows = [(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None), (None, "http://b.net/"), (2, "http://c.org/" + "seg/" * 200_000), (3, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(1, True), (None, True), (2, None)], "page_id long, blocked boolean")
+    for own in (labels, labels.limit(0)):
+        assert sorted(str(r.verdict) for r in url_filter.judge_urls(pages, own, [("block", "net/")]).collect()) == ["allow"] * 5 + ["block"]
+    assert url_filter.judge_urls(pages.limit(0), labels).count() == 0
+
+
 def test_mined_url_rules(spark):
     pages = [(at, f"http://spam.example.org/win/{at}?ref=a" if at % 3 == 0 else f"https://good.example.org/en/{at}") for at in range(300)]
     pages += [(900, None), (901, "no scheme"), (902, "HTTP://A.Example.NET?x"), (903, "http://x.net/p"), (904, "http://spam.example.org/win/7?ref=a")]
