@@ -9,9 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinscout.operators import bloom, cells, groups, hot_words, matching, overlap, prices, profiles, ranking, rotations, schedule, title_store
+from twinscout.operators import bloom, cache, cells, groups, hot_words, matching, overlap, prices, profiles, ranking, report, rotations, schedule, sizing
+from twinscout.operators import title_store, vectors
 from twinscout.operators.cache import index_delta
 from twinscout.operators.orientation import orientation_corr
+from twinscout.plans.prepare import prepare_fetches, refresh_index
 from twinscout.sources.shared import new_shared_path
 
 IMAGE = "image_id long, sku_key string, vector array<float>, path string, length long, mtime long"
@@ -423,3 +425,85 @@ def test_many_near_copies_do_not_make_all_pairs(spark):
     rows = [(i, [float(v) for v in one + state.normal(scale=1e-6, size=side * side)]) for i in range(600)]
     codes = rotations.codes_of(spark.createDataFrame(rows, "image_id long, vector array<double>"), side).select(F.col("image_id").alias("class_id"), "codes")
     assert rotations.proposed_pairs(codes).count() <= 30 * len(rows)
+
+
+# --- hot SKUs, wide vectors, preparation ---------------------------------------------
+
+
+def hot_skus(spark, rows=30_000):
+    """Two thirds of the rows have one SKU."""
+    sku = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id").cast("string")))
+    return spark.range(rows).select(sku.alias("sku"), F.col("id").alias("row_id"))
+
+
+def largest_share(frame):
+    sizes = sorted(row["count"] for row in frame.groupBy(F.spark_partition_id()).count().collect())
+    return sizes[-1] / sum(sizes)
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_a_hot_sku_is_spread_without_a_bound(spark, monkeypatch, bound):
+    matches = hot_skus(spark)
+    attributes = hot_skus(spark).select("sku", "row_id", (F.col("row_id") * 2).alias("Best_Stock"))
+    names = hot_skus(spark).select(F.concat("sku", F.lit(".png")).alias("file_name"))
+    if bound is not None:
+        monkeypatch.setattr(sizing, "BROADCAST_BYTES", bound)
+    enriched = report.enrich_attributes(matches, attributes)
+    paths = cache.local_image_path(matches, names, "images")
+    if bound is not None:
+        # Small neighbours stay apart, so that a task is what one key makes of it.
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert largest_share(enriched) < 0.35 and largest_share(paths) < 0.35
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert enriched.count() == paths.count() == 30_000
+    assert enriched.where("sku = 'hot' AND Best_Stock <> 59998").count() == 0 and enriched.where("Best_Stock IS NULL").count() == 0
+    assert paths.where("image_path <> concat('images/', sku, '.png')").count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_spread_joins_are_joins(spark, monkeypatch, how, bound):
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", bound)
+    large = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, _salt int")
+    small = spark.createDataFrame([("a", "x"), (None, "n"), ("c", "y")], "k string, v string")
+    wanted = sorted(map(str, large.join(small, "k", how).collect()))
+    assert sorted(map(str, sizing.join_spread(large, small, ["k"], how).collect())) == wanted
+
+
+def test_wide_vectors_are_multiplied_in_bounded_pieces(monkeypatch):
+    seen = []
+    dots = vectors.exact_dots
+    monkeypatch.setattr(vectors, "exact_dots", lambda a, b: seen.append(a.nbytes + b.nbytes) or dots(a, b))
+    monkeypatch.setattr(vectors, "BYTES_AT_ONCE", 1 << 20)
+    state = np.random.default_rng(1)
+    queries, images = state.normal(size=(64, 512)), state.normal(size=(900, 512))
+    best = vectors.RunningBest(queries, 900)
+    best.add(images, np.arange(900), np.array(["k"] * 900))
+    cols, scores, ids, _ = best.cut()
+    assert max(seen) <= 1 << 20 and len(cols) == 64 * 900
+    assert np.allclose(scores, (queries[cols] * images[ids]).sum(axis=1))
+
+
+def test_damaged_and_absent_files_are_fetched(spark):
+    listings = spark.createDataFrame(
+        [(i, f"S{i}", "red ring" if i < 6 else "blue lamp", 5.0, f"https://h{i % 2}/x") for i in range(1, 9)],
+        "row_id long, sku string, title string, price double, image_url string",
+    ).withColumn("text_vec_id", F.lit(None).cast("long"))
+    manifest = spark.createDataFrame([(f"S{i}.jpg", f"images/S{i}.jpg", 0 if i == 2 else 9, 1) for i in range(1, 5)] + [(".x.jpg", "p", 1, 1)], "file_name string, path string, length long, mtime long")
+    scan = spark.createDataFrame([("S1.jpg", 4), ("S4.jpg", 4)], "file_name string, width int")
+    validity, slots = prepare_fetches(listings, manifest, scan, "images", workers=2, per_host=1, title="ring")
+    assert {r.file_name: r.status for r in validity.collect()} == {"S1.jpg": "ok", "S2.jpg": "empty", "S3.jpg": "corrupt", "S4.jpg": "ok"}
+    found = {r.sku: (r.reason, r.host) for r in slots.collect()}
+    assert found == {"S2": ("damaged", "h0"), "S3": ("damaged", "h1"), "S5": ("absent", "h1")}
+    assert slots.groupBy("round", "slot", "host").count().where("count > 1").count() == 0
+
+
+def test_an_index_is_refreshed_only_where_something_changed(spark):
+    rows = clustered(6, 400)
+    images, folder = spark.createDataFrame(rows, IMAGE), new_shared_path(spark, "index")
+    more = spark.createDataFrame([*rows, (900, "N", rows[0][2], "images/new", 1, 1), (901, "X", None, "images/none", 1, 1)], IMAGE)
+    assert [refresh_index(spark, folder, own) for own in (images, images, more, more)] == [1, 1, 2, 2]
+    assert refresh_index(spark, folder, images, no_indexing=True) == 2
+    assert cells.indexed(spark, folder).count() == 401

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from twinscout.functions.fields import as_text, match_count_label
 from twinscout.operators.matching import in_price_range
 from twinscout.sources import shared
-from twinscout.sources.listings import list_entries, read_table
+from twinscout.sources.listings import _layouts, find_tables, list_entries, load_listings, read_table
 
 
 def test_csv_keeps_quotes_commas_and_line_breaks(spark, tmp_path):
@@ -66,3 +66,54 @@ def test_shared_folder_needs_a_shared_place(spark, monkeypatch):
     session = type("Session", (), {"conf": Conf(), "sparkContext": Context})
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.shared_folder(session)
+
+
+def test_a_table_is_cut_into_pieces_unless_a_cell_has_a_line_break(spark, tmp_path):
+    def table(name, rows):
+        with (tmp_path / name).open("w", newline="") as file:
+            writer = csv.writer(file)
+            writer.writerow(["SKU", "Title"])
+            writer.writerows(rows)
+
+    table("a.csv", [(f"a{at}", 'say "hi", you') for at in range(4000)])
+    table("b.csv", [(f"b{at}", "two\nlines" if at == 3000 else "one") for at in range(4000)])
+    table("c.csv", [(f"c{at}", "x") for at in range(4000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        loaded = load_listings(spark, str(tmp_path))
+        found = loaded.select("source_file", "sku", "title", F.spark_partition_id().alias("task")).collect()
+        for name, kept in (("a.csv", 'say "hi", you'), ("b.csv", "one"), ("c.csv", "x")):
+            own = [row for row in found if row.source_file == name]
+            assert len(own) == 4000 and sum(row.title == kept for row in own) >= 3999
+        assert [row.title for row in found if row.sku == "b3000"] == ["two\nlines"]
+        in_pieces = read_table(spark, [str(tmp_path / "a.csv")], multi_line=False)
+        assert in_pieces.rdd.getNumPartitions() > 1
+        layouts = {name for pieces, group in _layouts(spark, find_tables(spark, str(tmp_path)), None) if pieces for name, _ in group}
+        assert layouts == {"a.csv", "c.csv"}
+        assert loaded.agg(F.count_distinct("row_id"), F.max("row_id")).first() == (12_000, 12_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_jobs_do_not_grow_with_the_number_of_tables(spark, tmp_path):
+    def jobs(count):
+        folder = tmp_path / f"with{count}"
+        for at in range(count):
+            spark.range(3).selectExpr(f"concat('p{at}-', id) AS SKU", "'t' AS Title").coalesce(1).write.parquet(f"{folder}/p{at}.parquet")
+            (folder / f"c{at}.csv").write_text("SKU,Title\nk,v\n")
+            (folder / f"j{at}.json").write_text('{"SKU": "j", "Best_Title": "t"}\n')
+        tracker, group = spark.sparkContext.statusTracker(), f"load{count}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            loaded = load_listings(spark, str(folder), row_ids=False)
+            return len(tracker.getJobIdsForGroup(group)), loaded
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    few, _ = jobs(2)
+    many, loaded = jobs(12)
+    assert many <= few + 1
+    assert {row.source_file: row.n for row in loaded.groupBy("source_file").agg(F.count("*").alias("n")).collect()} == {
+        f"{kind}{at}.{ending}": n for kind, ending, n in (("p", "parquet", 3), ("c", "csv", 1), ("j", "json", 1)) for at in range(12)
+    }
+    assert "map(" not in loaded._jdf.queryExecution().analyzed().toString()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinscout.functions.fields import file_name
 from twinscout.functions.text import strip, title_keywords
 from twinscout.operators.matching import has_title
-from twinscout.operators.sizing import broadcast_measured, broadcast_within
+from twinscout.operators.sizing import broadcast_measured, broadcast_within, join_spread
 from twinscout.sources.shared import materialized
 
 # Where a card's picture comes from when neither file is cached.
@@ -121,14 +121,16 @@ def local_image_path(
 ) -> DataFrame:
     """Add ``image_path``: the SKU's cached ``.jpg``, else ``.png``, else a placeholder.
 
-    The manifest is cut down to the few names the rows can ask for before it is joined.
+    The manifest is cut down to the few names the rows can ask for before it is joined.  Without
+    ``rows_at_most`` the sides are measured, and a SKU that fills most of the rows is spread.
     """
     folder = image_dir.rstrip("/") + "/"
     sku = strip(F.col("sku"))
     asked = df.select(F.explode(F.array(F.concat(sku, F.lit(".jpg")), F.concat(sku, F.lit(".png")))).alias("file_name"))
-    names = manifest.select("file_name").join(
-        broadcast_within(asked, None if rows_at_most is None else 2 * rows_at_most, 128), "file_name", "left_semi"
-    )
+    if rows_at_most is None:
+        names = join_spread(manifest.select("file_name"), asked.distinct(), ["file_name"], "left_semi", F.octet_length("file_name") + F.lit(32))
+    else:
+        names = manifest.select("file_name").join(broadcast_within(asked, 2 * rows_at_most, 128), "file_name", "left_semi")
     ending = F.regexp_extract("file_name", r"\.([^.]*)$", 1)
     found = names.groupBy(F.regexp_replace("file_name", r"\.[^.]*$", "").alias("_stem")).agg(
         F.bool_or(ending == "jpg").alias("_jpg"), F.bool_or(ending == "png").alias("_png")
@@ -138,5 +140,9 @@ def local_image_path(
         .when(F.col("_png"), F.concat(F.lit(folder), sku, F.lit(".png")))
         .otherwise(F.lit(PLACEHOLDER))
     )
-    joined = df.withColumn("_stem", sku).join(found, "_stem", "left")
+    listed = df.withColumn("_stem", sku)
+    if rows_at_most is None:
+        joined = join_spread(listed, found, ["_stem"], "left", F.octet_length("_stem") + F.lit(32))
+    else:
+        joined = listed.join(found, "_stem", "left")
     return joined.withColumn("image_path", path).drop("_stem", "_jpg", "_png")

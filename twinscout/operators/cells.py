@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinscout.operators.sizing import broadcast_measured, shuffle_partitions, top_per_group
-from twinscout.operators.vectors import RunningBest, _margin, exact_dots, query_blocks, vector_matrix
+from twinscout.operators.vectors import BYTES_AT_ONCE, RunningBest, _margin, pair_dots, query_blocks, rows_at_once, vector_matrix
 from twinscout.sources.shared import materialized
 
 #: Centroids are fitted on about this many vectors; all vectors are indexed.
@@ -34,8 +34,6 @@ MOST_CELLS = 4096
 #: Kept beside a vector; all but ``vector`` may be null.
 KEPT = "image_id bigint, sku_key string, path string, length bigint, mtime bigint, vector array<float>, distance double"
 MANIFEST = "cell int, centroid array<double>, radius double, rows bigint, data_version int"
-#: Vectors and queries multiplied at a time in a task.
-BYTES_AT_ONCE = 64 << 20
 
 
 # --- versions ------------------------------------------------------------------------
@@ -226,13 +224,13 @@ class CellBest(RunningBest):
 
     def add_for(self, only: np.ndarray, vectors: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> None:
         asked = self.queries[only]
-        step = max(1, BYTES_AT_ONCE // (8 * (len(asked) + vectors.shape[1])))
+        step = rows_at_once(len(asked), vectors.shape[1])
         for start in range(0, len(vectors), step):
             part = slice(start, start + step)
             own = vectors[part]
             rough = own @ asked.T
             rows, cols = np.nonzero(rough >= self.floor[only] - _margin(own, asked))
-            exact = exact_dots(own[rows], asked[cols])
+            exact = pair_dots(own, asked, rows, cols)
             self.waiting.append((only[cols], exact, ids[part][rows], keys[part][rows]))
             self.waiting_rows += len(rows)
             if self.waiting_rows > self.k * len(self.queries):

@@ -13,7 +13,7 @@ from twinscout.functions.fields import (
     THUMBNAILS, as_text, image_url_list, match_count_label, price_label, shown_price,
 )
 from twinscout.functions.text import strip
-from twinscout.operators.sizing import broadcast_within
+from twinscout.operators.sizing import broadcast_within, join_spread
 
 # Stand-ins for missing values, and the attribute columns a card reads.
 DEFAULT_BRAND = "Generic"
@@ -33,21 +33,26 @@ def enrich_attributes(
 
     Of one exact SKU the last row counts; of several spellings the one seen first.  The
     attribute table is first cut down to the SKUs among the matches (which are thereby
-    read twice); both reductions are aggregates combined before their shuffle.
+    read twice); both reductions are aggregates combined before their shuffle.  Without
+    ``matches_at_most`` both sides are measured, and a SKU that fills most of either table is spread.
     """
     extras = [c for c in attributes.columns if c not in ("sku", "row_id")]
     asked = matches.select(F.upper(strip(F.col("sku"))).alias("_key")).distinct()
-    wanted = attributes.withColumn("_key", F.upper("sku")).join(
-        broadcast_within(asked, matches_at_most, 64), "_key", "left_semi"
-    )
+    keyed = attributes.withColumn("_key", F.upper("sku"))
+    if matches_at_most is None:
+        wanted = join_spread(keyed, asked, ["_key"], "left_semi", F.octet_length("_key") + F.lit(32))
+    else:
+        wanted = keyed.join(broadcast_within(asked, matches_at_most, 64), "_key", "left_semi")
     per_sku = wanted.groupBy("_key", "sku").agg(
         F.max_by(F.struct(*[f"`{c}`" for c in extras]), "row_id").alias("_last"),
         F.min("row_id").alias("_seen"),
     )
     per_key = per_sku.groupBy("_key").agg(F.min_by("_last", "_seen").alias("_last"))
-    joined = matches.withColumn("_key", F.upper(strip(F.col("sku")))).join(
-        broadcast_within(per_key, matches_at_most, 4096), "_key", "left"
-    )
+    listed = matches.withColumn("_key", F.upper(strip(F.col("sku"))))
+    if matches_at_most is None:
+        joined = join_spread(listed, per_key, ["_key"], "left", F.coalesce(F.octet_length(F.to_json("_last")), F.lit(0)) + F.lit(64))
+    else:
+        joined = listed.join(broadcast_within(per_key, matches_at_most, 4096), "_key", "left")
     return joined.select(*matches.columns, *[F.col(f"_last.`{c}`").alias(c) for c in extras])
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinscout.sources.shared import materialized
+
 # Largest side sent to every executor on purpose.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -47,6 +49,27 @@ def join_small(
     return large.withColumn("_salt", own).join(salted, [*on, "_salt"]).drop("_salt")
 
 
+def join_spread(
+    large: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", row_bytes: Column | None = None, salts: int = 16
+) -> DataFrame:
+    """Inner, left or semi join with a side of at most one row per key, whatever share of ``large`` one key holds.
+
+    ``small`` is written and measured.  Within the bound it is broadcast; beyond it the rows of a key are spread over
+    ``salts`` tasks and ``small`` is repeated as often.  For keys that are an aggregate, which adaptive
+    execution does not split, and whose number nobody knows beforehand.
+    """
+    small = materialized(small, "side")
+    row_bytes = F.lit(64) if row_bytes is None else row_bytes
+    size = small.agg(F.sum(row_bytes.cast("bigint")).alias("bytes")).first().bytes or 0
+    if size <= BROADCAST_BYTES:
+        return large.join(F.broadcast(small), list(on), how)
+    taken = {name.lower() for name in [*large.columns, *small.columns]}
+    salt = next(name for name in (f"{'_' * n}salt" for n in range(1, 99)) if name not in taken)
+    own = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in large.columns]), F.lit(salts)).cast("int")
+    every = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    return large.withColumn(salt, own).join(every, [*on, salt], how).drop(salt)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 512
-# Pairs scored at a time inside one task (8 bytes each).
-PAIRS_AT_ONCE = 4_000_000
+# Bytes that a task's products, and the vectors of the pairs it sums, take at a time.
+BYTES_AT_ONCE = 64 << 20
 
 
 def dot_product(a: Column, b: Column) -> Column:
@@ -52,6 +52,18 @@ def exact_dots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
+def pair_dots(vectors: np.ndarray, queries: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """``exact_dots`` of the named pairs, however many they are and however wide the vectors."""
+    step = max(1, BYTES_AT_ONCE // (32 * max(1, vectors.shape[1])))
+    parts = [exact_dots(vectors[rows[at : at + step]], queries[cols[at : at + step]]) for at in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def rows_at_once(queries: int, width: int) -> int:
+    """Rows of a batch to be multiplied at a time: their products and places, and the rows themselves, stay in bounds."""
+    return max(1, BYTES_AT_ONCE // (8 * (4 * queries + 2 * width)))
+
+
 def _margin(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Per query, more than the rounding error a dot product of this width can have."""
     longest = np.sqrt((vectors**2).sum(axis=1)).max(initial=0.0)
@@ -70,7 +82,7 @@ class RunningBest:
         self.waiting_rows = 0
 
     def add(self, vectors: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> None:
-        step = max(1, PAIRS_AT_ONCE // len(self.queries))
+        step = rows_at_once(len(self.queries), vectors.shape[1])
         for start in range(0, len(vectors), step):
             part = slice(start, start + step)
             self._add(vectors[part], ids[part], keys[part])
@@ -83,7 +95,7 @@ class RunningBest:
             kth = np.partition(rough, len(vectors) - self.k, axis=0)[len(vectors) - self.k]
             floor = np.maximum(floor, kth - margin)
         rows, cols = np.nonzero(rough >= floor - margin)
-        exact = exact_dots(vectors[rows], self.queries[cols])
+        exact = pair_dots(vectors, self.queries, rows, cols)
         self.waiting.append((cols, exact, ids[rows], keys[rows]))
         self.waiting_rows += len(rows)
         if self.waiting_rows > self.k * len(self.queries):
@@ -180,14 +192,14 @@ def similar(vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
         units = _unit_rows(matrix)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, PAIRS_AT_ONCE // len(units))
+            step = rows_at_once(len(units), units.shape[1])
             for batch in batches:
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)
                     rows = _unit_rows(vector_matrix(part.column("vector"), units.shape[1]))
                     rough = rows @ units.T
                     at, cols = np.nonzero(rough >= floors - _margin(rows, units))
-                    exact = exact_dots(rows[at], units[cols])
+                    exact = pair_dots(rows, units, at, cols)
                     keep = exact >= floors[cols]
                     ids = part.column("text_vec_id").to_numpy(zero_copy_only=False)
                     yield pa.RecordBatch.from_arrays(

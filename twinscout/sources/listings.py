@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 from twinscout.operators.listings import (
     SOURCE_FILE, assign_row_id, normalize_columns, to_listings, union_evolving,
 )
+from twinscout.operators.sizing import broadcast_measured
 
 # The table preferred inside a multi-table workbook.
 CURATED_TABLE = "Best_One_Row_Per_SKU"
 FORMATS = ("parquet", "csv", "json")
+# Table footers looked up at a time.
+LOOKUPS = 16
 
 _SCHEME = "^[a-z0-9]+:/+"
 
@@ -54,8 +58,8 @@ def workbook_choices(spark: SparkSession, workbook: str, curated_first: bool = T
 def prefer_curated_table(spark: SparkSession, workbook: str) -> DataFrame:
     """The curated table of a workbook; if there is none or it cannot be read, the first
     by name.  Columns get their canonical names."""
-    _, path, _ = _readable(spark, [(workbook, workbook_choices(spark, workbook))])[0]
-    return normalize_columns(read_table(spark, [path]))
+    _, path, _, whole = _readable(spark, [(workbook, workbook_choices(spark, workbook))])[0]
+    return normalize_columns(read_table(spark, [path], not whole))
 
 
 def read_table(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
@@ -93,80 +97,162 @@ def find_tables(
     return tables
 
 
-def _readable(spark: SparkSession, tables: list[tuple[str, list[str]]]) -> list[tuple[str, str, str]]:
-    """(name, path, layout) of the tables whose schema can be read.  The others are left
-    out with a warning; none at all is an error."""
+def _footer(spark: SparkSession, path: str) -> str:
+    """The schema of a Parquet table as its first data file's footer has it.  No job: one small read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(conf)
+    if system.getFileStatus(where).isDirectory():
+        names = sorted(s.getPath().toString() for s in system.listStatus(where) if not s.getPath().getName().startswith((".", "_")))
+        if not names:
+            raise ValueError("no data file")
+        where = jvm.org.apache.hadoop.fs.Path(names[0])
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(where, conf))
+    try:
+        return reader.getFooter().getFileMetaData().getSchema().toString()
+    finally:
+        reader.close()
+
+
+def _table_of(tables: DataFrame) -> DataFrame:
+    """``tables`` (_file, ...) with ``_path``: the table that a file is, or whose directory it lies in."""
+    return tables.withColumn("_path", F.explode(F.array("_file", F.regexp_replace("_file", "/[^/]*$", ""))))
+
+
+def _file_column():
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(encoded), _SCHEME, "/")
+
+
+def _text_facts(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, bool]]:
+    """{plain path: (first line or, of JSON, the sorted column names; whether no cell has a line break)} of text
+    tables, in one job over pieces of all of them.
+
+    A quoted cell that goes on in the next line leaves an odd number of quotes behind, so a table without such
+    lines can be read in pieces.
+    """
+    found = {}
+    for kind in ("csv", "json"):
+        own = [path for path in paths if table_format(path.rstrip("/").rsplit("/", 1)[-1]) == kind]
+        if not own:
+            continue
+        lines = spark.read.text(own).select("value", _file_column().alias("_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+        if kind == "csv":
+            odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+            facts = lines.groupBy("_file").agg(
+                F.min_by("value", F.struct("block", "at")).alias("layout"), F.bool_or(odd).alias("broken")
+            )
+        else:
+            keys = lines.select("_file", F.explode(F.json_object_keys("value")).alias("key"))
+            facts = keys.groupBy("_file").agg(F.to_json(F.sort_array(F.collect_set("key"))).alias("layout"), F.lit(False).alias("broken"))
+        # One row per table.
+        wanted = spark.createDataFrame([(_plain(path),) for path in own], "_path string")
+        rows = _table_of(facts).join(F.broadcast(wanted), "_path").groupBy("_path")
+        for row in rows.agg(F.min_by("layout", "_file").alias("first"), F.sort_array(F.collect_set("layout")).alias("layouts"), F.bool_or("broken").alias("broken")).collect():
+            found[row._path] = (row.first if kind == "csv" else "|".join(row.layouts), not row.broken)
+    return found
+
+
+def _readable(spark: SparkSession, tables: list[tuple[str, list[str]]], multi_line: bool | None = None) -> list[tuple[str, str, str, bool]]:
+    """(name, path, layout, whether it can be read in pieces) of the tables whose schema can be read.  The others are
+    left out with a warning; none at all is an error.
+
+    Layouts come from footers of Parquet tables and from one job over all text tables of a format, so jobs do not grow
+    with the number of tables.  With ``multi_line`` False CSV tables are taken to have no line break in a cell.
+    """
+    every = [path for _, paths in tables for path in paths]
+    texts = [path for path in every if table_format(path.rstrip("/").rsplit("/", 1)[-1]) in ("csv", "json")]
+    broken: dict[str, Exception] = {}
+
+    def footer(path: str):
+        try:
+            return _footer(spark, path)
+        except (PySparkException, Py4JJavaError, ValueError) as error:
+            return error
+
+    footers = [path for path in every if table_format(path.rstrip("/").rsplit("/", 1)[-1]) == "parquet"]
+    with ThreadPoolExecutor(LOOKUPS) as pool:
+        layouts = dict(zip(footers, pool.map(footer, footers), strict=True))
+    broken |= {path: found for path, found in layouts.items() if isinstance(found, Exception)}
+    facts = _text_facts(spark, texts)
     found = []
     for name, paths in tables:
         for path in paths:
-            try:
-                schema = read_table(spark, [path]).schema.json()
-            except (PySparkException, Py4JJavaError, ValueError) as error:
-                reason = str(error).strip().split("\n", 1)[0]
+            kind = table_format(path.rstrip("/").rsplit("/", 1)[-1])
+            error = broken.get(path)
+            if kind is None:
+                error = ValueError(f"unknown table format: {path!r}")
+            elif kind != "parquet" and _plain(path) not in facts:
+                error = ValueError("no rows and no columns")
+            if error is not None:
+                reason = str(getattr(error, "java_exception", error)).strip().split("\n", 1)[0]
                 warnings.warn(f"skipped unreadable table {path!r}: {reason}", stacklevel=3)
                 continue
-            found.append((name, path, json.dumps([table_format(path), schema])))
+            layout, pieces = (layouts[path], True) if kind == "parquet" else facts[_plain(path)]
+            pieces = pieces if multi_line is None else not multi_line
+            found.append((name, path, json.dumps([kind, layout, pieces]), pieces))
             break
     if not found:
         raise ValueError("none of the listing tables could be read")
     return found
 
 
-def _layouts(spark: SparkSession, tables: list[tuple[str, list[str]]]) -> list[list[tuple[str, str]]]:
-    """Tables grouped by equal format and schema, so the plan grows with the number of
+def _layouts(spark: SparkSession, tables: list[tuple[str, list[str]]], multi_line: bool | None) -> list[tuple[bool, list[tuple[str, str]]]]:
+    """(whether to read in pieces, tables) by equal format and columns, so plan and jobs grow with the number of
     layouts and not with the number of files."""
-    groups: dict[str, list[tuple[str, str]]] = {}
-    for name, path, layout in _readable(spark, tables):
-        groups.setdefault(layout, []).append((name, path))
+    groups: dict[str, tuple[bool, list[tuple[str, str]]]] = {}
+    for name, path, layout, pieces in _readable(spark, tables, multi_line):
+        groups.setdefault(layout, (pieces, []))[1].append((name, path))
     return list(groups.values())
 
 
-def _read_layout(spark: SparkSession, tables: list[tuple[str, str]]) -> DataFrame:
+def _read_layout(spark: SparkSession, tables: list[tuple[str, str]], pieces: bool) -> DataFrame:
     """One scan over all tables of a layout, with ``_order`` columns for row numbers."""
-    df = read_table(spark, [path for _, path in tables])
-    names = F.create_map(*[F.lit(x) for name, path in tables for x in (_plain(path), name)])
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    file = F.regexp_replace(F.url_decode(encoded), _SCHEME, "/")
-    if len(tables) == 1:
-        source = F.lit(tables[0][0])
-    else:
-        # A table is the file itself or the directory right above its part files.
-        source = F.coalesce(
-            F.try_element_at(names, file),
-            F.try_element_at(names, F.regexp_replace(file, "/[^/]*$", "")),
-        )
-    parquet = table_format(tables[0][1]) == "parquet"
-    return df.select(
+    df = read_table(spark, [path for _, path in tables], not pieces)
+    parquet = table_format(tables[0][1].rstrip("/").rsplit("/", 1)[-1]) == "parquet"
+    rows = df.select(
         "*",
-        source.alias(SOURCE_FILE),
-        file.alias("_file"),
+        _file_column().alias("_file"),
         (F.lit(0) if parquet else F.col("_metadata.file_block_start")).cast("bigint").alias("_block"),
         (F.col("_metadata.row_index") if parquet else F.monotonically_increasing_id()).alias("_at"),
     )
+    order = ["_file", "_block", "_at"]
+    if len(tables) == 1:
+        return rows.select(*df.columns, F.lit(tables[0][0]).alias(SOURCE_FILE), *order)
+    # A table is the file itself or the directory right above its part files; names are joined, not written into the plan.
+    named = spark.createDataFrame([(_plain(path), name) for name, path in tables], "_path string, _name string")
+    sides = []
+    for at, key in enumerate((F.col("_file"), F.regexp_replace("_file", "/[^/]*$", ""))):
+        side = broadcast_measured(named.toDF(f"_path{at}", f"_name{at}"), F.octet_length(f"_path{at}") * 2 + F.lit(64))
+        rows = rows.join(side, key == F.col(f"_path{at}"), "left")
+        sides.append(f"_name{at}")
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(*sides).alias(SOURCE_FILE), *order)
 
 
 def _plain(path: str) -> str:
-    return re.sub(_SCHEME, "/", path)
+    return re.sub(_SCHEME, "/", path).rstrip("/")
 
 
 def unite(
-    spark: SparkSession, tables: list[tuple[str, list[str]]], normalize: bool = True
+    spark: SparkSession, tables: list[tuple[str, list[str]]], normalize: bool = True, multi_line: bool | None = None
 ) -> DataFrame:
     """The given tables (source name, paths to try) united by column name, with lineage
     and hidden order columns."""
-    frames = [_read_layout(spark, group) for group in _layouts(spark, tables)]
+    frames = [_read_layout(spark, group, pieces) for pieces, group in _layouts(spark, tables, multi_line)]
     if normalize:
         frames = [normalize_columns(frame) for frame in frames]
     return union_evolving(frames)
 
 
-def load_listings(spark: SparkSession, path: str, row_ids: bool = True) -> DataFrame:
+def load_listings(spark: SparkSession, path: str, row_ids: bool = True, multi_line: bool | None = None) -> DataFrame:
     """Canonical listings of a table, workbook or directory, numbered in file order.
 
+    CSV tables are read in parallel pieces unless a cell holds a line break, which one pass over the text tells;
+    ``multi_line`` says so beforehand for all of them.
     Set ``spark.sql.files.ignoreCorruptFiles`` to also pass over files that turn out
     damaged while being read.
     """
-    return number_rows(unite(spark, find_tables(spark, path)), row_ids)
+    return number_rows(unite(spark, find_tables(spark, path), multi_line=multi_line), row_ids)
 
 
 def number_rows(df: DataFrame, row_ids: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from twinscout.functions.text import sku_key
 from twinscout.operators import bloom, cache, cells, groups, hot_words, matching, overlap, prices, profiles, rotations, schedule, title_store
 from twinscout.operators.embedding import letter_counts
+from twinscout.plans.prepare import prepare_fetches, refresh_index
 from twinscout.sources.shared import materialized, new_shared_path
 from twinscout.workload import views
 
@@ -163,6 +164,24 @@ def fetch_schedule(spark, sf_dir):
     return schedule.fetch_schedule(plan).select("sku", "host", "round", "slot", "worker")
 
 
+@registered
+def prepared_fetches(spark, sf_dir):
+    """What a search needs and the cache does not hold in good order, with its slots."""
+    manifest = views.image_manifest(spark, sf_dir)
+    scan = manifest.where("length > 0 AND brand <> 'Brand#7'").select("file_name", F.lit(8).alias("width"))
+    _, slots = prepare_fetches(views.listings(spark, sf_dir), manifest, scan, views.IMAGE_DIR, images="query/Z7.jpg", min_price=901.0)
+    return slots.select("sku", "dest", "reason", "round", "slot", "worker")
+
+
+@registered
+def refreshed_index(spark, sf_dir):
+    """An index refreshed twice: the second time there is nothing to do."""
+    folder, images = new_shared_path(spark, "index"), views.cached_vectors(spark, sf_dir)
+    found = [refresh_index(spark, folder, own) for own in (views.earlier_vectors(spark, sf_dir), images, images)]
+    rows = cells.indexed(spark, folder, found[-1]).agg(F.count("*").alias("files"), F.count_distinct("path").alias("paths"))
+    return rows.select("files", "paths", *[F.lit(v).alias(f"version_{at}") for at, v in enumerate(found, 1)])
+
+
 @registered
 def sku_profile_sketch(spark, sf_dir):
     """``orders`` as three files, profiled one after another; estimates beside the exact numbers."""

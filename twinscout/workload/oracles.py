@@ -647,6 +647,20 @@ SELECT query_id, row_id FROM listings, asked WHERE (low IS NULL OR price >= low)
 rounds AS (SELECT sku, host, (row_number() OVER (PARTITION BY host ORDER BY sku) - 1) // 4 AS round FROM hosts),
 places AS (SELECT sku, host, round, row_number() OVER (PARTITION BY round ORDER BY host, sku) - 1 AS place FROM rounds)
 SELECT sku, host, round, place // 30 AS slot, CAST(place % 30 AS INTEGER) AS worker FROM places""",
+        "prepared_fetches": f"""WITH {LISTINGS}, {MANIFEST}, {features('lf', '(SELECT * FROM listings WHERE price >= 901)', 'title')},
+{features('wanted', "(SELECT title AS t FROM listings WHERE sku = 'Z7' AND price >= 901)", 't')},
+hits AS (SELECT row_id FROM lf, wanted WHERE {shared('lf.k', 'wanted.k')} > 0),
+bad AS (SELECT file_name FROM manifest JOIN listings ON regexp_extract(file_name, '^[^.]*') = sku WHERE length = 0 OR brand = 'Brand#7'),
+plan AS (SELECT sku, 'images/' || sku || '.jpg' AS dest, sku || '.jpg' IN (SELECT file_name FROM bad) AS damaged FROM listings
+  WHERE price >= 901 AND (row_id IN (SELECT row_id FROM hits) OR NOT EXISTS (SELECT 1 FROM hits))
+    AND image_url IS NOT NULL AND trim(image_url) NOT IN ('', 'nan')
+    AND sku || '.jpg' NOT IN (SELECT file_name FROM manifest WHERE file_name NOT IN (SELECT file_name FROM bad))),
+rounds AS (SELECT *, (row_number() OVER (ORDER BY sku) - 1) // 4 AS round FROM plan),
+places AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY sku) - 1 AS place FROM rounds)
+SELECT sku, dest, CASE WHEN damaged THEN 'damaged' ELSE 'absent' END AS reason, round, place // 30 AS slot,
+  CAST(place % 30 AS INTEGER) AS worker FROM places""",
+        "refreshed_index": f"""WITH {MANIFEST} SELECT count(*) AS files, count(DISTINCT file_name) AS paths,
+  CAST(1 AS INTEGER) AS version_1, CAST(2 AS INTEGER) AS version_2, CAST(2 AS INTEGER) AS version_3 FROM manifest""",
         "sku_profile_sketch": """SELECT count(*) AS total_rows, min(o_totalprice) AS least_price, max(o_totalprice) AS most_price,
   TRUE AS distinct_close, TRUE AS median_close FROM orders""",
         "encode_titles_once": f"""WITH {LISTINGS} SELECT title, 1 AS times_encoded,
