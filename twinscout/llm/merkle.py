@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscout.llm.common import UPPER, shuffle_partitions
-from twinscout.llm.ranks import ranked
+from twinscout.operators.ranking import ranked
 from twinscout.operators.sizing import broadcast_measured
 from twinscout.sources.shared import materialized
 
@@ -216,7 +216,8 @@ def manifest(docs: DataFrame, altered_where: Column | None = None) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         leaf_digest(text).alias("digest"), F.when(hit & (lower != text), leaf_digest(lower)).alias("altered"),
     )
-    leaves = ranked(leaves, ["source"], ["doc_id", "digest"])
+    # Written before the ranges are sampled, or all texts would be hashed twice.
+    leaves = ranked(materialized(leaves, "hashed"), ["source"], ["doc_id", "digest"])
     per_source = materialized(leaves.groupBy("source").agg(F.max("rows").alias("leaves")), "sources")
     sources = ranked(per_source, [], ["source"], "tree", "trees")
     sources = materialized(sources.select(F.col("source").alias("_source"), "tree", "trees", "leaves"), "trees")
