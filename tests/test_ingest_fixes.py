@@ -88,7 +88,7 @@ def test_a_table_is_cut_into_pieces_unless_a_cell_has_a_line_break(spark, tmp_pa
         assert [row.title for row in found if row.sku == "b3000"] == ["two\nlines"]
         in_pieces = read_table(spark, [str(tmp_path / "a.csv")], multi_line=False)
         assert in_pieces.rdd.getNumPartitions() > 1
-        layouts = {name for pieces, group in _layouts(spark, find_tables(spark, str(tmp_path)), None) if pieces for name, _ in group}
+        layouts = {name for pieces, _, group in _layouts(spark, find_tables(spark, str(tmp_path)), None) if pieces for name, _ in group}
         assert layouts == {"a.csv", "c.csv"}
         assert loaded.agg(F.count_distinct("row_id"), F.max("row_id")).first() == (12_000, 12_000)
     finally:

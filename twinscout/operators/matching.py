@@ -156,10 +156,11 @@ def candidate_text_sim(pairs: DataFrame, title_vectors: DataFrame, query_vectors
     ``text_similarity``.
 
     Only the title vectors that the pairs name leave the scan, and only the pairs are scored, so
-    nothing depends on how loose the floor is.  ``pairs`` are read twice; hand in a table.
+    nothing depends on how loose the floor is.  ``pairs`` are read twice; hand in a table, whose rows are
+    counted from its files.
     """
-    named = pairs.select("text_vec_id").where("text_vec_id is not null").distinct()
-    titles = title_vectors.join(broadcast_measured(named, F.lit(16)), "text_vec_id", "left_semi").select(
+    named = broadcast_within(pairs.select("text_vec_id").where("text_vec_id is not null").distinct(), pairs.count(), 16)
+    titles = title_vectors.join(named, "text_vec_id", "left_semi").select(
         "text_vec_id", F.col("vector").alias("_title"), l2_norm(F.col("vector")).alias("_title_norm")
     )
     asked = query_vectors.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 import warnings
@@ -11,6 +12,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinscout.operators.listings import (
     SOURCE_FILE, assign_row_id, normalize_columns, to_listings, union_evolving,
@@ -58,23 +60,27 @@ def workbook_choices(spark: SparkSession, workbook: str, curated_first: bool = T
 def prefer_curated_table(spark: SparkSession, workbook: str) -> DataFrame:
     """The curated table of a workbook; if there is none or it cannot be read, the first
     by name.  Columns get their canonical names."""
-    _, path, _, whole = _readable(spark, [(workbook, workbook_choices(spark, workbook))])[0]
-    return normalize_columns(read_table(spark, [path], not whole))
+    _, path, _, names, pieces = _readable(spark, [(workbook, workbook_choices(spark, workbook))])[0]
+    return normalize_columns(read_table(spark, [path], not pieces, names))
 
 
-def read_table(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
-    """Read tables of one format and layout.  Text formats give text columns.
+def read_table(spark: SparkSession, paths: list[str], multi_line: bool = True, names: list[str] | None = None) -> DataFrame:
+    """Read tables of one format and layout.  Text formats give text columns; with their ``names`` no job looks
+    for them.
 
     CSV cells may hold doubled quotes, commas and line breaks.  A file whose cells hold no line
     break can be read in parallel pieces with ``multi_line=False``.
     """
-    kind = table_format(paths[0].rstrip("/").rsplit("/", 1)[-1])
+    kind = table_format(_name(paths[0]))
+    reader = spark.read
+    if names is not None:
+        reader = reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in names]))
     if kind == "parquet":
-        return spark.read.parquet(*paths)
+        return reader.parquet(*paths)
     if kind == "csv":
-        return spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"').csv(paths)
+        return reader.options(header=True, multiLine=multi_line, quote='"', escape='"').csv(paths)
     if kind == "json":
-        return spark.read.option("primitivesAsString", True).json(paths)
+        return reader.option("primitivesAsString", True).json(paths)
     raise ValueError(f"unknown table format: {paths[0]!r}")
 
 
@@ -114,54 +120,66 @@ def _footer(spark: SparkSession, path: str) -> str:
         reader.close()
 
 
-def _table_of(tables: DataFrame) -> DataFrame:
-    """``tables`` (_file, ...) with ``_path``: the table that a file is, or whose directory it lies in."""
-    return tables.withColumn("_path", F.explode(F.array("_file", F.regexp_replace("_file", "/[^/]*$", ""))))
-
-
 def _file_column():
     encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     return F.regexp_replace(F.url_decode(encoded), _SCHEME, "/")
 
 
-def _text_facts(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, bool]]:
-    """{plain path: (first line or, of JSON, the sorted column names; whether no cell has a line break)} of text
-    tables, in one job over pieces of all of them.
+def _is_directory(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+def _header(line: str) -> list[str] | None:
+    """The column names of a CSV header; none where Spark has to make them up."""
+    names = next(csv.reader([line]), [])
+    return names if all(names) and len({name.lower() for name in names}) == len(names) else None
+
+
+def _text_facts(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, list[str] | None, bool]]:
+    """{plain path: (layout, its column names, whether no cell has a line break)} of text tables, in one job per
+    format and kind of path over pieces of all of them.
 
     A quoted cell that goes on in the next line leaves an odd number of quotes behind, so a table without such
     lines can be read in pieces.
     """
     found = {}
-    for kind in ("csv", "json"):
-        own = [path for path in paths if table_format(path.rstrip("/").rsplit("/", 1)[-1]) == kind]
-        if not own:
-            continue
-        lines = spark.read.text(own).select("value", _file_column().alias("_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for path in paths:
+        groups.setdefault((table_format(_name(path)), _is_directory(spark, path)), []).append(path)
+    for (kind, directory), own in groups.items():
+        lines = spark.read.text(own).select("value", _file_column().alias("_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+        if directory:
+            lines = lines.withColumn("_path", F.regexp_replace("_path", "/[^/]*$", ""))
         if kind == "csv":
             odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-            facts = lines.groupBy("_file").agg(
-                F.min_by("value", F.struct("block", "at")).alias("layout"), F.bool_or(odd).alias("broken")
-            )
+            facts = lines.groupBy("_path").agg(F.min_by("value", F.struct("block", "at")).alias("header"), F.bool_or(odd).alias("broken"))
+            for row in facts.collect():  # one row per table
+                names = None if row.broken else _header(row.header.removeprefix("\ufeff"))
+                found[row._path] = (row.header, names, not row.broken)
         else:
-            keys = lines.select("_file", F.explode(F.json_object_keys("value")).alias("key"))
-            facts = keys.groupBy("_file").agg(F.to_json(F.sort_array(F.collect_set("key"))).alias("layout"), F.lit(False).alias("broken"))
-        # One row per table.
-        wanted = spark.createDataFrame([(_plain(path),) for path in own], "_path string")
-        rows = _table_of(facts).join(F.broadcast(wanted), "_path").groupBy("_path")
-        for row in rows.agg(F.min_by("layout", "_file").alias("first"), F.sort_array(F.collect_set("layout")).alias("layouts"), F.bool_or("broken").alias("broken")).collect():
-            found[row._path] = (row.first if kind == "csv" else "|".join(row.layouts), not row.broken)
+            keys = F.array_sort(F.json_object_keys("value"))
+            facts = lines.groupBy("_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(keys)))).alias("keys"))
+            for row in facts.where(F.size("keys") > 0).collect():
+                found[row._path] = (json.dumps(row["keys"]), row["keys"], True)
     return found
 
 
-def _readable(spark: SparkSession, tables: list[tuple[str, list[str]]], multi_line: bool | None = None) -> list[tuple[str, str, str, bool]]:
-    """(name, path, layout, whether it can be read in pieces) of the tables whose schema can be read.  The others are
-    left out with a warning; none at all is an error.
+def _name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def _readable(
+    spark: SparkSession, tables: list[tuple[str, list[str]]], multi_line: bool | None = None
+) -> list[tuple[str, str, str, list[str] | None, bool]]:
+    """(name, path, layout, column names where known, whether it can be read in pieces) of the tables whose schema can
+    be read.  The others are left out with a warning; none at all is an error.
 
     Layouts come from footers of Parquet tables and from one job over all text tables of a format, so jobs do not grow
     with the number of tables.  With ``multi_line`` False CSV tables are taken to have no line break in a cell.
     """
     every = [path for _, paths in tables for path in paths]
-    texts = [path for path in every if table_format(path.rstrip("/").rsplit("/", 1)[-1]) in ("csv", "json")]
+    texts = [path for path in every if table_format(_name(path)) in ("csv", "json")]
     broken: dict[str, Exception] = {}
 
     def footer(path: str):
@@ -170,7 +188,7 @@ def _readable(spark: SparkSession, tables: list[tuple[str, list[str]]], multi_li
         except (PySparkException, Py4JJavaError, ValueError) as error:
             return error
 
-    footers = [path for path in every if table_format(path.rstrip("/").rsplit("/", 1)[-1]) == "parquet"]
+    footers = [path for path in every if table_format(_name(path)) == "parquet"]
     with ThreadPoolExecutor(LOOKUPS) as pool:
         layouts = dict(zip(footers, pool.map(footer, footers), strict=True))
     broken |= {path: found for path, found in layouts.items() if isinstance(found, Exception)}
@@ -178,7 +196,7 @@ def _readable(spark: SparkSession, tables: list[tuple[str, list[str]]], multi_li
     found = []
     for name, paths in tables:
         for path in paths:
-            kind = table_format(path.rstrip("/").rsplit("/", 1)[-1])
+            kind = table_format(_name(path))
             error = broken.get(path)
             if kind is None:
                 error = ValueError(f"unknown table format: {path!r}")
@@ -188,28 +206,30 @@ def _readable(spark: SparkSession, tables: list[tuple[str, list[str]]], multi_li
                 reason = str(getattr(error, "java_exception", error)).strip().split("\n", 1)[0]
                 warnings.warn(f"skipped unreadable table {path!r}: {reason}", stacklevel=3)
                 continue
-            layout, pieces = (layouts[path], True) if kind == "parquet" else facts[_plain(path)]
+            layout, names, pieces = (layouts[path], None, True) if kind == "parquet" else facts[_plain(path)]
             pieces = pieces if multi_line is None else not multi_line
-            found.append((name, path, json.dumps([kind, layout, pieces]), pieces))
+            found.append((name, path, json.dumps([kind, layout, pieces]), names, pieces))
             break
     if not found:
         raise ValueError("none of the listing tables could be read")
     return found
 
 
-def _layouts(spark: SparkSession, tables: list[tuple[str, list[str]]], multi_line: bool | None) -> list[tuple[bool, list[tuple[str, str]]]]:
-    """(whether to read in pieces, tables) by equal format and columns, so plan and jobs grow with the number of
-    layouts and not with the number of files."""
-    groups: dict[str, tuple[bool, list[tuple[str, str]]]] = {}
-    for name, path, layout, pieces in _readable(spark, tables, multi_line):
-        groups.setdefault(layout, (pieces, []))[1].append((name, path))
+def _layouts(
+    spark: SparkSession, tables: list[tuple[str, list[str]]], multi_line: bool | None
+) -> list[tuple[bool, list[str] | None, list[tuple[str, str]]]]:
+    """(whether to read in pieces, column names where known, tables) by equal format and columns, so plan and jobs grow
+    with the number of layouts and not with the number of files."""
+    groups: dict[str, tuple[bool, list[str] | None, list[tuple[str, str]]]] = {}
+    for name, path, layout, names, pieces in _readable(spark, tables, multi_line):
+        groups.setdefault(layout, (pieces, names, []))[2].append((name, path))
     return list(groups.values())
 
 
-def _read_layout(spark: SparkSession, tables: list[tuple[str, str]], pieces: bool) -> DataFrame:
+def _read_layout(spark: SparkSession, tables: list[tuple[str, str]], pieces: bool, names: list[str] | None) -> DataFrame:
     """One scan over all tables of a layout, with ``_order`` columns for row numbers."""
-    df = read_table(spark, [path for _, path in tables], not pieces)
-    parquet = table_format(tables[0][1].rstrip("/").rsplit("/", 1)[-1]) == "parquet"
+    df = read_table(spark, [path for _, path in tables], not pieces, names)
+    parquet = table_format(_name(tables[0][1])) == "parquet"
     rows = df.select(
         "*",
         _file_column().alias("_file"),
@@ -238,7 +258,7 @@ def unite(
 ) -> DataFrame:
     """The given tables (source name, paths to try) united by column name, with lineage
     and hidden order columns."""
-    frames = [_read_layout(spark, group, pieces) for pieces, group in _layouts(spark, tables, multi_line)]
+    frames = [_read_layout(spark, group, pieces, names) for pieces, names, group in _layouts(spark, tables, multi_line)]
     if normalize:
         frames = [normalize_columns(frame) for frame in frames]
     return union_evolving(frames)
