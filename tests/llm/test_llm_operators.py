@@ -428,3 +428,97 @@ def test_stages_and_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and {"doc_id", "sequence_id", "ids"} <= set(out.columns)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+CLASHES = (
+    "doc_id long, text string, source string, _id int, _key int, _kinds int, _map_id int, _map_key int, _map_bits int, _other_id int, "
+    "_other_key int, score int, rank int, secrets int, kept int, _salt int, _host int, task int, size int, row int"
+)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns with the names the operators use themselves, null ids, repeated rows, and a text of one long word."""
+    texts = [None, "", LINE + "\n" + LINE, "a b c d e f g h " * 30, "a b c d e f g h " * 30 + "i", "x" * 10_000_000, "token = 'abcdef123456'"]
+    rows = [(at, text, f"s{at % 2}") for at, text in enumerate(texts)] + [(None, "null id", None), (None, None, "s0"), (3, texts[3], "s1"), (3, texts[3], "s1")]
+    return spark.createDataFrame([(*row, *range(17)) for row in rows], CLASHES)
+
+
+def _as_pipeline_stage(name):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+@pytest.mark.parametrize("run", [
+    lambda docs: simhash.near_duplicates(docs).drop("component"),
+    simhash.drop_near_duplicates, secrets.find_secrets, exact_dedup.exact_duplicates, line_dedup.drop_lines, quality.judge, mixing.take, mixing.mixed,
+    lambda docs: packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")),
+    lambda docs: toxicity.drop_toxic(docs, toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))),
+], ids=["op1", "simhash stage", "op5", "op7", "op8", "op9", "op10", "mixing stage", "op4", "toxicity stage"])
+def test_clashing_names_null_ids_long_words_and_no_rows(spark, clashing, run):
+    found = run(clashing).collect()
+    assert found and {row.doc_id for row in found} <= {None, *range(7)}
+    assert run(clashing.limit(0)).count() == 0
+    names = run(clashing).columns
+    assert len(names) == len({name.lower() for name in names})
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "simhash", "mixing", "packing"])
+def test_pipeline_stages_on_odd_rows(spark, clashing, sf_dir, name):
+    stage = _as_pipeline_stage(name)
+    docs = clashing.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long"))
+    found = stage(spark, docs, sf_dir)
+    assert name == "packing" or found.columns == docs.columns
+    assert found.count() > 0 and stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_exact_duplicates_of_many_are_found_without_shuffling_texts(spark, monkeypatch, sf_dir):
+    from twinscout.operators import sizing
+
+    wanted = sorted(map(str, REGISTRY["op7_exact_dedup"](spark, sf_dir).collect()))
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = REGISTRY["op7_exact_dedup"](spark, sf_dir)
+        formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        nodes = found._jdf.queryExecution().explainString(formatted).split("\n\n")
+        exchanges = [node for node in nodes if ") Exchange" in node and "Input [" in node]
+        assert exchanges and not any(", text#" in node or "[text#" in node for node in exchanges)
+        assert sorted(map(str, found.collect())) == wanted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_host_of_much_junk_is_rejected(spark):
+    """Three in ten documents of one host break a rule that two in a hundred break elsewhere."""
+    pick = random.Random(2)
+    clean = " ".join(f"word{n}" for n in range(80))
+    rows = []
+    for at in range(6000):
+        host = f"h{at % 12}"
+        junk = pick.random() < (0.4 if host == "h3" else 0.02)
+        rows.append((at, host, clean + (" #*$ %&" * 40 if junk else f" own{at}")))
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    found = {row.source: row.n for row in judged.where("kept").groupBy("source").agg(F.count("*").alias("n")).collect()}
+    base = {row.source: row.n for row in judged.where("NOT base_failed").groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert "h3" not in found and {h: n for h, n in base.items() if h != "h3"} == found and base["h3"] > 100
+
+
+def test_every_labelled_row_is_counted(spark):
+    """An expression that only one labelled row in eight holds, those that fit the curve, counts too."""
+    rows = [(at, f"plain words number {at} here", 0) for at in range(400)]
+    held = [at for at in range(1000, 2000) if zlib.crc32(str(at).encode()) // 4 % 8 == 0][:60]
+    rows += [(at, "qzxvk qzxvk wjyzq", 1) for at in held] + [(3000 + at, f"other bad blorg {at}", 1) for at in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table.drop("toxic"), table.select("doc_id", "toxic"))
+    ask = spark.createDataFrame([(1, "qzxvk qzxvk wjyzq"), (2, "plain words number 7 here")], "doc_id long, text string")
+    scores = {row.doc_id: row.score for row in toxicity.score_documents(ask, model, ["doc_id"]).collect()}
+    assert scores[1] > 0.5 > scores[2]
+
+
+def test_held_out_is_never_null(spark):
+    from twinscout.llm.queries import held_out
+
+    frame = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long")
+    assert [row.h for row in frame.select(held_out().alias("h")).collect()] == [False] + [zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 2)]

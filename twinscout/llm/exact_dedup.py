@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinscout.llm.common import NULL_ID, SPACES, id_or_least
+from twinscout.llm.common import NULL_ID, SPACES, free_name, id_or_least
 from twinscout.operators.sizing import broadcast_measured
 from twinscout.sources.shared import materialized
 
@@ -41,11 +41,12 @@ def duplicate_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     prefixes = materialized(prefixes, "prefixes")
     survivors = survivors.join(broadcast_measured(prefixes, F.lit(24)), ["length", "prefix"], "left_semi")
     survivors = survivors.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
+    own_id, own_key = free_name(docs, "_id"), free_name(docs, "_key")
     survivors = broadcast_measured(
-        materialized(survivors.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "survivors"), F.lit(24)
+        materialized(survivors.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)), "survivors"), F.lit(24)
     )
     again = docs.join(
-        survivors, (id_or_least() == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi"
+        survivors, (id_or_least() == F.col(own_id)) & (F.xxhash64("text") == F.col(own_key)), "left_semi"
     )
     hashed = again.select(
         id_or_least().alias("doc_id"), F.xxhash64("text").alias("text_key"),
@@ -66,19 +67,24 @@ def exact_duplicates(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     Texts are equal if identical after white-space runs became one space; null is empty.  The
     row of the smallest doc_id stays.  Rows that repeat its id and text are the same document
     and stay with it; each counts in ``group_size``.  Null ids stay only where a group has no
-    other, and ``keep_id`` is then null.
+    other, and ``keep_id`` is then null.  A text of any length is read whole; an empty table gives no rows.
+
+    Keys are columns of their own before the join, so where the result's text is not asked for, no text is
+    shuffled, however many duplicates there are.
     """
     rows = docs.drop(*[name for name in docs.columns if name.lower() in ("keep_id", "group_size", "kept")])
+    own_id, own_key, of_id, of_key = (free_name(rows, name) for name in ("_id", "_key", "_of_id", "_of_key"))
     groups = materialized(duplicate_groups(docs, prefix), "duplicates")
-    groups = groups.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    groups = groups.withColumnsRenamed({"doc_id": of_id, "text_key": of_key})
     groups = broadcast_measured(groups, F.lit(40))
-    joined = rows.join(groups, (id_or_least() == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    rows = rows.withColumns({own_id: id_or_least(), own_key: F.xxhash64("text")})
+    joined = rows.join(groups, (F.col(own_id) == F.col(of_id)) & (F.col(own_key) == F.col(of_key)), "left")
     least = F.lit(NULL_ID + 1) - 1
-    keep = F.coalesce(F.col("keep_id"), id_or_least())
+    keep = F.coalesce(F.col("keep_id"), F.col(own_id))
     return joined.withColumns(
         {
-            "kept": keep == id_or_least(),
+            "kept": keep == F.col(own_id),
             "keep_id": F.when(keep > least, keep),
             "group_size": F.coalesce("group_size", F.lit(1).cast("bigint")),
         }
-    ).drop("_id", "_key")
+    ).drop(own_id, own_key, of_id, of_key)

@@ -195,15 +195,17 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     """``docs`` with the remaining lines joined by newline as text, and ``n_lines`` (before) and
     ``n_dropped`` added under free names at the end.
 
-    Null and empty texts are one empty line; a null text without loss becomes the empty text.
+    Null and empty texts are one empty line; a null text without loss becomes the empty text.  A text of any
+    length is read whole; all other columns stay, whatever their names; an empty table gives no rows.
     Bitmaps are broadcast if they measure small, else joined by a shuffle.
     """
     maps = materialized(keep_bitmaps(docs, min_chars, min_docs), "bitmaps")
-    maps = maps.select(F.col("doc_id").alias("_map_id"), F.col("text_key").alias("_map_key"), F.col("bitmap").alias("_map_bits"))
-    maps = broadcast_measured(maps, F.length("_map_bits") + F.lit(32))
+    map_id, map_key, map_bits = (free_name(docs, name) for name in ("_map_id", "_map_key", "_map_bits"))
+    maps = maps.select(F.col("doc_id").alias(map_id), F.col("text_key").alias(map_key), F.col("bitmap").alias(map_bits))
+    maps = broadcast_measured(maps, F.length(map_bits) + F.lit(32))
     joined = docs.join(
-        maps, (id_or_least() == F.col("_map_id")) & (content_key(F.col("text")) == F.col("_map_key")), "left"
-    ).drop("_map_id", "_map_key")
+        maps, (id_or_least() == F.col(map_id)) & (content_key(F.col("text")) == F.col(map_key)), "left"
+    ).drop(map_id, map_key)
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
     schema = StructType([*docs.schema.fields, StructField(n_lines, LongType()), StructField(n_dropped, LongType())])
     names, at = docs.columns, docs.columns.index("text")
@@ -212,7 +214,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
         for whole in batches:
             for batch in in_slices(whole):
                 texts, before, lost = [], [], []
-                for text, bits in zip(batch.column("text").to_pylist(), batch.column("_map_bits").to_pylist(), strict=True):
+                for text, bits in zip(batch.column("text").to_pylist(), batch.column(map_bits).to_pylist(), strict=True):
                     lines = (text or "").split("\n")
                     before.append(len(lines))
                     if bits is not None:
@@ -227,4 +229,4 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
                     names=[*names, n_lines, n_dropped],
                 )
 
-    return joined.select(*names, "_map_bits").mapInArrow(rebuild, schema)
+    return joined.select(*names, map_bits).mapInArrow(rebuild, schema)

@@ -19,6 +19,11 @@ from twinscout.sources.shared import materialized
 
 #: A host is rejected if the shrunk share of its documents that fail a rule reaches this.
 HOST_LIMIT = 0.5
+#: A host is also bad if its rate surely, by this many deviations of its posterior, lies above a rate and above a multiple of
+#: the rate of all documents.
+DEVIATIONS = 3.0
+SURE_RATE = 0.2
+SURE_TIMES = 3.0
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 #: Rules of the host verdict: name -> whether a document fails it.
@@ -80,7 +85,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(marked: DataFrame, host: str, rules: list[str]) -> DataFrame:
-    """Per host: number of documents and, for every rule, the shrunk failure rate.
+    """Per host: number of documents and, for every rule, the shrunk failure rate, what it surely exceeds
+    (``DEVIATIONS`` of its posterior below it) and the prior's mean.
 
     The prior of a rule has the mean failure rate of all documents, and the strength by which
     the rates spread over hosts beyond chance (between 1 and 1,000 documents).  Two rows of
@@ -96,7 +102,7 @@ def host_rates(marked: DataFrame, host: str, rules: list[str]) -> DataFrame:
     ).first()
     total = moments["n"] or 0
     if not total:
-        return sums.select(host, "n", *[F.lit(0.0).alias(f"rate_{r}") for r in rules])
+        return sums.select(host, "n", *[F.lit(0.0).alias(f"{kind}_{r}") for kind in ("rate", "surely", "mean") for r in rules])
     means = {r: moments[f"k_{r}"] / total for r in rules}
     spread = sums.agg(
         *[F.sum(F.col("n") * F.pow(F.col(f"k_{r}") / F.col("n") - F.lit(means[r]), 2)).alias(r) for r in rules]
@@ -108,7 +114,9 @@ def host_rates(marked: DataFrame, host: str, rules: list[str]) -> DataFrame:
         # Between-host variance: what the weighted spread holds beyond binomial noise.
         between = (spread[rule] - (hosts - 1) * chance) / max(total - moments["squares"] / total, 1e-9)
         strength = min(max(chance / between - 1, 1.0), 1000.0) if between > 0 and chance > 0 else 1000.0
-        rates.append(((F.col(f"k_{rule}") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))).alias(f"rate_{rule}"))
+        rate = (F.col(f"k_{rule}") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+        deviation = F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(strength + 1)))
+        rates += [rate.alias(f"rate_{rule}"), (rate - DEVIATIONS * deviation).alias(f"surely_{rule}"), F.lit(mean).alias(f"mean_{rule}")]
     return sums.select(host, "n", *rates)
 
 
@@ -116,15 +124,21 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT, rule
     """doc_id, host, the statistics, ``base_failed`` and ``kept`` of every row.
 
     A document that is short or repetitive fails by itself; any other is kept unless the
-    shrunk rate of a rule over its host reaches ``limit``.  The null host is a host; rows with
-    null or repeated ids are judged each; null and empty texts fail as short.
+    shrunk rate of a rule over its host reaches ``limit``, or surely exceeds both ``SURE_RATE`` and ``SURE_TIMES`` the
+    rate of all documents.  The null host is a host; rows with null or repeated ids are judged each; null and empty
+    texts fail as short.  A text of any length is read whole.  Other columns are left out, whatever their names; an empty
+    table gives no rows.
     """
     narrow = statistics(docs.select("doc_id", F.col(host).alias("_host"), "text")).drop("text")
     names = list(rules)
     narrow = narrow.withColumns({f"_fails_{name}": F.expr(rules[name]) for name in names})
     narrow = materialized(narrow, "statistics")
     rates = host_rates(narrow, "_host", names)
-    rejected = rates.where(F.greatest(F.lit(0.0), *[F.col(f"rate_{n}") for n in names]) >= limit)
+    bad = F.lit(False)
+    for name in names:
+        sure = (F.col(f"surely_{name}") >= SURE_RATE) & (F.col(f"surely_{name}") >= SURE_TIMES * F.col(f"mean_{name}"))
+        bad = bad | (F.col(f"rate_{name}") >= limit) | sure
+    rejected = rates.where(bad)
     rejected = materialized(rejected.select(F.col("_host").alias("_bad_host"), F.lit(True).alias("_rejected")), "rejected")
     rejected = broadcast_measured(rejected, F.coalesce(F.octet_length("_bad_host"), F.lit(0)) + F.lit(24))
     joined = narrow.join(rejected, F.col("_host").eqNullSafe(F.col("_bad_host")), "left")

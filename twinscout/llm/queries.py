@@ -20,8 +20,8 @@ def registered(function):
 
 
 def held_out() -> Column:
-    """Rows whose labels are never learned from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Rows whose labels are never learned from; a null id, which no label names, is not one of them."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 @registered
@@ -90,10 +90,9 @@ def op6_token_files(spark, sf_dir):
 
 @registered
 def op7_exact_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = exact_dedup.exact_duplicates(docs)
     digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    return found.select("doc_id", "keep_id", "group_size", "kept", digest.alias("text_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", digest.alias("text_sha256"))
+    return exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 @registered

@@ -17,6 +17,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinscout.llm.common import free_name
 from twinscout.operators.sizing import broadcast_measured
 from twinscout.sources.shared import materialized
 
@@ -201,22 +202,25 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULE
     rule's place in ``rules``; start and end in code points, end exclusive.
 
     Null and empty texts have none.  Rows are kept as they are, repeated ones too: the index is
-    by text, so copies share its answer.
+    by text, so copies share its answer.  A column of that name is replaced, all others stay; a text of any length is read
+    whole; an empty table gives no rows.
     """
     texts = docs.where("text IS NOT NULL")
     found, scans = candidates(texts.select("text"), rules)
-    found = found.withColumnsRenamed({"text_key": "_key", "kinds": "_kinds"})
-    found = broadcast_measured(found, F.lit(24) + 16 * F.size("_kinds"))
-    rows = docs.join(found, F.xxhash64("text") == F.col("_key"), "left")
+    docs = docs.drop(*[name for name in docs.columns if name.lower() == "secrets"])
+    own_key, own_kinds = free_name(docs, "_key"), free_name(docs, "_kinds")
+    found = found.withColumnsRenamed({"text_key": own_key, "kinds": own_kinds})
+    found = broadcast_measured(found, F.lit(24) + 16 * F.size(own_kinds))
+    rows = docs.join(found, F.xxhash64("text") == F.col(own_key), "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = []
     for order, rule in enumerate(rules):
         hit = F.rlike(text, F.lit(rule.pattern))
         if rule.kind not in scans:
-            hit = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False)) & hit
+            hit = F.coalesce(F.array_contains(own_kinds, rule.kind), F.lit(False)) & hit
         kinds.append(F.when(hit, _spans(text, rule, order)).otherwise(none))
-    return rows.withColumn("secrets", F.sort_array(F.concat(*kinds))).drop("_key", "_kinds")
+    return rows.withColumn("secrets", F.sort_array(F.concat(*kinds))).drop(own_key, own_kinds)
 
 
 def spans_text(spans: Column) -> Column:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinscout.llm.common import NULL_ID, bound_batches, content_key, id_or_least, in_slices
+from twinscout.llm.common import NULL_ID, bound_batches, content_key, free_name, id_or_least, in_slices
 from twinscout.operators.sizing import broadcast_measured
 from twinscout.sources.shared import materialized
 
@@ -476,7 +476,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, **settings) -
     with it, the least content hash, and of rows equal in both, one).  Rows are linked by a Jaccard
     similarity of their five-word shingles of at least ``similarity``.
 
-    Only ids and hashes are grouped.  The rows to drop are broadcast if they measure small.
+    Only ids and hashes are grouped.  The rows to drop are broadcast if they measure small.  Null and empty texts are one
+    group; a text of any length is one set of shingles; all other columns stay, whatever their names; an empty table
+    gives no rows.
     """
     keys = {"doc_id": id_or_least(), "text_key": content_key(F.col("text"))}
     marks = materialized(near_duplicates(docs, keys=keys, similarity=similarity, **settings), "components")
@@ -488,14 +490,17 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, **settings) -
     repeated = rows.where(is_kept).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
     repeated = materialized(repeated.select("doc_id", "text_key"), "repeated")
 
+    other_id, other_key = free_name(docs, "_other_id"), free_name(docs, "_other_key")
+
     def matches(other: DataFrame) -> tuple[DataFrame, Column]:
-        names = {"doc_id": "_other_id", "text_key": "_other_key"}
-        renamed = broadcast_measured(other.withColumnsRenamed(names), F.lit(24))
-        return renamed, (id_or_least() == F.col("_other_id")) & (content_key(F.col("text")) == F.col("_other_key"))
+        renamed = broadcast_measured(other.withColumnsRenamed({"doc_id": other_id, "text_key": other_key}), F.lit(24))
+        return renamed, (id_or_least() == F.col(other_id)) & (content_key(F.col("text")) == F.col(other_key))
 
     docs = docs.join(*matches(dropped), "left_anti")
     if repeated.isEmpty():
         return docs
-    # Rows equal in id and text meet, and one of each stays.
-    once = docs.join(*matches(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    # Rows equal in id and text meet, and one of each stays: that of the least hash over all its columns.
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    once = docs.join(*matches(repeated), "left_semi").groupBy(id_or_least().alias("id"), content_key(F.col("text")).alias("key"))
+    once = once.agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{name}`") for name in docs.columns])).alias("row")).select("row.*")
     return docs.join(*matches(repeated), "left_anti").unionByName(once)

@@ -204,8 +204,8 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000) -> Model:
     """Fit models and curve on ``docs`` rows that ``labels`` (doc_id, toxic) covers.
 
-    One labelled row in eight (by CRC-32 of the id) stays out of the models and fits the
-    curve; of those, at most ``calibration_rows`` lowest hashes are used.  Null or
+    One labelled row in eight (by CRC-32 of the id) fits the curve, under models of the other seven; of those, at most
+    ``calibration_rows`` lowest hashes are used.  The models returned count all labelled rows.  Null or
     missing labels are skipped; an id labelled twice counts as toxic if one label says so.
     Without rows of both labels the model gives every text the score of its curve at zero,
     practically 0.
@@ -228,9 +228,10 @@ def learn(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000) ->
         .orderBy("at").limit(calibration_rows).select("label", "difference").toPandas()
     )
     y = found["label"].to_numpy(np.float64)
+    whole = train(rows.select("text", "toxic"))
     if 0 < y.sum() < len(y):
-        model.slope, model.offset = _fit_curve(found["difference"].to_numpy(), y)
-    return model
+        whole.slope, whole.offset = _fit_curve(found["difference"].to_numpy(), y)
+    return whole
 
 
 def score_documents(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
