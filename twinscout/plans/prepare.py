@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscout.operators import cells
+from twinscout.operators import cells, title_store
 from twinscout.operators.cache import image_validity, index_delta
 from twinscout.operators.schedule import PER_HOST, WORKERS, fetch_schedule
 from twinscout.operators.sizing import broadcast_measured
@@ -55,3 +57,14 @@ def refresh_index(spark: SparkSession, folder: str, images: DataFrame, no_indexi
     have = images.where("vector IS NOT NULL").select(*INDEX_FIELDS)
     delta = materialized(index_delta(have, cells.indexed(spark, folder).select(*INDEX_FIELDS)), "delta")
     return known[-1] if delta.isEmpty() else cells.apply_index_delta(spark, folder, delta, images)
+
+
+def encoded_listings(listings: DataFrame, store: str, make_encoder: Callable, width: int) -> tuple[DataFrame, DataFrame]:
+    """(listings with ``text_vec_id``, title vectors) for a search over a catalog that has no title vectors, or not all.
+
+    Titles that the store misses are encoded first, each distinct one once over all runs; so a search never leaves a
+    listing out because nobody encoded its title.  A title whose encoding fails is the exception; it stays in the store
+    with its error and is tried again.
+    """
+    title_store.encode_missing(listings, store, make_encoder, width)
+    return title_store.with_text_vectors(listings, store)

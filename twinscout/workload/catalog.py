@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from twinscout.functions.text import sku_key
 from twinscout.operators import bloom, cache, cells, groups, hot_words, matching, overlap, prices, profiles, rotations, schedule, title_store
 from twinscout.operators.embedding import letter_counts
-from twinscout.plans.prepare import prepare_fetches, refresh_index
+from twinscout.plans.prepare import encoded_listings, prepare_fetches, refresh_index
+from twinscout.plans.search import find_duplicates
 from twinscout.sources.shared import materialized, new_shared_path
 from twinscout.workload import views
 
@@ -209,3 +210,14 @@ def encode_titles_once(spark, sf_dir):
     letters = F.array_join(F.transform(F.first("vector"), lambda x: x.cast("int")), ",")
     stored = title_store.stored_titles(spark, store)
     return stored.groupBy("title").agg(F.count("*").alias("times_encoded"), letters.alias("letters"))
+
+
+@registered
+def find_duplicates_raw_titles(spark, sf_dir):
+    """The flagship search over a catalog without title vectors: all titles are encoded through a store."""
+    listings, vectors = encoded_listings(views.listings(spark, sf_dir).drop("text_vec_id"), new_shared_path(spark, "titles"), letter_counts, 26)
+    shown = views.flagship_vectors(spark, sf_dir).drop("query_id")
+    knobs = {name: value for name, value in views.FLAGSHIP.items() if name != "images"} | {"min_text_sim": 0.9}
+    matches = find_duplicates(listings, views.images(spark, sf_dir), vectors, shown, make_encoder=letter_counts, width=26, **knobs)
+    scores = [F.round(name, 6).alias(name) for name in ("ai_score", "text_similarity")]
+    return matches.select("query_id", "rank", "row_id", "sku", "title", "price", "source_file", "image_filename", *scores)

@@ -595,9 +595,24 @@ def overlapping(pairs: str) -> str:
   {shared('a.k', 'b.k')} / CAST(least(len(a.k), len(b.k)) AS DOUBLE) >= 0.8"""
 
 
+def letters(title: str) -> str:
+    return f"list_transform(range(97, 123), lambda i: CAST(length({title}) - length(replace({title}, chr(CAST(i AS INTEGER)), '')) AS DOUBLE))"
+
+
+def raw_titles() -> str:
+    """The flagship search with letter counts of the titles themselves as their vectors."""
+    sql = flagship(2000)
+    a, b = sql.index("sims AS ("), sql.index("matches AS (")
+    sims = f"""lettered AS (SELECT row_id, {letters('title')} AS v FROM listings),
+sims AS (SELECT row_id, {cosine('t.v', 'r.v')} AS sim FROM lettered t, (SELECT {letters("t")} AS v FROM wanted) r),
+"""
+    return (sql[:a] + sims + sql[b:]).replace("JOIN sims s USING (text_vec_id)", "JOIN sims s USING (row_id)").replace("s.sim >= 0.05", "s.sim >= 0.9")
+
+
 ORACLES.update(
     {
         # whole catalogs
+        "find_duplicates_raw_titles": f"WITH {raw_titles()} {PUBLISHED}",
         "visual_search_pruned": ORACLES["visual_search"],
         "visual_search_pruned_small_cut": ORACLES["visual_search_small_cut"],
         "visual_search_pruned_batch": ORACLES["visual_search_batch"],
@@ -699,6 +714,7 @@ for _name, _types in {
     "sort_price_asc": {"position": "INTEGER"},
     "match_record": {"query_id": "BIGINT"},
     "find_duplicates": {"query_id": "BIGINT", "rank": "INTEGER"},
+    "find_duplicates_raw_titles": {"query_id": "BIGINT", "rank": "INTEGER"},
     "find_duplicates_small_cut": {"query_id": "BIGINT", "rank": "INTEGER"},
     "find_duplicates_strict": {"query_id": "BIGINT", "rank": "INTEGER"},
     "find_duplicates_batch": {"rank": "INTEGER"},
