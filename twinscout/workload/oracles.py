@@ -577,9 +577,11 @@ facts AS (
     list_sort(list_filter({_list(MODIFIERS)}, lambda x: list_contains(w, x))) AS w
   FROM lf WHERE len(k) > 0),
 nodes AS (SELECT k, m, n, w, min(row_id) AS node FROM facts GROUP BY ALL),
-links AS (
-  SELECT a.node AS a, b.node AS b FROM nodes a JOIN nodes b ON a.node <> b.node
-  WHERE {shared('a.k', 'b.k')} / CAST(least(len(a.k), len(b.k)) AS DOUBLE) >= 0.8 AND NOT {mismatch('a', 'b')}),
+near AS MATERIALIZED (
+  SELECT a AS p, b AS q FROM nodes a JOIN nodes b ON a.node < b.node
+  WHERE {shared('a.k', 'b.k')} / CAST(least(len(a.k), len(b.k)) AS DOUBLE) >= 0.8),
+pairs AS MATERIALIZED (SELECT p.node AS a, q.node AS b FROM near WHERE NOT {mismatch('p', 'q')}),
+links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach AS (SELECT node, node AS met FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.met),
 roots AS (SELECT node, min(met) AS group_id FROM reach GROUP BY node),
 members AS (SELECT row_id, group_id FROM facts JOIN nodes USING (k, m, n, w) JOIN roots USING (node))"""
