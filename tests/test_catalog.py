@@ -166,6 +166,20 @@ def test_a_word_of_every_title_proposes_few_pairs(spark):
     assert met.count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_titles_of_few_frequent_words_propose_only_results(spark, threshold):
+    """No word is rare, so the prefixes of hundreds of titles meet; equal subsets are met by pairs of the result alone."""
+    pick = random.Random(4)
+    sets = {i: {"common", f"a{pick.randrange(4)}", f"b{pick.randrange(4)}", f"c{pick.randrange(5)}", f"d{pick.randrange(20)}", *(["pro"] if i % 4 else [])} for i in range(300)}
+    sets = {i: words for i, words in sets.items() if words not in [sets[j] for j in range(i)]}
+    frame = spark.createDataFrame([(i, sorted(w)) for i, w in sets.items()], "class_id long, words array<string>")
+    wanted = plain_pairs(sets, sets, threshold, True)
+    met = overlap._small_pairs(frame, frame, threshold, strictly=True).select("small_id", "large_id")
+    assert met.count() == met.distinct().count() == sum(len(sets[a]) != len(sets[b]) for a, b, _ in wanted)
+    found = overlap.overlap_pairs(frame, threshold)
+    assert {(r.left_id, r.right_id, r.shared) for r in found.collect()} == wanted and found.count() == len(wanted)
+
+
 def test_titles_of_equal_words_are_one_class(spark):
     rows = [(3, "Red ring"), (1, "ring RED!"), (2, "Blue ring"), (4, ""), (5, None), (6, "the and"), (7, "Red ring")]
     listings = spark.createDataFrame(rows, "row_id long, title string")

@@ -7,12 +7,18 @@ after it in B.  So the smaller set probes with its short, rare prefix; an invert
 keywords of the larger sets answers, cut by size and position; and the pairs that meet are verified.
 A word of every title is in a prefix only where a title has hardly another.
 
+Two sets of ``SMALL_WORDS`` keywords or fewer meet by a stronger condition: they overlap enough if and only if they have a
+subset of ``need`` keywords in common.  The smaller set asks by its subsets of that size, the larger one answers by its own,
+so only pairs of the result meet, however few words the titles of a catalog are made of.
+
 Titles of equal keywords are one class.  Pairs are pairs of classes, and membership is a table of its
 own, so thousands of copies of a title cost one class.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +27,9 @@ from twinscout.operators.matching import has_title
 from twinscout.operators.sizing import broadcast_measured
 from twinscout.sources.shared import materialized
 
+#: Sets of so many keywords meet by their subsets, of which one has 255 at most.
+SMALL_WORDS = 8
+
 
 def keyword_classes(listings: DataFrame, row: str = "row_id", title: str = "title") -> tuple[DataFrame, DataFrame]:
     """((class_id, words), (row_id, class_id)) of titles with keywords; the class is named by its least row.
@@ -72,6 +81,43 @@ def _proposed(small: DataFrame, large: DataFrame, threshold: float, strictly: bo
     return met.select("small_id", "large_id")
 
 
+def _subsets(classes: DataFrame, masks: list[tuple[int, int, int]]) -> DataFrame:
+    """(class_id, words, need, subset): the subsets named by ``masks`` (size, need, mask), as text.  No keyword holds a blank."""
+    table = classes.sparkSession.createDataFrame(masks, "size int, need int, mask int")
+    picked = F.filter("words", lambda _, at: F.call_function("shiftright", F.col("mask"), at).bitwiseAND(F.lit(1)) == 1)
+    rows = classes.select("class_id", F.array_sort("words").alias("words"), F.size("words").alias("size")).join(F.broadcast(table), "size")
+    return rows.select("class_id", "words", "need", F.array_join(picked, " ").alias("subset"))
+
+
+def _small_pairs(small: DataFrame, large: DataFrame, threshold: float, strictly: bool) -> DataFrame:
+    """(small_id, large_id, mine, theirs, common) of the classes of ``SMALL_WORDS`` keywords or fewer that overlap enough, each
+    pair once; two sets of one size (not ``strictly``) from either side.  ``mine`` and ``theirs`` are their words."""
+    few = F.size("words") <= SMALL_WORDS
+    small, large = small.where(few), large.where(few)
+    sizes = [row.size for row in small.select(F.size("words").alias("size")).distinct().collect()]
+    needs = {size: max(math.ceil(round(size * threshold, 9)), 1) for size in sizes if size}
+    masks = [(size, mask.bit_count(), mask) for size in range(1, SMALL_WORDS + 1) for mask in range(1, 1 << size)]
+    probe = _subsets(small, [m for m in masks if needs.get(m[0]) == m[1]])
+    posted = _subsets(large, [m for m in masks if any(need == m[1] and size <= m[0] for size, need in needs.items())])
+    probe = probe.select(F.col("class_id").alias("small_id"), F.col("words").alias("mine"), "need", "subset")
+    posted = posted.select(F.col("class_id").alias("large_id"), F.col("words").alias("theirs"), "subset")
+    sizes = F.size("theirs") > F.size("mine") if strictly else F.size("theirs") >= F.size("mine")
+    common = F.array_intersect("mine", "theirs")
+    met = probe.join(posted, "subset").where(sizes).withColumn("common", common)
+    # Of the subsets that a pair has in common, the first one of the common words names it.
+    met = met.where(F.array_join(F.slice("common", 1, F.col("need")), " ") == F.col("subset"))
+    return met.select("small_id", "large_id", "mine", "theirs", "common")
+
+
+def _counted(met: DataFrame, left: Column, right: Column) -> DataFrame:
+    shared = F.size("common")
+    return met.select(left.alias("left_id"), right.alias("right_id"), shared.alias("shared"), (shared / F.size("mine")).alias("overlap"))
+
+
+def _any_large(classes: DataFrame) -> bool:
+    return not classes.where(F.size("words") > SMALL_WORDS).isEmpty()
+
+
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs with their shared keywords counted, from the classes' own sets."""
     both = pairs.join(left.select(F.col("class_id").alias("left_id"), F.col("words").alias("mine")), "left_id")
@@ -93,11 +139,17 @@ def overlap_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     ``threshold``; left_id is the smaller number."""
     _checked(threshold)
     classes = materialized(classes, "classes")
+    few = _small_pairs(classes, classes, threshold, strictly=False)
+    # Two sets of one size meet from both sides; one of them is kept.
+    few = few.where((F.size("mine") < F.size("theirs")) | (F.col("small_id") < F.col("large_id"))).where("small_id <> large_id")
+    few = _counted(few, F.least("small_id", "large_id"), F.greatest("small_id", "large_id"))
+    if not _any_large(classes):
+        return few
     (places,) = _ordered(classes)
     # Two sets of one size meet from both sides; the distinct keeps one.
-    met = _proposed(places, places, threshold, strictly=False).where("small_id <> large_id")
+    met = _proposed(places, places.where(F.col("size") > SMALL_WORDS), threshold, strictly=False).where("small_id <> large_id")
     pairs = met.select(F.least("small_id", "large_id").alias("left_id"), F.greatest("small_id", "large_id").alias("right_id"))
-    return _verified(materialized(pairs.distinct(), "proposed"), classes, classes, threshold)
+    return few.unionByName(_verified(materialized(pairs.distinct(), "proposed"), classes, classes, threshold))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:

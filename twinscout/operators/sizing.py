@@ -74,6 +74,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread over all tasks by ``keys``, before costly work on each.  A compressed table of short rows is one or a few
+    splits however many rows it has, so that work would be left to as many tasks."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+
+
 def top_per_group(
     df: DataFrame,
     keys: Sequence[str],

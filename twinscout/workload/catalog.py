@@ -86,7 +86,7 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 @registered
 def overlap_join(spark, sf_dir):
     """Classes of listings whose titles share most of their keywords."""
-    classes, _ = overlap.keyword_classes(views.listings(spark, sf_dir))
+    classes, _ = overlap.keyword_classes(views.dealt_titles(spark, sf_dir))
     return _pairs(overlap.overlap_pairs(classes, MIN_OVERLAP))
 
 

@@ -9,6 +9,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinscout.operators.sizing import dealt
 from twinscout.plans.search import one_query
 from twinscout.sources.shared import materialized, new_shared_path
 
@@ -85,6 +86,11 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dealt_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers and titles of the catalog, spread over all tasks: a million of them is one split of the table."""
+    return dealt(listings(spark, sf_dir).select("row_id", "title"), "row_id")
+
+
 def document_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a catalog whose titles are whole texts."""
     return table(spark, sf_dir, "documents").select(
