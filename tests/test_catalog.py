@@ -15,6 +15,7 @@ from twinscout.operators.cache import index_delta
 from twinscout.operators.orientation import orientation_corr
 from twinscout.plans.prepare import prepare_fetches, refresh_index
 from twinscout.sources.shared import new_shared_path
+from twinscout.workload import views
 
 IMAGE = "image_id long, sku_key string, vector array<float>, path string, length long, mtime long"
 
@@ -237,6 +238,11 @@ def test_strict_rules_keep_groups_apart(spark):
     assert (report[6].listings, report[6].representative, report[6].least_price) == (1, 6, None)
 
 
+def test_titles_of_one_split_are_parsed_by_all_tasks(spark, sf_dir):
+    rows = views.dealt_titles(spark, sf_dir)
+    assert rows.groupBy(F.spark_partition_id()).count().count() == 8 and rows.count() == views.listings(spark, sf_dir).count()
+
+
 # --- prices --------------------------------------------------------------------------
 
 

@@ -106,13 +106,12 @@ def overlap_join_benchmark(spark, sf_dir):
 
 @registered
 def duplicate_groups(spark, sf_dir):
-    return groups.duplicate_groups(views.listings(spark, sf_dir))
+    return groups.duplicate_groups(views.dealt_titles(spark, sf_dir))
 
 
 @registered
 def duplicate_group_report(spark, sf_dir):
-    listings = views.listings(spark, sf_dir)
-    return groups.group_report(listings, groups.duplicate_groups(listings))
+    return groups.group_report(views.listings(spark, sf_dir), groups.duplicate_groups(views.dealt_titles(spark, sf_dir)))
 
 
 @registered
