@@ -439,6 +439,20 @@ def test_turned_copies_are_found(spark):
     assert set(found) <= brute and len(found) >= 0.9 * len(brute) and len(set(found) & planted) >= 0.9 * len(planted)
 
 
+@pytest.mark.parametrize("side", [2, 5, 8])
+def test_all_turned_copies_are_found_near_the_threshold(spark, side):
+    """Clusters whose members correlate about as much as is asked for: none of the pairs may be lost."""
+    state, maps = np.random.default_rng(12), rotations.symmetries(side)
+    base = state.normal(size=(60, side * side))
+    own = [base[i % 60][maps[i % 8]] + state.normal(scale=0.2, size=side * side) for i in range(420)]
+    frame = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(own)], "image_id long, vector array<double>")
+    pairs, _ = rotations.turned_copies(frame, side, 0.95)
+    unit = np.array(own) - np.mean(own, axis=1, keepdims=True)
+    unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
+    best = np.max([unit @ unit[:, order].T for order in maps[:7]], axis=0)
+    assert {(r.id_a, r.id_b) for r in pairs.collect()} == {(int(a), int(b)) for a, b in zip(*np.nonzero(best >= 0.95), strict=True) if a < b}
+
+
 def test_many_near_copies_do_not_make_all_pairs(spark):
     side, state = 8, np.random.default_rng(7)
     one = state.normal(size=side * side)

@@ -1,12 +1,19 @@
 """Finding turned and mirrored copies of images in a whole catalog.
 
-Every image gets codes that do not change when it is turned or mirrored: the least, over the eight
-symmetries of a square, of the signs of random projections.  Images that agree in the first bits of a code in one of
+All pairs are looked at, by a bound that one short row per image gives for all orientations at once.  The symmetries of a
+square split an image into five parts that they never mix.  Turning does not change the first part, changes no more than the sign of the
+next three and not the length of the last, so ``dot(a0, b0) + |dot(a1, b1)| + |dot(a2, b2)| + |dot(a3, b3)| + |a4| |b4|`` is at
+least the correlation in any orientation.  Images are dealt into blocks, every two blocks meet in one task, and pairs whose
+bound reaches the threshold are correlated pixel by pixel.  The work grows with the square of the number of images (some
+nanoseconds a pair), the memory of a task does not.
+
+``codes_of`` and ``proposed_pairs`` are a cheaper way that loses pairs, for catalogs where that square is too much: every image gets
+codes that do not change when it is turned or mirrored, the least, over the eight
+symmetries, of the signs of random projections.  Images that agree in the first bits of a code in one of
 ``TABLES`` tables are compared.  A bucket of many images is cut by further bits of its code until it is
-small; images that agree in all bits are compared with the first of them.  What is reported was
-correlated pixel by pixel.
+small; images that agree in all bits are compared with the first of them.
 
-Exact copies under any symmetry are one class with one code, so a picture that is copied a million times is one image here.
+Exact copies under any symmetry are one class, so a picture that is copied a million times is one image here.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscout.operators.orientation import orientation_corr, orientation_maps
-from twinscout.operators.sizing import broadcast_measured
+from twinscout.operators.sizing import broadcast_measured, shuffle_partitions
 from twinscout.operators.vectors import vector_matrix
 from twinscout.sources.shared import materialized
 
@@ -31,6 +38,11 @@ CODE_BITS = PREFIXES[-1]
 MOST_TOGETHER = 40
 SEED = 11
 ROWS_AT_ONCE = 1024
+#: Images of a block, and rows and columns of the products of two blocks that a task makes at a time.
+BLOCK_ROWS = 1 << 16
+TILE = (256, 4096)
+#: More than single precision is off in a bound.
+ROUNDING = 1e-4
 
 
 def symmetries(side: int) -> np.ndarray:
@@ -41,6 +53,94 @@ def symmetries(side: int) -> np.ndarray:
     return np.vstack([maps, other])
 
 
+def _digests(own: np.ndarray, maps: np.ndarray) -> list[bytes]:
+    """Equal for exact copies under any symmetry."""
+    turned = own[:, maps] + 0.0  # no negative zero
+    return [min(image.tobytes() for image in row) for row in turned]
+
+
+def parts(side: int) -> list[np.ndarray]:
+    """Orthonormal rows that span the five parts: what no symmetry changes, what some of them negate (three), the rest."""
+    turns = np.eye(side * side)[symmetries(side)]
+    signs = [(1, 1, 1, 1, 1, 1, 1, 1), (1, 1, 1, 1, -1, -1, -1, -1), (1, -1, 1, -1, 1, 1, -1, -1), (1, -1, 1, -1, -1, -1, 1, 1), (4, 0, -4, 0, 0, 0, 0, 0)]
+    found = []
+    for sign in signs:
+        # A projection: its eigenvalues are 0 and 1.
+        values, rows = np.linalg.eigh(np.tensordot(np.array(sign), turns, 1) / 8)
+        found.append(rows.T[values > 0.5])
+    return found
+
+
+def invariants_of(images: DataFrame, side: int) -> DataFrame:
+    """(image_id, digest, parts array<float>) of images (image_id, vector): ``parts`` has the first four parts of the centred image of
+    length 1 and the length of its fifth, and is null for flat images.  Null vectors are left out."""
+    maps, bases = symmetries(side), parts(side)
+    flat_basis = np.vstack(bases[:4])
+
+    def invariants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                own = vector_matrix(batch.column("vector"), side * side)
+                centred = own - own.mean(axis=1, keepdims=True)
+                length = np.sqrt((centred * centred).sum(axis=1))
+                unit = centred / np.where(length > 0, length, 1.0)[:, None]
+                last = np.sqrt(((unit @ bases[4].T) ** 2).sum(axis=1))
+                rows = np.column_stack([unit @ flat_basis.T, last]).astype(np.float32)
+                found = [row if full else None for row, full in zip(rows, length > 0, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("image_id"), pa.array(_digests(own, maps), pa.binary()), pa.array(found, pa.list_(pa.float32()))],
+                    names=["image_id", "digest", "parts"],
+                )
+
+    rows = images.where("vector IS NOT NULL").select("image_id", "vector")
+    found = rows.mapInArrow(invariants, "image_id bigint, digest binary, parts array<float>")
+    return found.withColumn("digest", F.unhex(F.sha2("digest", 256)))
+
+
+def bounded_pairs(classes: DataFrame, side: int, min_correlation: float) -> DataFrame:
+    """(id_a, id_b) of all classes (class_id, parts) whose bound reaches ``min_correlation``, the smaller number first."""
+    have = classes.where("parts IS NOT NULL").select("class_id", "parts")
+    rows, tasks = have.count(), shuffle_partitions(classes.sparkSession)
+    # Blocks of a bounded size, and of small tables so many that each task gets some pairs of them.
+    blocks = max(-(-rows // BLOCK_ROWS), min(-(-rows // ROWS_AT_ONCE), round((8 * tasks) ** 0.5)), 1)
+    edges = np.cumsum([0, *(len(basis) for basis in parts(side)[:4])])
+    floor = min_correlation - ROUNDING
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, second = table["class_id"].to_numpy(), table["second"].to_numpy().astype(bool)
+        whole = table["parts"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        same = not second.any()
+        a, b = (slice(None), slice(None)) if same else (~second, second)
+        for ids_a, rows_a, ids_b, rows_b in _tiles(ids[a], whole[a], ids[b], whole[b]):
+            # The part that is never negated and the product of the last lengths, then the others.
+            bound = rows_a[:, : edges[1]] @ rows_b[:, : edges[1]].T
+            bound += rows_a[:, -1:] * rows_b[:, -1]
+            for low, high in zip(edges[1:-1], edges[2:], strict=True):
+                more = rows_a[:, low:high] @ rows_b[:, low:high].T
+                bound += np.abs(more, out=more)
+            at, to = np.nonzero(bound >= floor)
+            left, right = ids_a[at], ids_b[to]
+            once = left < right if same else np.ones(len(left), dtype=bool)
+            low, high = np.minimum(left, right)[once], np.maximum(left, right)[once]
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["id_a", "id_b"])
+
+    block = F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = have.withColumn("block", block).withColumn("other", other)
+    pair = F.least("block", "other") * blocks + F.greatest("block", "other")
+    dealt = dealt.select("class_id", "parts", (F.col("block") > F.col("other")).alias("second"), pair.alias("pair"))
+    return dealt.repartition(blocks * (blocks + 1) // 2, "pair").groupBy("pair").applyInArrow(meet, "id_a bigint, id_b bigint")
+
+
+def _tiles(ids_a: np.ndarray, rows_a: np.ndarray, ids_b: np.ndarray, rows_b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    for down in range(0, len(ids_a), TILE[0]):
+        for across in range(0, len(ids_b), TILE[1]):
+            a, b = slice(down, down + TILE[0]), slice(across, across + TILE[1])
+            yield ids_a[a], rows_a[a], ids_b[b], rows_b[b]
+
+
 def codes_of(images: DataFrame, side: int) -> DataFrame:
     """(image_id, digest, codes array<long>) of images (image_id, vector): ``digest`` is equal for exact copies under any
     symmetry, ``codes`` has one code a table.  Null vectors are left out."""
@@ -58,10 +158,8 @@ def codes_of(images: DataFrame, side: int) -> DataFrame:
                 for order in maps:
                     signs = (centred[:, order] @ planes.T > 0).reshape(len(own), TABLES, CODE_BITS)
                     least = np.minimum(least, signs @ weights)
-                turned = own[:, maps] + 0.0  # no negative zero
-                digests = [min(image.tobytes() for image in row) for row in turned]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("image_id"), pa.array(digests, pa.binary()), pa.array(list(least), pa.list_(pa.int64()))],
+                    [batch.column("image_id"), pa.array(_digests(own, maps), pa.binary()), pa.array(list(least), pa.list_(pa.int64()))],
                     names=["image_id", "digest", "codes"],
                 )
 
@@ -99,18 +197,20 @@ def proposed_pairs(codes: DataFrame) -> DataFrame:
     return pairs.unionByName(linked.select("id_a", F.col("class_id").alias("id_b"))).distinct()
 
 
-def turned_copies(images: DataFrame, side: int, min_correlation: float = 0.95) -> tuple[DataFrame, DataFrame]:
+def turned_copies(images: DataFrame, side: int, min_correlation: float = 0.95, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """((id_a, id_b, orientation, correlation), (image_id, class_id)) of images (image_id, vector).
 
     Pairs are pairs of classes, each named by its least image, whose best orientation correlates by
-    ``min_correlation`` or more; ties go to the orientation tried first.  Flat images correlate with
+    ``min_correlation`` or more; ties go to the orientation tried first.  All such pairs are found, or where not ``every`` those
+    that agree in a code.  Flat images correlate with
     nothing; equal ones are still one class.
     """
-    coded = materialized(codes_of(images, side), "codes")
-    classes = coded.groupBy("digest").agg(F.min("image_id").alias("class_id"), F.first("codes").alias("codes"))
+    facts = "parts" if every else "codes"
+    coded = materialized(invariants_of(images, side) if every else codes_of(images, side), "codes")
+    classes = coded.groupBy("digest").agg(F.min("image_id").alias("class_id"), F.first(facts).alias(facts))
     classes = materialized(classes, "classes")
     members = coded.select("image_id", "digest").join(broadcast_measured(classes.select("digest", "class_id"), F.lit(64)), "digest")
-    pairs = materialized(proposed_pairs(classes), "proposed")
+    pairs = materialized(bounded_pairs(classes, side, min_correlation) if every else proposed_pairs(classes), "proposed")
     vectors = images.join(broadcast_measured(classes.select(F.col("class_id").alias("image_id")), F.lit(16)), "image_id", "left_semi")
     vectors = materialized(vectors.select("image_id", "vector"), "vectors")
     mine = vectors.select(F.col("image_id").alias("id_a"), F.col("vector").alias("a"))
