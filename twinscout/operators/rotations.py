@@ -40,7 +40,7 @@ SEED = 11
 ROWS_AT_ONCE = 1024
 #: Images of a block, and rows and columns of the products of two blocks that a task makes at a time.
 BLOCK_ROWS = 1 << 16
-TILE = (256, 4096)
+TILE = (512, 512)
 #: More than single precision is off in a bound.
 ROUNDING = 1e-4
 
@@ -107,24 +107,32 @@ def bounded_pairs(classes: DataFrame, side: int, min_correlation: float) -> Data
     edges = np.cumsum([0, *(len(basis) for basis in parts(side)[:4])])
     floor = min_correlation - ROUNDING
 
+    def split(rows: np.ndarray) -> list[np.ndarray]:
+        """The part that is never negated with the last length, then the others, each in one piece."""
+        first = np.column_stack([rows[:, : edges[1]], rows[:, -1:]])
+        return [first, *(np.ascontiguousarray(rows[:, low:high]) for low, high in zip(edges[1:-1], edges[2:], strict=True))]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         ids, second = table["class_id"].to_numpy(), table["second"].to_numpy().astype(bool)
         whole = table["parts"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         same = not second.any()
         a, b = (slice(None), slice(None)) if same else (~second, second)
-        for ids_a, rows_a, ids_b, rows_b in _tiles(ids[a], whole[a], ids[b], whole[b]):
-            # The part that is never negated and the product of the last lengths, then the others.
-            bound = rows_a[:, : edges[1]] @ rows_b[:, : edges[1]].T
-            bound += rows_a[:, -1:] * rows_b[:, -1]
-            for low, high in zip(edges[1:-1], edges[2:], strict=True):
-                more = rows_a[:, low:high] @ rows_b[:, low:high].T
-                bound += np.abs(more, out=more)
-            at, to = np.nonzero(bound >= floor)
-            left, right = ids_a[at], ids_b[to]
-            once = left < right if same else np.ones(len(left), dtype=bool)
-            low, high = np.minimum(left, right)[once], np.maximum(left, right)[once]
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["id_a", "id_b"])
+        ids_a, ids_b, parts_a, parts_b = ids[a], ids[b], split(whole[a]), split(whole[b])
+        for down in range(0, len(ids_a), TILE[0]):
+            rows_a = [part[down : down + TILE[0]] for part in parts_a]
+            for across in range(0, len(ids_b), TILE[1]):
+                bound = rows_a[0] @ parts_b[0][across : across + TILE[1]].T
+                for own, others in zip(rows_a[1:], parts_b[1:], strict=True):
+                    more = own @ others[across : across + TILE[1]].T
+                    bound += np.abs(more, out=more)
+                hits = bound >= floor
+                if hits.any():
+                    at, to = np.nonzero(hits)
+                    left, right = ids_a[down + at], ids_b[across + to]
+                    once = left < right if same else slice(None)
+                    low, high = np.minimum(left, right)[once], np.maximum(left, right)[once]
+                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["id_a", "id_b"])
 
     block = F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -134,13 +142,6 @@ def bounded_pairs(classes: DataFrame, side: int, min_correlation: float) -> Data
     return dealt.repartition(blocks * (blocks + 1) // 2, "pair").groupBy("pair").applyInArrow(meet, "id_a bigint, id_b bigint")
 
 
-def _tiles(ids_a: np.ndarray, rows_a: np.ndarray, ids_b: np.ndarray, rows_b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    for down in range(0, len(ids_a), TILE[0]):
-        for across in range(0, len(ids_b), TILE[1]):
-            a, b = slice(down, down + TILE[0]), slice(across, across + TILE[1])
-            yield ids_a[a], rows_a[a], ids_b[b], rows_b[b]
-
-
 def codes_of(images: DataFrame, side: int) -> DataFrame:
     """(image_id, digest, codes array<long>) of images (image_id, vector): ``digest`` is equal for exact copies under any
     symmetry, ``codes`` has one code a table.  Null vectors are left out."""
