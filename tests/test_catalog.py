@@ -398,6 +398,16 @@ def test_hot_words_give_the_same_pairs(spark, number, share):
     assert sorted(found) == sorted(wanted) and len(set(found)) == len(found)
 
 
+def test_pairs_are_made_after_the_last_exchange(spark, plan):
+    """One row per listing and 64 queries is shuffled, so no exchange stands above the one that makes pairs."""
+    listings, _ = titles_with_hot_words(spark, 300, 1)
+    queries = spark.range(-70, 130).select(F.col("id").alias("query_id"), F.lit("universal red").alias("reference_title"))
+    pairs = matching.keyword_prefilter(listings, queries.unionAll(queries))
+    assert pairs.count() == pairs.distinct().count() == 300 * 200
+    steps = [line for line in plan(pairs).splitlines() if "Generate" in line or "Exchange hashpartitioning" in line]
+    assert "Generate" in steps[0]
+
+
 def test_a_word_of_every_title_is_hot(spark):
     listings, _ = titles_with_hot_words(spark, 5000, 1)
     words = listings.where("title <> ''").select(F.explode(F.split("title", " ")).alias("word"))

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from twinscout.functions.fields import file_stem, parse_price, query_image_list
 from twinscout.functions.text import overlap_ratio, sku_key, strip, title_keywords
+from twinscout.operators.ranking import ranked
 from twinscout.operators.sizing import broadcast_measured, broadcast_within, join_small, top_per_group
 from twinscout.operators.vectors import dot_product, l2_norm, nearest, similar
+from twinscout.sources.shared import materialized
 
 # Search defaults.
 VISUAL_TOP_K = 2000
@@ -71,23 +73,37 @@ def has_title(title: Column) -> Column:
     return F.coalesce(title != "", F.lit(False))
 
 
+def asked_words(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((keyword, at, asking), (at, ids)) of queries (query_id, reference_title): ``ids`` are up to 64 distinct queries, and the
+    bits of ``asking``, from the lowest on, tell which of them have the keyword in their title."""
+    asked = queries.select("query_id", title_keywords(F.col("reference_title")).alias("words")).where(F.size("words") > 0)
+    each = asked.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    numbered = ranked(each, [], ["query_id"], "number", "total")
+    numbered = materialized(numbered.select("query_id", "words", F.floor(F.col("number") / 64).alias("at"), (F.col("number") % 64).cast("int").alias("bit")), "numbered")
+    own = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")))
+    asking = numbered.select("at", "bit", F.explode("words").alias("keyword")).groupBy("keyword", "at").agg(own.alias("asking"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("bit", "query_id"))), lambda entry: entry["query_id"])
+    return materialized(asking, "asking"), materialized(numbered.groupBy("at").agg(listed.alias("ids")), "asked")
+
+
 def keyword_prefilter(listings: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs (query_id, row_id) whose titles share at least one keyword.
 
     ``queries`` has ``query_id, reference_title``.  An equi-join on single keywords that
-    carries only the row number.  All keywords of a row are in one task, so the partial
-    half of the distinct already leaves each pair once and only result pairs are
-    shuffled.  The query side is broadcast when its size is measured to be small; else
+    carries only the row number and, for each 64 queries, a number of which each query is a bit.  The numbers of a
+    row are joined by OR, so what is shuffled is a row per listing and 64 queries, not one per pair, and pairs are made
+    when nothing is left to do.  The query side is broadcast when its size is measured to be small; else
     hot keywords are split at run time.
     """
-    asked = title_keywords(F.col("reference_title"))
-    query_words = queries.select("query_id", F.explode(asked).alias("keyword"))
-    row_bytes = F.length("keyword") * 4 + 64
+    asking, asked = asked_words(queries)
     words = listings.where(has_title(F.col("title"))).select(
         "row_id", F.explode(title_keywords(F.col("title"))).alias("keyword")
     )
-    pairs = words.join(broadcast_measured(query_words, row_bytes), "keyword")
-    return pairs.select("query_id", "row_id").distinct()
+    met = words.join(broadcast_measured(asking, F.length("keyword") * 4 + 80), "keyword")
+    met = met.groupBy("row_id", "at").agg(F.bit_or("asking").alias("asking"))
+    named = met.join(broadcast_measured(asked, F.size("ids") * 16 + 48), "at")
+    have = F.filter("ids", lambda _, bit: F.call_function("shiftright", F.col("asking"), bit).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    return named.select(F.explode(have).alias("query_id"), "row_id")
 
 
 def visual_search(

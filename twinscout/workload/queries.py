@@ -271,7 +271,7 @@ def title_contains_documents(spark, sf_dir):
 @registered
 def keyword_prefilter(spark, sf_dir):
     queries = views.batch_titles(spark, sf_dir)
-    pairs = matching.keyword_prefilter(views.listings(spark, sf_dir), queries)
+    pairs = matching.keyword_prefilter(views.dealt_titles(spark, sf_dir), queries)
     return pairs.select("query_id", "row_id")
 
 
