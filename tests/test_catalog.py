@@ -190,6 +190,22 @@ def test_titles_of_equal_words_are_one_class(spark):
     assert classes.count() == len(set(found.values()))
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.8])
+def test_overlap_join_of_rows_names_their_classes(spark, threshold):
+    """Rows of equal words, smaller and larger than the other side's, are one class named by the least row."""
+    left, right = word_sets(5, 60, longest=12), word_sets(6, 120, longest=25)
+    rows = {**right, **{500 + i: words for i, words in right.items()}, **{-1 - i: words for i, words in right.items() if i % 3 == 0}}
+    least = {}
+    for i, words in rows.items():
+        least[frozenset(words)] = min(i, least.get(frozenset(words), i))
+    frame = spark.createDataFrame([(i, sorted(w)) for i, w in left.items()], "class_id long, words array<string>")
+    titles = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "row_id long, title string")
+    found = overlap.overlap_join_rows(frame, overlap.keyword_rows(titles), threshold).collect()
+    assert len(found) == len({(r.left_id, r.right_id) for r in found})
+    wanted = plain_pairs(left, {i: set(words) for words, i in least.items()}, threshold, False)
+    assert {(r.left_id, r.right_id, r.shared) for r in found} == wanted
+
+
 @pytest.mark.parametrize("threshold", [0, -1, 1.5])
 def test_thresholds_that_mean_nothing(spark, threshold):
     frame = spark.createDataFrame([], "class_id long, words array<string>")

@@ -31,17 +31,22 @@ from twinscout.sources.shared import materialized
 SMALL_WORDS = 8
 
 
+def keyword_rows(listings: DataFrame, row: str = "row_id", title: str = "title") -> DataFrame:
+    """(row_id, words, digest) of titles with keywords: the digest is that of the sorted keywords."""
+    words = listings.where(has_title(F.col(title))).select(
+        F.col(row).alias("row_id"), F.array_sort(title_keywords(F.col(title))).alias("words")
+    )
+    words = words.where(F.size("words") > 0).withColumn("digest", F.unhex(F.sha2(F.array_join("words", " "), 256)))
+    return materialized(words, "keywords")
+
+
 def keyword_classes(listings: DataFrame, row: str = "row_id", title: str = "title") -> tuple[DataFrame, DataFrame]:
     """((class_id, words), (row_id, class_id)) of titles with keywords; the class is named by its least row.
 
     Classes are found by a digest of the sorted keywords.  Titles without keywords overlap with nothing and
     are in no class.
     """
-    words = listings.where(has_title(F.col(title))).select(
-        F.col(row).alias("row_id"), F.array_sort(title_keywords(F.col(title))).alias("words")
-    )
-    words = words.where(F.size("words") > 0).withColumn("digest", F.unhex(F.sha2(F.array_join("words", " "), 256)))
-    words = materialized(words, "keywords")
+    words = keyword_rows(listings, row, title)
     classes = words.groupBy("digest").agg(F.min("row_id").alias("class_id"), F.first("words").alias("words"))
     classes = materialized(classes, "classes")
     members = words.select("row_id", "digest").join(
@@ -154,9 +159,45 @@ def overlap_pairs(classes: DataFrame, threshold: float) -> DataFrame:
 
 def overlap_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left_id, right_id, shared, overlap) of the classes of two tables whose overlap is at least ``threshold``."""
+    rows = right.select(F.col("class_id").alias("row_id"), "words", F.col("class_id").alias("digest"))
+    return overlap_join_rows(left, materialized(rows, "right"), threshold)
+
+
+def overlap_join_rows(left: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """``overlap_join`` of classes with ``rows`` (row_id, words, digest) that were not made classes: the class of a row is the least
+    row of equal digest.
+
+    The rows are read where they lie: a broadcast index of ``left``, of the words that a pair needs, finds their pairs, which
+    are verified in place.  Only rows of fewer words than the largest set of ``left`` are shuffled, and what was found; all rows of a
+    class are found together, so it is named when little is left.
+    """
     _checked(threshold)
-    left, right = materialized(left, "left"), materialized(right, "right")
-    mine, theirs = _ordered(left, right)
-    forth = _proposed(mine, theirs, threshold, strictly=False).select(F.col("small_id").alias("left_id"), F.col("large_id").alias("right_id"))
-    back = _proposed(theirs, mine, threshold, strictly=True).select(F.col("large_id").alias("left_id"), F.col("small_id").alias("right_id"))
-    return _verified(materialized(forth.unionAll(back).distinct(), "proposed"), left, right, threshold)
+    left = materialized(left.select(F.col("class_id").alias("left_id"), F.col("words").alias("mine")), "left")
+    most = left.agg(F.max(F.size("mine"))).first()[0] or 0
+    own = left.select("left_id", "mine", F.explode("mine").alias("word"))
+    row_bytes = F.octet_length("word") + F.lit(40)
+    asked = broadcast_measured(own.select("word").distinct(), row_bytes)
+    # Only words of ``left`` are counted; all others are rarer than they, as they find nothing.
+    uses = rows.select(F.explode("words").alias("word")).join(asked, "word").groupBy("word").agg(F.count("*").alias("uses"))
+    uses = broadcast_measured(materialized(uses, "rarity"), row_bytes)
+
+    def prefix(words: DataFrame, keys: list[str], size: Column) -> DataFrame:
+        """The first words of each set in the common order, as many as a pair needs one of."""
+        lists = words.join(uses, "word", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "word"))).alias("ranked"))
+        return lists.select(*keys, F.explode(F.slice("ranked", 1, size - needed(size, threshold) + 1)).alias("entry")).select(*keys, "entry.word")
+
+    few, many = F.size("mine"), F.size("words")
+    whole = F.octet_length(F.array_join("mine", " ")) + F.size("mine") * 16 + 64
+    probe = prefix(own.select("left_id", "word"), ["left_id"], F.size("ranked")).join(left, "left_id")
+    probe = broadcast_measured(materialized(probe, "probe"), row_bytes + whole)
+    forth = rows.select("row_id", "digest", "words", F.explode("words").alias("word")).join(probe, "word").where(many >= few)
+    short = rows.where(many < most)
+    short = materialized(short.select("row_id", "digest", F.explode("words").alias("word")), "short")
+    short = prefix(short, ["row_id", "digest"], F.size("ranked")).join(rows.where(many < most).select("row_id", "digest", "words"), ["row_id", "digest"])
+    back = short.join(broadcast_measured(own, row_bytes + whole), "word").where(many < few)
+    met = forth.select("left_id", "row_id", "digest", "mine", "words").unionByName(back.select("left_id", "row_id", "digest", "mine", "words"))
+    smaller, shared = F.least(few, many), F.size(F.array_intersect("mine", "words"))
+    counted = met.select("left_id", "row_id", "digest", smaller.alias("smaller"), shared.alias("shared"))
+    kept = counted.where(F.col("shared") >= needed(F.col("smaller"), threshold))
+    named = kept.groupBy("left_id", "digest", "shared", "smaller").agg(F.min("row_id").alias("right_id"))
+    return named.select("left_id", "right_id", "shared", (F.col("shared") / F.col("smaller")).alias("overlap"))

@@ -100,8 +100,8 @@ def overlap_classes(spark, sf_dir):
 def overlap_join_benchmark(spark, sf_dir):
     """Benchmark passages against whole documents."""
     passages, _ = overlap.keyword_classes(views.benchmark_queries(spark, sf_dir), "query_id", "reference_title")
-    documents, _ = overlap.keyword_classes(views.document_listings(spark, sf_dir))
-    return _pairs(overlap.overlap_join(passages, documents, MIN_OVERLAP))
+    documents = overlap.keyword_rows(views.document_listings(spark, sf_dir))
+    return _pairs(overlap.overlap_join_rows(passages, documents, MIN_OVERLAP))
 
 
 @registered
