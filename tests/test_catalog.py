@@ -424,6 +424,13 @@ def test_pairs_are_made_after_the_last_exchange(spark, plan):
     assert "Generate" in steps[0]
 
 
+def test_titles_are_parsed_once_and_no_pair_is_shuffled(spark, plan):
+    listings, queries = titles_with_hot_words(spark, 300, 70)
+    steps = plan(hot_words.keyword_pairs(listings, queries))
+    lines = [line for line in steps.splitlines() if "Generate" in line or "Exchange hashpartitioning" in line]
+    assert "Generate" in lines[0] and "regexp_replace" not in steps
+
+
 def test_a_word_of_every_title_is_hot(spark):
     listings, _ = titles_with_hot_words(spark, 5000, 1)
     words = listings.where("title <> ''").select(F.explode(F.split("title", " ")).alias("word"))

@@ -2,7 +2,8 @@
 
 A mergeable frequent-items sketch finds the hot words.  Queries that ask for a hot word are a bitmap over the
 numbers of the queries; a listing joins the bitmaps of its hot words where it lies, without a shuffle.  All
-other words are rare: they meet by a join on (word, salt).
+other words are rare: they meet by a join on (word, salt), and bring bitmaps too.  The bitmaps of a listing are joined by OR before
+pairs are made, so no pair is shuffled.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscout.functions.text import title_keywords
-from twinscout.operators.matching import has_title
-from twinscout.operators.ranking import ranked
+from twinscout.operators.matching import asked_pairs, asked_words, has_title
 from twinscout.operators.sizing import BROADCAST_BYTES, broadcast_measured, shuffle_partitions
 from twinscout.sources.shared import materialized
 
@@ -32,16 +32,6 @@ def hot_words(words: DataFrame, share: float, most: int = MOST_HOT) -> list[str]
     return [x["item"] for x in row.top or [] if x["count"] >= share * row.rows]
 
 
-def _bitmaps(asked: DataFrame, hot: list[str], queries: int) -> DataFrame:
-    """(hot_word, queries array<long>) of the hot words that queries (number, word) ask for: 64 queries a number."""
-    size = -(-max(queries, 1) // 64)
-    bits = asked.where(F.col("word").isin(hot)).select("word", F.floor(F.col("number") / 64).cast("int").alias("at"), F.col("number") % 64)
-    bits = bits.toDF("word", "at", "bit").groupBy("word", "at").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("own"))
-    gathered = bits.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "own"))).alias("own"))
-    whole = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda at: F.coalesce(F.element_at("own", at), F.lit(0).cast("long")))
-    return gathered.select(F.col("word").alias("hot_word"), whole.alias("queries"))
-
-
 def keyword_pairs(listings: DataFrame, queries: DataFrame, share: float | None = None) -> DataFrame:
     """(query_id, row_id) of listings (row_id, title) and queries (query_id, reference_title) that share a keyword: the
     pairs of ``keyword_prefilter``, for query tables of any size.
@@ -53,30 +43,24 @@ def keyword_pairs(listings: DataFrame, queries: DataFrame, share: float | None =
     spark = listings.sparkSession
     tasks = shuffle_partitions(spark)
     share = 1 / (4 * tasks) if share is None else share
-    numbered = queries.select("query_id", title_keywords(F.col("reference_title")).alias("words"))
-    numbered = materialized(ranked(numbered, [], ["query_id"], "number", "total"), "numbered")
-    total = (numbered.select("total").first() or [0])[0]
-    if not total:
-        return numbered.select("query_id", F.col("number").alias("row_id"))
-    asked = numbered.select("query_id", "number", F.explode("words").alias("word"))
+    asking, asked = asked_words(queries)
+    blocks = asked.count()
+    if not blocks:
+        return queries.select("query_id", F.lit(0).cast("bigint").alias("row_id")).limit(0)
+    # The titles are parsed once.
     titles = listings.where(has_title(F.col("title"))).select("row_id", title_keywords(F.col("title")).alias("words"))
-    words = titles.select(F.explode("words").alias("word"))
-    most = min(MOST_HOT, int(BROADCAST_BYTES // max(total // 8, 1)))
-    hot = hot_words(words, share, most) if most else []
+    titles = materialized(titles.where(F.size("words") > 0), "titles")
+    most = min(MOST_HOT, int(BROADCAST_BYTES // (8 * blocks)))
+    hot = hot_words(titles.select(F.explode("words").alias("word")), share, most) if most else []
 
-    rare = titles.select("row_id", F.explode(F.array_except("words", F.array(*[F.lit(w) for w in hot]).cast("array<string>"))).alias("word"))
+    named = F.array(*[F.lit(w) for w in hot]).cast("array<string>")
+    rare = titles.select("row_id", F.explode(F.array_except("words", named)).alias("keyword"))
     rare = rare.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    wanted = asked.where(~F.col("word").isin(hot)) if hot else asked
-    wanted = wanted.select("query_id", "word", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = rare.join(broadcast_measured(wanted, F.octet_length("word") + F.lit(48)), ["word", "salt"]).select("query_id", "row_id")
+    wanted = asking.where(~F.col("keyword").isin(hot)) if hot else asking
+    wanted = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = rare.join(broadcast_measured(wanted, F.octet_length("keyword") + F.lit(64)), ["keyword", "salt"]).select("row_id", "at", "asking")
     if hot:
-        maps = F.broadcast(materialized(_bitmaps(asked, hot, total), "bitmaps"))
-        own = titles.select("row_id", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in hot]))).alias("hot_word"))
-        # All hot words of a row are in one task, so the partial half of the aggregate joins them before the exchange.
-        met = own.join(maps, "hot_word").select("row_id", F.posexplode("queries").alias("at", "own")).where("own <> 0")
-        met = met.groupBy("row_id", "at").agg(F.bit_or("own").alias("own"))
-        bit = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.expr("own").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) != 0)
-        found = met.select("row_id", "at", F.explode(bit).alias("bit")).select("row_id", (F.col("at") * 64 + F.col("bit")).cast("long").alias("number"))
-        ids = broadcast_measured(numbered.select("query_id", "number"), F.lit(24))
-        pairs = pairs.unionAll(found.join(ids, "number").select("query_id", "row_id"))
-    return pairs.distinct()
+        maps = F.broadcast(materialized(asking.where(F.col("keyword").isin(hot)), "bitmaps"))
+        own = titles.select("row_id", F.explode(F.array_intersect("words", named)).alias("keyword"))
+        met = met.unionAll(own.join(maps, "keyword").select("row_id", "at", "asking"))
+    return asked_pairs(met, asked)

@@ -100,6 +100,11 @@ def keyword_prefilter(listings: DataFrame, queries: DataFrame) -> DataFrame:
         "row_id", F.explode(title_keywords(F.col("title"))).alias("keyword")
     )
     met = words.join(broadcast_measured(asking, F.length("keyword") * 4 + 80), "keyword")
+    return asked_pairs(met.select("row_id", "at", "asking"), asked)
+
+
+def asked_pairs(met: DataFrame, asked: DataFrame) -> DataFrame:
+    """The distinct pairs (query_id, row_id) of rows (row_id, at, asking) that met words of ``asked_words``."""
     met = met.groupBy("row_id", "at").agg(F.bit_or("asking").alias("asking"))
     named = met.join(broadcast_measured(asked, F.size("ids") * 16 + 48), "at")
     have = F.filter("ids", lambda _, bit: F.call_function("shiftright", F.col("asking"), bit).bitwiseAND(F.lit(1).cast("bigint")) == 1)
