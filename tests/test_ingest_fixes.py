@@ -10,6 +10,7 @@ from twinscout.functions.fields import as_text, match_count_label
 from twinscout.operators.matching import in_price_range
 from twinscout.sources import shared
 from twinscout.sources.listings import _layouts, find_tables, list_entries, load_listings, read_table
+from twinscout.sources import images as image_source
 
 
 def test_csv_keeps_quotes_commas_and_line_breaks(spark, tmp_path):
@@ -117,3 +118,14 @@ def test_jobs_do_not_grow_with_the_number_of_tables(spark, tmp_path):
         f"{kind}{at}.{ending}": n for kind, ending, n in (("p", "parquet", 3), ("c", "csv", 1), ("j", "json", 1)) for at in range(12)
     }
     assert "map(" not in loaded._jdf.queryExecution().analyzed().toString()
+
+
+def test_small_images_are_many_to_a_task(spark, sf_dir, tmp_path):
+    """400 files are scanned by as many tasks as there are cores, and the session's setting is what it was."""
+    for at in range(400):
+        (tmp_path / f"z{at}.jpg").write_bytes(b"no image")
+    before = spark.conf.get(image_source.OPEN_COST)
+    scan = image_source.image_scan(spark, str(tmp_path))
+    assert spark.conf.get(image_source.OPEN_COST) == before
+    assert scan.count() == 400 and scan.where("width IS NULL").count() == 400
+    assert len(scan.inputFiles()) <= 10

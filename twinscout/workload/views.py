@@ -350,7 +350,7 @@ def image_folder(spark: SparkSession, sf_dir: str) -> str:
         F.concat(F.lit("z"), F.col("vec_id").cast("string"), F.lit(".bmp")).alias("file_name"),
         bitmap_content().alias("content"),
     )
-    files.foreachPartition(write)
+    dealt(files, "file_name").foreachPartition(write)
     return folder
 
 
