@@ -123,6 +123,19 @@ def test_two_writers_of_one_version_do_not_both_win(spark):
     assert cells.versions(spark, folder) == [1, 2]
 
 
+def test_putting_rows_into_many_cells_takes_little_memory(spark):
+    """Tiles of a few MB at the most cells there may be; the cell is a nearest one and the distance exact."""
+    state = np.random.default_rng(3)
+    points = state.normal(size=(4096, 16))
+    assert cells.TILE_BYTES // (4 * len(points)) * len(points) * 4 <= 4 << 20
+    rows = [(i, [float(v) for v in state.normal(size=16)]) for i in range(500)]
+    frame = spark.createDataFrame(rows, "image_id long, vector array<float>").withColumn("sku_key", F.lit("s"))
+    found = {r.image_id: r for r in cells.assigned(frame, np.arange(4096, dtype=np.int32), points).collect()}
+    for i, vector in rows:
+        apart = np.sqrt(((points - np.array(vector, dtype=np.float32)) ** 2).sum(axis=1))
+        assert apart[found[i].cell] <= apart.min() + 1e-4 and abs(found[i].distance - apart[found[i].cell]) < 1e-9
+
+
 # --- overlap -------------------------------------------------------------------------
 
 

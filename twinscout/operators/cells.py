@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinscout.operators.sizing import broadcast_measured, shuffle_partitions, top_per_group
-from twinscout.operators.vectors import BYTES_AT_ONCE, RunningBest, _margin, pair_dots, query_blocks, rows_at_once, vector_matrix
+from twinscout.operators.vectors import RunningBest, _margin, pair_dots, query_blocks, rows_at_once, vector_matrix
 from twinscout.sources.shared import materialized
 
 #: Centroids are fitted on about this many vectors; all vectors are indexed.
 SAMPLE_ROWS = 100_000
 MOST_CELLS = 4096
+#: Distances that a task holds at a time while rows are put into cells.
+TILE_BYTES = 4 << 20
 #: Kept beside a vector; all but ``vector`` may be null.
 KEPT = "image_id bigint, sku_key string, path string, length bigint, mtime bigint, vector array<float>, distance double"
 MANIFEST = "cell int, centroid array<double>, radius double, rows bigint, data_version int"
@@ -128,12 +130,18 @@ def assigned(images: DataFrame, cells: np.ndarray, centroids: np.ndarray) -> Dat
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, points = shipped.value
-        step = max(1, BYTES_AT_ONCE // (8 * (len(points) + 2 * points.shape[1])))
+        # Which cell is nearest may be off by single precision: any cell is right, as its radius comes from exact distances.
+        # A small tile stays in the cache, and is the one large array here, however many cells there are.
+        turned = np.ascontiguousarray(-2 * points.T, dtype=np.float32)
+        squares = (points**2).sum(axis=1).astype(np.float32)
+        step = max(1, TILE_BYTES // (4 * len(points)))
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
                 own = vector_matrix(batch.column("vector"), points.shape[1])
-                near = ((points**2).sum(axis=1)[None, :] - 2 * own @ points.T).argmin(axis=1)
+                apart = own.astype(np.float32) @ turned
+                apart += squares
+                near = apart.argmin(axis=1)
                 distance = np.sqrt(((own - points[near]) ** 2).sum(axis=1))
                 columns = [batch.column(name) for name in names[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(distance), pa.array(numbers[near])], names=[*names, "cell"])
