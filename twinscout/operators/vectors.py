@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 512
 # Bytes that a task's products, and the vectors of the pairs it sums, take at a time.
-BYTES_AT_ONCE = 64 << 20
+BYTES_AT_ONCE = 16 << 20
 
 
 def dot_product(a: Column, b: Column) -> Column:
