@@ -4,6 +4,7 @@ texts and clashing columns, against brute force."""
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ from collections import defaultdict
 import compare
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -233,6 +235,56 @@ def test_encoder_equals_the_library(name, monkeypatch):
         assert encoder.encode(text) == encoder._whole(text) or not text
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("bounds", [{}, {"PART": 5, "BLOCK": 90}, {"TABLE_ENTRIES": 40, "BLOCK": 200}, {"TABLE_BYTES": 600, "BLOCK": 200}, {"known": False}])
+def test_many_texts_are_encoded_as_the_library_does(name, bounds, monkeypatch):
+    encoder = tokens.Encoder(tokens.definition(public_tokenizers.path(name)))
+    for bound, value in bounds.items():
+        monkeypatch.setattr(encoder if bound == "known" else tokens, bound, value)
+    draw = random.Random(7)
+    texts = ["".join(draw.choice("ab stmdrevl STL''' \n\t\r12²½éĿ.,!-") for _ in range(draw.randint(0, 60))) for _ in range(1500)]
+    texts += [None, "", " ", "  ", "\n ", " \n", "a  ", "\n \n a", "'s", " 's", "''s", "x'll'd've're", "a'", "'", "\0", "a\0b", "日本 語", "x" * 700, "I<|endoftext|>x"]
+    draw.shuffle(texts)
+    assert encoder.encode_all(texts) == [encoder._whole(text) if text else b"" for text in texts]
+    assert encoder.encode_all([]) == []
+    encoder.words._bound()
+    assert len(encoder.words.words) <= tokens.TABLE_ENTRIES and encoder.words.words.nbytes <= tokens.TABLE_BYTES
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_of_a_block_are_split_and_looked_up_together(name, monkeypatch):
+    encoder = tokens.Encoder(tokens.definition(public_tokenizers.path(name)))
+    look, tokenize, looked, made = encoder.words.look, encoder.tokenize, [], []
+    monkeypatch.setattr(encoder.words, "look", lambda words: looked.append(len(words)) or look(words))
+    monkeypatch.setattr(encoder, "tokenize", lambda word: made.append(word.removeprefix("Ġ")) or tokenize(word))
+    texts = [f"one two {at % 9} three." for at in range(3000)]
+    assert encoder.encode_all(texts) == [encoder._whole(text) for text in texts]
+    encoder.encode_all(texts)
+    assert len(looked) == 2 and len(made) <= 30
+    monkeypatch.setattr(tokens, "TABLE_ENTRIES", 64)
+    monkeypatch.setattr(tokens, "BLOCK", 2000)
+    made.clear()
+    encoder.encode_all([f"one two {'x' * (at % 50)}y{at} three." for at in range(3000)])
+    assert len(made) > 1000 and not {"one", "two", "three"} & set(made)  # frequent words outlive rare ones
+
+
+def test_the_encoder_outlives_a_task(spark):
+    shipped = spark.sparkContext.broadcast(tokens.definition(public_tokenizers.path("byte_bpe_50k.json")))
+    tokens.encoder(shipped.value)
+
+    def met(batches):
+        own = tokens.encoder(shipped.value)
+        own.tasks = getattr(own, "tasks", 0) + 1
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "task": [own.tasks]})
+
+    rows = spark.range(320).repartition(64).mapInArrow(met, "pid long, task long").collect()
+    workers = {pid: sorted(row.task for row in rows if row.pid == pid) for pid in {row.pid for row in rows}}
+    assert len(workers) < len(rows) == 64
+    assert all(tasks == list(range(1, len(tasks) + 1)) for tasks in workers.values())
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_takes_added_tokens_as_the_library_does(name):
     path = public_tokenizers.path(name)

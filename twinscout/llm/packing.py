@@ -134,14 +134,14 @@ def _packer(shipped, end_id: int, window: int, slack: int, pool_tokens: int):
         return used
 
     def pack(batches):
-        encode = tokens.encoder(shipped.value).encode
+        encode_all = tokens.encoder(shipped.value).encode_all
         base = TaskContext.get().partitionId() << 40
         ids, docs, size = [], [], 0
         for whole in batches:
-            for batch in in_slices(whole):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for batch in in_slices(whole, tokens.ROWS):
+                for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode_all(batch.column("text").to_pylist()), strict=True):
                     ids.append(doc_id)
-                    docs.append(encode(text) + end)
+                    docs.append(own + end)
                     size += len(docs[-1]) // 4
                     if size >= pool_tokens:
                         base += yield from flush(ids, docs, base)

@@ -43,7 +43,7 @@ def _writer(shipped, folder: str, end_id: int, dtype: str):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches):
-        encode = tokens.encoder(shipped.value).encode
+        encode_all = tokens.encoder(shipped.value).encode_all
         shard = TaskContext.get().partitionId()
         system, path = _open(folder)
         attempt = uuid.uuid4().hex
@@ -52,15 +52,13 @@ def _writer(shipped, folder: str, end_id: int, dtype: str):
         at = rows = 0
         streams["offsets"].write(np.array([0], dtype="<u8").tobytes())
         for whole in batches:
-            for batch in in_slices(whole):
-                offsets = []
-                for text in batch.column("text").to_pylist():
-                    ids = encode(text) + end
-                    streams["ids"].write(ids if dtype == "<u4" else np.frombuffer(ids, dtype="<u4").astype(dtype).tobytes())
-                    at += len(ids) // 4
-                    offsets.append(at)
-                rows += len(offsets)
-                streams["offsets"].write(np.array(offsets, dtype="<u8").tobytes())
+            for batch in in_slices(whole, tokens.ROWS):
+                ids = encode_all(batch.column("text").to_pylist())
+                streams["ids"].write(np.frombuffer(end.join(ids) + end, dtype="<u4").astype(dtype, copy=False).tobytes())
+                offsets = at + np.cumsum([len(own) // 4 + 1 for own in ids])
+                at = int(offsets[-1])
+                rows += len(ids)
+                streams["offsets"].write(offsets.astype("<u8").tobytes())
                 streams["docs"].write(batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8").tobytes())
         for kind, stream in streams.items():
             stream.close()
